@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from . import decontamination
+from .byte_bpe import op8_bpe_round_trip
 from .common import table
+from .decontamination import op1_decontamination
 from .hmm_scoring import op2_hmm_scores
 
 
@@ -11,7 +14,11 @@ def _on(operator, *tables):
 
 
 QUERIES = {
+    "op1_decontamination": _on(op1_decontamination, "documents", "benchmark"),
     "op2_hmm_scores": _on(op2_hmm_scores, "documents"),
+    "op8_bpe_round_trip": _on(op8_bpe_round_trip, "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE,
+}
