@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, sharding, warc
 from .byte_bpe import op8_bpe_round_trip
 from .common import table
 from .decontamination import op1_decontamination
 from .hmm_scoring import op2_hmm_scores
+from .sharding import op4_sharding
+from .warc import op10_warc_archive
 
 
 def _on(operator, *tables):
@@ -16,9 +18,13 @@ def _on(operator, *tables):
 QUERIES = {
     "op1_decontamination": _on(op1_decontamination, "documents", "benchmark"),
     "op2_hmm_scores": _on(op2_hmm_scores, "documents"),
+    "op4_sharding": _on(op4_sharding, "documents"),
     "op8_bpe_round_trip": _on(op8_bpe_round_trip, "documents"),
+    "op10_warc_archive": _on(op10_warc_archive, "pages"),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
+    "op4_sharding": sharding.ORACLE,
+    "op10_warc_archive": warc.ORACLE,
 }
