@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, sharding, warc
+from . import decontamination, jaccard_join, sharding, warc
 from .byte_bpe import op8_bpe_round_trip
 from .common import table
 from .decontamination import op1_decontamination
 from .hmm_scoring import op2_hmm_scores
+from .jaccard_join import op9_jaccard_join
 from .sharding import op4_sharding
 from .warc import op10_warc_archive
 
@@ -20,11 +21,14 @@ QUERIES = {
     "op2_hmm_scores": _on(op2_hmm_scores, "documents"),
     "op4_sharding": _on(op4_sharding, "documents"),
     "op8_bpe_round_trip": _on(op8_bpe_round_trip, "documents"),
+    "op9_jaccard_join": _on(op9_jaccard_join, "documents"),
     "op10_warc_archive": _on(op10_warc_archive, "pages"),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
     "op4_sharding": sharding.ORACLE,
+    "op9_jaccard_join": _on(op9_jaccard_join, "documents"),
+    "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_warc_archive": warc.ORACLE,
 }
