@@ -6,6 +6,7 @@ from . import decontamination, jaccard_join, sharding, warc
 from .byte_bpe import op8_bpe_round_trip
 from .common import table
 from .decontamination import op1_decontamination
+from .fingerprints import op7_imatch_fingerprints
 from .hmm_scoring import op2_hmm_scores
 from .jaccard_join import op9_jaccard_join
 from .sharding import op4_sharding
@@ -20,6 +21,7 @@ QUERIES = {
     "op1_decontamination": _on(op1_decontamination, "documents", "benchmark"),
     "op2_hmm_scores": _on(op2_hmm_scores, "documents"),
     "op4_sharding": _on(op4_sharding, "documents"),
+    "op7_imatch_fingerprints": _on(op7_imatch_fingerprints, "documents"),
     "op8_bpe_round_trip": _on(op8_bpe_round_trip, "documents"),
     "op9_jaccard_join": _on(op9_jaccard_join, "documents"),
     "op10_warc_archive": _on(op10_warc_archive, "pages"),
