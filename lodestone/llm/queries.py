@@ -8,7 +8,9 @@ from .common import table
 from .decontamination import op1_decontamination
 from .fingerprints import op7_imatch_fingerprints
 from .hmm_scoring import op2_hmm_scores
+from .html_extraction import op3_html_extraction
 from .jaccard_join import op9_jaccard_join
+from .language_id import op5_language_id
 from .sharding import op4_sharding
 from .warc import op10_warc_archive
 
@@ -20,7 +22,9 @@ def _on(operator, *tables):
 QUERIES = {
     "op1_decontamination": _on(op1_decontamination, "documents", "benchmark"),
     "op2_hmm_scores": _on(op2_hmm_scores, "documents"),
+    "op3_html_extraction": _on(op3_html_extraction, "pages"),
     "op4_sharding": _on(op4_sharding, "documents"),
+    "op5_language_id": _on(op5_language_id, "documents"),
     "op7_imatch_fingerprints": _on(op7_imatch_fingerprints, "documents"),
     "op8_bpe_round_trip": _on(op8_bpe_round_trip, "documents"),
     "op9_jaccard_join": _on(op9_jaccard_join, "documents"),
@@ -29,6 +33,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
+    "op3_html_extraction": _on(op3_html_extraction, "pages"),
     "op4_sharding": sharding.ORACLE,
     "op9_jaccard_join": _on(op9_jaccard_join, "documents"),
     "op9_jaccard_join": jaccard_join.ORACLE,
