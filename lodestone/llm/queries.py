@@ -12,6 +12,7 @@ from .html_extraction import op3_html_extraction
 from .jaccard_join import op9_jaccard_join
 from .language_id import op5_language_id
 from .sharding import op4_sharding
+from .token_counts import op6_token_counts
 from .warc import op10_warc_archive
 
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op3_html_extraction": _on(op3_html_extraction, "pages"),
     "op4_sharding": _on(op4_sharding, "documents"),
     "op5_language_id": _on(op5_language_id, "documents"),
+    "op6_token_counts": _on(op6_token_counts, "documents"),
     "op7_imatch_fingerprints": _on(op7_imatch_fingerprints, "documents"),
     "op8_bpe_round_trip": _on(op8_bpe_round_trip, "documents"),
     "op9_jaccard_join": _on(op9_jaccard_join, "documents"),
