@@ -12,7 +12,7 @@ are gathered in an array and folded in one pass.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -88,16 +88,24 @@ def resolve_list(spans: list[Span], policy: str) -> list[Span]:
     if policy == "allow":
         return distinct
     if policy == "longest":
-        return [x for x in distinct if not any(y is not x and y[1] <= x[1] and x[2] <= y[2] for y in distinct)]
+        inside, end = set(), None
+        for x in sorted(distinct, key=lambda x: (x[1], -x[2])):
+            if end is not None and x[2] <= end:
+                inside.add(x)
+            end = x[2] if end is None else max(end, x[2])
+        return [x for x in distinct if x not in inside]
     if policy == "flat":
         return best_disjoint(distinct)
     kept: list[Span] = []
+    places: list[tuple[int, int]] = []  # of what is kept, in order; none is wider than widest
+    widest = 0
     for c, s, e in distinct:
-        clash = ((a, b) for _, a, b in kept if a < e and s < b)
-        if policy == "nested":
-            clash = ((a, b) for a, b in clash if not (a <= s and e <= b) and not (s <= a and b <= e))
+        near = places[bisect_left(places, (s - widest + 1, 0)) : bisect_left(places, (e, 0))]
+        clash = (a < e and s < b and (policy == "greedy" or not ((a <= s and e <= b) or (s <= a and b <= e))) for a, b in near)
         if not any(clash):
             kept.append((c, s, e))
+            insort(places, (s, e))
+            widest = max(widest, e - s)
     return kept
 
 
