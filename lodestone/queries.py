@@ -437,3 +437,216 @@ SELECT doc_id, relation, CAST(hs AS BIGINT) AS head_start, CAST(ts AS BIGINT) AS
 WHERE NOT EXISTS (SELECT 1 FROM sets y WHERE y.doc_id = x.doc_id AND y.relation = x.relation AND y.seq <> x.seq AND ((list_has_all(y.a, x.a) AND x.a <> y.a AND x.b = y.b) OR (list_has_all(y.b, x.b) AND x.b <> y.b AND x.a = y.a)))""")
 def rel_deduplicated(spark, sf_dir):
     return relations.deduplicate_edges(_edges(spark, sf_dir)).select("doc_id", "relation", F.col("head.start").cast("long").alias("head_start"), F.col("tail.start").cast("long").alias("tail_start"), r6("score").alias("score"), F.col("position").cast("long").alias("position"))
+
+
+# Choices
+
+
+def _mentions(spark, sf_dir) -> DataFrame:
+    found = C.with_mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), CHOICES)
+    return found.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.*")
+
+
+#: Words of letters, digits and the underscore are all that a choice can match, as all choices are such words.
+_MENTIONED = r"""parts AS (SELECT doc_id, pos, piece, regexp_replace(piece, '^[^\p{L}\p{N}_]+', '') AS word FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\p{L}\p{N}_]*[\p{L}\p{N}_]+') AS p FROM documents))),
+placed AS (SELECT doc_id, word, sum(length(piece)) OVER w - length(word) AS cs, sum(length(piece)) OVER w AS ce, sum(strlen(piece)) OVER w - strlen(word) AS bs FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+mentions AS (SELECT placed.doc_id, c.choice, c.i, cs, ce, bs FROM placed JOIN (VALUES """ + ", ".join(f"('{c}', {i})" for i, c in enumerate(CHOICES)) + ") c(choice, i) ON lower(word) = c.choice)"
+
+
+@query(f"WITH {_MENTIONED} SELECT doc_id, choice, CAST(bs AS BIGINT) AS start, CAST(cs AS BIGINT) AS char_start FROM mentions")
+def choice_literal_mentions(spark, sf_dir):
+    return _mentions(spark, sf_dir).select("doc_id", "choice", F.col("start").cast("long").alias("start"), F.col("char_start").cast("long").alias("char_start"))
+
+
+def _anchors(spark, sf_dir) -> DataFrame:
+    """Three anchors in each text with enough words: their words stand at a quarter, a half and three quarters."""
+    docs = documents(table(spark, sf_dir, "documents")).filter("n_words >= 4")
+    rows = docs.select("doc_id", "tokens", F.posexplode(F.expr("array(n_words div 4, n_words div 2, 3 * n_words div 4)")).alias("record", "at"))
+    return rows.select("doc_id", "record", F.expr("tokens[at]").alias("t")).select("doc_id", "record", F.col("t.start").alias("start"), F.col("t.char_start").alias("anchor_char_start"), F.col("t.char_end").alias("anchor_char_end"))
+
+
+_OWNED = f"""{_MENTIONED}, {SQL_OFFSETS}, {SQL_N},
+anchors AS (SELECT n.doc_id, r AS record, off.bs, off.cs, off.ce FROM n, (VALUES (0), (1), (2)) v(r) JOIN off ON off.doc_id = n.doc_id AND off.pos = (r + 1) * n // 4 WHERE n >= 4),
+owned AS (SELECT m.*, a.record, a.cs AS acs, a.ce AS ace FROM mentions m JOIN anchors a USING (doc_id) QUALIFY row_number() OVER (PARTITION BY m.doc_id, m.i, m.bs ORDER BY CASE WHEN a.bs <= m.bs THEN 0 ELSE 1 END, CASE WHEN a.bs <= m.bs THEN -a.bs ELSE a.bs END, CASE WHEN a.bs <= m.bs THEN -a.record ELSE a.record END) = 1),
+firsts AS (SELECT * FROM owned QUALIFY row_number() OVER (PARTITION BY doc_id, record, choice ORDER BY bs, i) = 1)"""
+
+
+@query(f"WITH {_OWNED} SELECT doc_id, record, choice, CAST(bs AS BIGINT) AS start FROM firsts")
+def choice_asof_owner(spark, sf_dir):
+    return C.owned_mentions(_mentions(spark, sf_dir), _anchors(spark, sf_dir)).select("doc_id", "record", "choice", F.col("start").cast("long").alias("start"))
+
+
+@query(f"WITH {_OWNED} SELECT doc_id, record, choice, CAST(greatest(0, acs - ce, cs - ace) AS BIGINT) AS gap FROM firsts QUALIFY row_number() OVER (PARTITION BY doc_id, record ORDER BY greatest(0, acs - ce, cs - ace), bs, i) = 1")
+def choice_nearest(spark, sf_dir):
+    anchors = _anchors(spark, sf_dir)
+    return C.nearest_mentions(C.owned_mentions(_mentions(spark, sf_dir), anchors), anchors).select("doc_id", "record", "choice", F.col("gap").cast("long").alias("gap"))
+
+
+_CHOICE_SQL = f"c AS (SELECT doc_id, i AS choice_idx, choice, 1 / (1 + exp(-({hash_logit_sql('doc_id', 'i', '17', '5')}))) AS p FROM documents, (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(CHOICES)) + ") v(choice, i))"
+
+
+def _choice_scores(spark, sf_dir) -> DataFrame:
+    rows = PROVIDER.choice_logits(table(spark, sf_dir, "documents").select("doc_id"), Query(5, "content", "s", "f"), CHOICES)
+    return rows.withColumn("probability", probability(F.col("logit")))
+
+
+@query(f"WITH {_CHOICE_SQL} SELECT doc_id, choice, round(p, 6) AS confidence FROM c WHERE p >= 0.6")
+def choice_prefix_list(spark, sf_dir):
+    return C.prefix_selection(_choice_scores(spark, sf_dir), "list", 0.6).select("doc_id", "choice", r6("probability").alias("confidence"))
+
+
+@query(f"WITH {_CHOICE_SQL} SELECT doc_id, choice, round(p, 6) AS confidence FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, choice_idx) = 1) WHERE p >= 0.9")
+def choice_prefix_single(spark, sf_dir):
+    return C.prefix_selection(_choice_scores(spark, sf_dir), "str", 0.9).select("doc_id", "choice", r6("probability").alias("confidence"))
+
+
+# Structures
+
+
+_COUNT_LOGITS = f"k AS (SELECT doc_id, n, {hash_logit_sql('doc_id', 'n', '5', '6')} AS logit FROM documents, (VALUES (0), (1), (2), (3)) v(n))"
+
+
+@query(f"WITH {_COUNT_LOGITS}, b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY logit DESC, n) = 1) SELECT doc_id, unnest(range(n)) AS instance FROM b WHERE n > 0")
+def struct_count_instances(spark, sf_dir):
+    counts = PROVIDER.count_logits(table(spark, sf_dir, "documents").select("doc_id"), "person", 3)
+    return structures.instances(counts, ["doc_id"]).select("doc_id", F.col("instance").cast("long").alias("instance"))
+
+
+_FIELD = Field("word", validators=(Validator("tion", "partial"),))
+
+
+@query(f"WITH {SQL_MAPPED}, ok AS (SELECT * FROM mapped WHERE query_id = 0 AND regexp_matches(surface, '(?i)tion')) SELECT doc_id, count(*) AS n_values, string_agg(surface, '|' ORDER BY p DESC, s, e) AS field_values FROM ok GROUP BY doc_id")
+def struct_single_instance(spark, sf_dir):
+    found = spans.mapped(_found(spark, sf_dir).filter("query_id = 0"), documents(table(spark, sf_dir, "documents")))
+    kept = structures.field_values(found, _FIELD, ["doc_id"], "longest", validate_first=False)
+    order = Window.partitionBy("doc_id").orderBy(*_ORDER)
+    rows = kept.select("doc_id", F.lit("word").alias("field"), F.row_number().over(order).alias("rank"), F.col("surface").alias("value"))
+    filled = structures.with_content(rows, ["doc_id"])
+    return filled.select("doc_id", F.size(F.col("fields")["word"]).cast("long").alias("n_values"), F.array_join(F.col("fields")["word"], "|").alias("field_values"))
+
+
+# Records
+
+
+_FIELDS = ["name", "tags", "role"]
+_S = "group"
+
+
+def _objects(spark, sf_dir) -> DataFrame:
+    return PROVIDER.object_logits(worded(spark, sf_dir), _S)
+
+
+def _live(spark, sf_dir, threshold: float) -> DataFrame:
+    chosen = records.selected_instances(_objects(spark, sf_dir), threshold)
+    assigns = PROVIDER.assign_logits(worded(spark, sf_dir), _S, _FIELDS)
+    return assigns.join(chosen.select("doc_id", "structure", "instance", "order"), ["doc_id", "structure", "instance"])
+
+
+_REC = f"""{SQL_N}, o AS (SELECT doc_id, i, 1 / (1 + exp(-({hash_logit_sql('doc_id', 'i', '13', '5')}))) AS os, CAST((doc_id * 31 + i * 17) % n AS INT) AS seed FROM n, (VALUES (0), (1), (2), (3)) v(i) WHERE i < n),
+ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY os DESC, i) AS ord FROM o WHERE os >= {{t}}),
+a AS (SELECT n.doc_id, i, field, col, {hash_logit_sql('n.doc_id', 'i * 101 + col', 'f + 1', '5')} AS logit, ord, os, seed FROM n JOIN ch USING (doc_id), (VALUES (0, 'name'), (1, 'tags'), (2, 'role')) v(f, field), range(5) r(col) WHERE col <= least(4, n))"""
+
+
+def _rec(threshold: float) -> str:
+    return _REC.replace("{t}", str(threshold))
+
+
+@query(f"WITH {_rec(0.3)}, s AS (SELECT *, 1 / (1 + exp(-logit)) AS p FROM a WHERE col > 0 AND field = 'tags') SELECT doc_id, i AS instance, col, round(p, 6) AS score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, col ORDER BY p DESC, ord) = 1) WHERE p >= 0.6")
+def rec_list_owner(spark, sf_dir):
+    return records.list_values(_live(spark, sf_dir, 0.3).filter("field = 'tags'"), True, 0.6).select("doc_id", "instance", F.col("col").cast("long").alias("col"), r6("score").alias("score"))
+
+
+@query(f"WITH {_rec(0.3)}, s AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY doc_id, i) AS p FROM a WHERE field = 'role') SELECT doc_id, i AS instance, col, round(p, 6) AS score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY p DESC, col) = 1) WHERE col > 0 AND p >= 0.5")
+def rec_scalar_nonexclusive(spark, sf_dir):
+    return records.single_values(_live(spark, sf_dir, 0.3).filter("field = 'role'"), True, 0.5).select("doc_id", "instance", F.col("col").cast("long").alias("col"), r6("score").alias("score"))
+
+
+def _compiled(exclusive: bool) -> list[CompiledField]:
+    return [CompiledField(0, "name", "required_one", False), CompiledField(1, "tags", "zero_or_more", exclusive), CompiledField(2, "role", "optional_one", exclusive)]
+
+
+@query(f"""WITH {_rec(0.5)}, tags AS (SELECT doc_id, i, count(*) AS n FROM a WHERE field = 'tags' AND col > 0 AND 1 / (1 + exp(-logit)) >= 0.5 GROUP BY ALL),
+role AS (SELECT doc_id, i, col, p FROM (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY doc_id, i) AS p FROM a WHERE field = 'role') QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY p DESC, col) = 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seed, ord) - 1 AS record, seed AS anchor_start, round(os, 6) AS object_score, 1 + coalesce(tags.n, 0) + CASE WHEN role.col > 0 AND role.p >= 0.5 THEN 1 ELSE 0 END AS n_values
+FROM ch LEFT JOIN tags USING (doc_id, i) LEFT JOIN role USING (doc_id, i)""")
+def rec_natural_order(spark, sf_dir):
+    found = records.decode_records(_objects(spark, sf_dir), PROVIDER.assign_logits(worded(spark, sf_dir), _S, _FIELDS), _compiled(False), "natural", "name")
+    return found.groupBy("doc_id", "record", "anchor_start", "object_score").agg(F.count("*").alias("n_values")).select("doc_id", F.col("record").cast("long").alias("record"), "anchor_start", r6("object_score").alias("object_score"), "n_values")
+
+
+@query(f"""WITH {_rec(0.2)}, s AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY doc_id, i) AS p FROM a WHERE field = 'role'),
+v AS (SELECT * FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY p DESC, col) = 1) WHERE col > 0 AND p >= 0.3)
+SELECT doc_id, col, round(max(os), 6) AS object_score FROM v GROUP BY ALL""")
+def rec_latent_dedup(spark, sf_dir):
+    only = [CompiledField(2, "role", "optional_one", False)]
+    assigns = PROVIDER.assign_logits(worded(spark, sf_dir), _S, _FIELDS)
+    found = records.decode_records(_objects(spark, sf_dir), assigns, only, "latent", anchor_threshold=0.2, field_threshold=0.3)
+    return found.select("doc_id", F.col("end").cast("long").alias("col"), r6("object_score").alias("object_score"))
+
+
+@query()
+def rec_exclusive_assignment(spark, sf_dir):
+    return records.exclusive_single_values(_live(spark, sf_dir, 0.3).filter("field = 'name'"), True, 0.3).select("doc_id", "instance", F.col("col").cast("long").alias("col"), r6("score").alias("score"))
+
+
+@query(f"""WITH {_rec(0.3)}, s AS (SELECT *, 1 / (1 + exp(-logit)) AS p FROM a WHERE col > 0 AND field = 'tags'), v AS (SELECT * FROM s WHERE p >= 0.5),
+cand AS (SELECT doc_id, s, 1 / (1 + exp(-({_LOGIT}))) AS cp FROM (SELECT doc_id, s, s + 1 AS e, 2 AS query_id FROM (SELECT doc_id, unnest(range(n)) AS s FROM n)))
+SELECT v.doc_id, i AS instance, col, round(least(p, cp), 6) AS confidence FROM v JOIN cand ON cand.doc_id = v.doc_id AND cand.s = v.col - 1 WHERE cp >= 0.5 AND least(p, cp) >= 0.55""")
+def rec_gated_values(spark, sf_dir):
+    values = records.list_values(_live(spark, sf_dir, 0.3).filter("field = 'tags'"), False, 0.5)
+    scored = PROVIDER.span_logits(worded(spark, sf_dir), ENTITIES[2:])
+    candidates = scored.select("doc_id", F.lit("tags").alias("field"), "start", "end", probability(F.col("logit")).alias("probability"))
+    return records.gated_values(values, candidates, _compiled(False), 0.5, {"tags": 0.55}).select("doc_id", "instance", F.col("col").cast("long").alias("col"), r6("confidence").alias("confidence"))
+
+
+# Explicit spans
+
+
+@query(f"""WITH {SQL_N}, sp AS (SELECT doc_id, k AS span_idx, CASE k WHEN 0 THEN 0 WHEN 1 THEN n // 2 ELSE 0 END AS s, CASE k WHEN 0 THEN 1 WHEN 1 THEN n // 2 + 1 ELSE n END AS e FROM n, (VALUES (0), (1), (2)) v(k) WHERE n > 0)
+SELECT doc_id, label_idx, span_idx, s AS start, e AS "end", round(1 / (1 + exp(-({hash_logit_sql('doc_id', 's', 'e', 'label_idx')}) / 2.0)), 6) AS confidence FROM sp, (VALUES (0), (1)) l(label_idx)""")
+def explicit_span_scores(spark, sf_dir):
+    docs = documents(table(spark, sf_dir, "documents")).filter("n_words > 0")
+    asked = docs.select("doc_id", F.posexplode(F.expr("array(struct(tokens[0].start AS a, tokens[0].end AS b), struct(tokens[n_words div 2].start AS a, tokens[n_words div 2].end AS b), struct(tokens[0].start AS a, tokens[n_words - 1].end AS b))")).alias("span_idx", "x"))
+    words = explicit.word_spans(asked.select("doc_id", "span_idx", F.col("x.a").alias("byte_start"), F.col("x.b").alias("byte_end")), docs)
+    scored = explicit.score_spans(words, ["x", "y"], PROVIDER.explicit_logits(docs, words, ["x", "y"]), 2.0)
+    return scored.select("doc_id", "label_idx", "span_idx", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), r6("confidence").alias("confidence"))
+
+
+# Other tables
+
+
+_TURN = hash_logit_sql("conv_id * 100 + turn", "l", "7", "6")
+
+
+@query(f"WITH s AS (SELECT conv_id, turn, role, l, {_TURN} AS logit FROM conversations, (VALUES (0), (1), (2)) v(l)), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY logit DESC, l) = 1) SELECT conv_id, l AS route, count(*) AS n_turns, count(*) FILTER (role = 'user') AS user_turns FROM b GROUP BY ALL")
+def batch_turn_routing(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "conv_id", "turn", "role")
+    best = classify.best_label(classify.distribution(PROVIDER.label_logits(turns, "router", ["ask", "tell", "other"])))
+    return turns.join(best.select("doc_id", "label_idx"), "doc_id").groupBy("conv_id", F.col("label_idx").alias("route")).agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("user_turns"))
+
+
+@query(f"WITH s AS (SELECT doc_id, 1 / (1 + exp(-({hash_logit_sql('doc_id', '0', '7', '7')}))) >= 0.5 AS guess FROM documents) SELECT quality, count(*) AS n, count(*) FILTER (guess) AS guessed, count(*) FILTER (guess = (quality = 1)) AS agree FROM labels JOIN s USING (doc_id) GROUP BY quality")
+def quality_label_eval(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    scored = classify.distribution(PROVIDER.label_logits(docs, "quality", ["good"]), multi_label=True).withColumn("guess", F.col("probability") >= 0.5)
+    joined = table(spark, sf_dir, "labels").join(scored, "doc_id")
+    return joined.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("guess").alias("guessed"), F.count_if(F.col("guess") == (F.col("quality") == 1)).alias("agree"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_intent_tumbling(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, round(median(value), 6) AS median, max(value) FILTER (i = ceil(0.9 * n)) AS p90, max(value) FILTER (i = ceil(0.95 * n)) AS p95, min(value) AS least, max(value) AS most FROM r GROUP BY event_type""")
+def latency_statistics(spark, sf_dir):
+    """Median, and percentiles by the nearest rank, which are values that occur."""
+    events = table(spark, sf_dir, "events")
+    by_value = events.groupBy("event_type", "value").agg(F.count("*").alias("c"))  # few values for many rows
+    over = Window.partitionBy("event_type")
+    ranked = by_value.withColumns({"upto": F.sum("c").over(over.orderBy("value")), "n": F.sum("c").over(over)})
+    rank = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("n")), F.col("value")))
+    nearest = ranked.groupBy("event_type").agg(rank(0.9).alias("p90"), rank(0.95).alias("p95"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return events.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median")).join(nearest, "event_type")
