@@ -56,17 +56,24 @@ def resolve(spans: DataFrame, policy: str, group: list[str], order: list | None
     return distinct.join(kept, [*group, "start", "end"], "left_semi")
 
 
+KEPT = pa.list_(pa.struct([("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+def fold_arrays(groups: pa.Array, policy: str) -> pa.Array:
+    """For each array of (confidence, start, end) those that stay, best first."""
+    out = []
+    for spans in groups.to_pylist():
+        kept = resolve_list([(s["confidence"], s["start"], s["end"]) for s in spans or ()], policy)
+        out.append([{"confidence": c, "start": s, "end": e} for c, s, e in kept])
+    return pa.array(out, KEPT)
+
+
 def folded(policy: str):
-    """A function of an array of (confidence, start, end) that gives those that stay, best first; usable on streams."""
-    kind = pa.list_(pa.struct([("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
+    """The same as a function of a column."""
 
     @F.arrow_udf("array<struct<confidence:double,start:int,end:int>>")
     def fold(groups: pa.Array) -> pa.Array:
-        out = []
-        for spans in groups.to_pylist():
-            kept = resolve_list([(s["confidence"], s["start"], s["end"]) for s in spans or ()], policy)
-            out.append([{"confidence": c, "start": s, "end": e} for c, s, e in kept])
-        return pa.array(out, kind)
+        return fold_arrays(groups, policy)
 
     return fold
 

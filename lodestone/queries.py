@@ -287,7 +287,12 @@ SQL_MAPPED = f"""{SQL_ENTITIES}, {SQL_OFFSETS},
 longest AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.query_id = f.query_id AND o.s <= f.s AND f.e <= o.e AND (o.s < f.s OR f.e < o.e))),
 mapped AS (SELECT l.*, a.bs, b.be, a.cs, b.ce, trim(substr(d.text, CAST(a.cs + 1 AS BIGINT), CAST(b.ce - a.cs AS BIGINT))) AS surface
            FROM longest l JOIN off a ON a.doc_id = l.doc_id AND a.pos = l.s JOIN off b ON b.doc_id = l.doc_id AND b.pos = l.e - 1 JOIN documents d ON d.doc_id = l.doc_id)"""
-_ORDER = [F.desc("confidence"), F.col("start"), F.col("end")]
+
+
+def _order() -> list:
+    return [F.desc("confidence"), F.col("start"), F.col("end")]
+
+
 _ASCII = "translate(surface, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -298,17 +303,17 @@ def ner_surfaces(spark, sf_dir):
 
 @query(f"WITH {SQL_MAPPED} SELECT doc_id, query_id, surface, round(p, 6) AS confidence FROM mapped QUALIFY row_number() OVER (PARTITION BY doc_id, query_id, {_ASCII} ORDER BY p DESC, s, e) = 1")
 def ner_dedup_surface(spark, sf_dir):
-    return formatting.distinct_surfaces(_mapped(spark, sf_dir), _GROUP, _ORDER).select("doc_id", "query_id", "surface", r6("confidence").alias("confidence"))
+    return formatting.distinct_surfaces(_mapped(spark, sf_dir), _GROUP, _order()).select("doc_id", "query_id", "surface", r6("confidence").alias("confidence"))
 
 
 @query(f"WITH {SQL_MAPPED} SELECT doc_id, query_id, surface, CAST(bs AS BIGINT) AS byte_start FROM mapped QUALIFY row_number() OVER (PARTITION BY doc_id, query_id ORDER BY p DESC, s, e) = 1")
 def ner_scalar_first(spark, sf_dir):
-    return formatting.first_of(_mapped(spark, sf_dir), _GROUP, _ORDER).select("doc_id", "query_id", "surface", F.col("byte_start").cast("long").alias("byte_start"))
+    return formatting.first_of(_mapped(spark, sf_dir), _GROUP, _order()).select("doc_id", "query_id", "surface", F.col("byte_start").cast("long").alias("byte_start"))
 
 
 @query(f"WITH {SQL_MAPPED} SELECT doc_id, query_id, string_agg(surface || '@' || CAST(bs AS BIGINT) || '-' || CAST(be AS BIGINT), '|' ORDER BY p DESC, s, e) AS spans FROM mapped GROUP BY ALL")
 def ner_format_spans(spark, sf_dir):
-    listed = formatting.listed(_mapped(spark, sf_dir), _GROUP, _ORDER, formatting.span_item(False, True))
+    listed = formatting.listed(_mapped(spark, sf_dir), _GROUP, _order(), formatting.span_item(False, True))
     item = lambda x: F.concat(x["text"], F.lit("@"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))
     return listed.select("doc_id", "query_id", F.array_join(F.transform("values", item), "|").alias("spans"))
 
@@ -323,7 +328,12 @@ def _boundaries(spark, sf_dir) -> DataFrame:
     return PROVIDER.boundary_logits(worded(spark, sf_dir), ENTITIES)
 
 
-_COMPAT = hash_logit(F.col("doc_id"), F.col("start"), F.col("end"), 23)
+
+
+def _compat() -> Column:
+    return hash_logit(F.col("doc_id"), F.col("start"), F.col("end"), 23)
+
+
 _START, _END = (hash_logit_sql("doc_id", "pos", side, "query_id") for side in ("1", "2"))
 SQL_POOL = f"""{SQL_N}, b AS (SELECT doc_id, query_id, pos, {_START} AS sl, {_END} AS el FROM (SELECT doc_id, unnest(range(n + 1)) AS pos FROM n) g, (VALUES (0), (1), (2)) q(query_id)),
 u AS (SELECT doc_id, pos, max(sl) AS sl, max(el) AS el FROM b GROUP BY ALL),
@@ -344,7 +354,7 @@ def pool_topk(spark, sf_dir):
 @query(f"WITH {SQL_PAIRS} SELECT doc_id, s AS start, e AS \"end\", own AS score FROM quota")
 def pool_quota(spark, sf_dir):
     b = _boundaries(spark, sf_dir)
-    return pool.query_quota(pool.pairs_of(pool.union_logits(b), POOL, _COMPAT), b, POOL).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("score").cast("double").alias("score"))
+    return pool.query_quota(pool.pairs_of(pool.union_logits(b), POOL, _compat()), b, POOL).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("score").cast("double").alias("score"))
 
 
 @query(f"""WITH {SQL_PAIRS}, every AS (SELECT doc_id, s, e, valid, score FROM pairs UNION ALL SELECT doc_id, s, e, true, own FROM quota),
@@ -352,7 +362,7 @@ k AS (SELECT *, valid AND row_number() OVER (PARTITION BY doc_id, s, e ORDER BY
 cut AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN keep THEN score ELSE -10000 END DESC, s, e) - 1 AS slot FROM k)
 SELECT doc_id, slot, s AS start, e AS "end", round({hash_logit_sql('doc_id', 's', 'e', '23')} + x.sl + y.el, 6) AS proposal FROM cut JOIN u x USING (doc_id) JOIN u y USING (doc_id) WHERE slot < {POOL.capacity} AND keep AND x.pos = s AND y.pos = e""")
 def pool_candidates(spark, sf_dir):
-    return pool.candidate_pool(_boundaries(spark, sf_dir), POOL, _COMPAT).select("doc_id", F.col("slot").cast("long").alias("slot"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), r6("proposal").alias("proposal"))
+    return pool.candidate_pool(_boundaries(spark, sf_dir), POOL, _compat()).select("doc_id", F.col("slot").cast("long").alias("slot"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), r6("proposal").alias("proposal"))
 
 
 # Relations
@@ -519,7 +529,7 @@ _FIELD = Field("word", validators=(Validator("tion", "partial"),))
 def struct_single_instance(spark, sf_dir):
     found = spans.mapped(_found(spark, sf_dir).filter("query_id = 0"), documents(table(spark, sf_dir, "documents")))
     kept = structures.field_values(found, _FIELD, ["doc_id"], "longest", validate_first=False)
-    order = Window.partitionBy("doc_id").orderBy(*_ORDER)
+    order = Window.partitionBy("doc_id").orderBy(*_order())
     rows = kept.select("doc_id", F.lit("word").alias("field"), F.row_number().over(order).alias("rank"), F.col("surface").alias("value"))
     filled = structures.with_content(rows, ["doc_id"])
     return filled.select("doc_id", F.size(F.col("fields")["word"]).cast("long").alias("n_values"), F.array_join(F.col("fields")["word"], "|").alias("field_values"))
@@ -650,3 +660,44 @@ def latency_statistics(spark, sf_dir):
     rank = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("n")), F.col("value")))
     nearest = ranked.groupBy("event_type").agg(rank(0.9).alias("p90"), rank(0.95).alias("p95"), F.min("value").alias("least"), F.max("value").alias("most"))
     return events.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median")).join(nearest, "event_type")
+
+
+# Row-local forms, sub-words, the whole engine
+
+
+@query(f"WITH {SQL_CROWDED} SELECT doc_id, s AS start, e AS \"end\", round(p, 6) AS confidence FROM found")
+def rowlocal_allow(spark, sf_dir):
+    from .streaming.rowlocal import decode
+
+    kept = decode(table(spark, sf_dir, "documents"), 2, WIDTH, CROWDED, "allow")
+    return kept.select("doc_id", F.explode("spans").alias("x")).select("doc_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), r6("x.confidence").alias("confidence"))
+
+
+@query()
+def rowlocal_greedy(spark, sf_dir):
+    from .streaming.rowlocal import decode
+
+    kept = decode(table(spark, sf_dir, "documents"), 2, WIDTH, CROWDED, "greedy")
+    return kept.select("doc_id", F.explode("spans").alias("x")).select("doc_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), r6("x.confidence").alias("confidence"))
+
+
+@query()
+def subword_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from .functions.subwords import first_pieces, with_subwords
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
+    encoded = with_subwords(docs, "w", public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size("subwords").cast("long").alias("n_pieces"), F.size(first_pieces("subwords")).cast("long").alias("n_first_pieces"))
+
+
+@query()
+def engine_extract(spark, sf_dir):
+    from .engine import Engine
+    from .plans.schema import SchemaBuilder
+    from .sources.config import ModelConfig
+
+    schema = SchemaBuilder().entity("person", threshold=0.9).relation("knows").classification("mood", ["good", "bad"]).structure("event", ["who::str", "kind::[x|y]"]).build()
+    found = Engine(PROVIDER, ModelConfig(architecture="boundary", overlap_policy="longest")).extract(table(spark, sf_dir, "documents").select("doc_id", "text"), schema, 0.8)
+    return found.select("doc_id", F.to_json(F.struct("entities", "classifications", "structures", "relations")).alias("result"))
