@@ -12,9 +12,11 @@ sets would share, are needed only for sets with many empty halves.)
 Nodes that share a signature are compared as follows, so that no link between different texts is
 lost and no group is paired in full: each node with the smallest node it met, by their whole sets;
 linked nodes form components; only signatures whose nodes are in different components go on. Their
-nodes are compared by counts of elements in ``BINS`` bins, whose distance is never more than the
-number of differing elements, block against block in place, and pairs that stay are compared by
-their whole sets. Large groups are cut into blocks that go to different tasks.
+nodes are compared by odd sketches (for each of at least ``BITS`` bins whether it holds an odd number
+of elements), which differ in no more places than the sets do, block against block in place; in the
+first rounds each component's nearest pair goes on, in the last all that the sketches don't rule out
+and that are still in different components. Pairs that go on are compared by their whole sets. Large groups are cut into blocks
+that go to different tasks.
 
 Nulls: a null text, or one without words, has an empty set and is linked with nothing; a null
 doc_id is answered with the smallest other id of its component, or null. Repeated rows are copies.
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_has, bitmap_of, stored, utf8
+from .common import bitmap_has, bitmap_of, forget, stored, utf8
 from .components import components
 
 SHINGLE = 4
@@ -37,8 +39,9 @@ SHINGLE = 4
 PERCENT = 85
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.5
-BINS = 256
-#: Nodes of a block in which all are compared by counts.
+#: The least number of bins of a sketch; larger sets have as many as they have elements, rounded up to a power of two.
+BITS = 2048
+#: Nodes of a block in which all are compared by sketches.
 BLOCK = 1024
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 300_000
@@ -123,9 +126,24 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def counts_of(found: np.ndarray) -> bytes:
-    """Counts of elements by bin, up to 255."""
-    return np.minimum(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+def sketch_of(found: np.ndarray) -> bytes:
+    """A bit for each bin: whether the number of its elements is odd."""
+    m = max(BITS, 1 << (len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: np.ndarray, n: int) -> np.ndarray:
+    """A sketch as it would be with fewer bins (n bytes, a power of two)."""
+    while len(sketch) > n:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
+def most_apart(p, q, percent: int):
+    """How many elements of similar sets of sizes p and q may be in one only."""
+    return (100 - percent) * (p + q) // (100 + percent)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -148,7 +166,7 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, bins and members (binary) of each wanted node, once."""
+    """node, sketch and members (binary) of each wanted node, once."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "node"))
 
     def run(batches):
@@ -157,10 +175,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             sets = [s for t in batch.column(0) if len(s := shingle_set(t.as_py(), hashes, n))]
             names = np.array([name_of(s) for s in sets], np.int64)
             kept = np.flatnonzero(bitmap_has(shared.value, names)) if len(sets) else []
-            yield pa.RecordBatch.from_arrays([pa.array(names[kept], pa.int64()), pa.array([counts_of(sets[i]) for i in kept], pa.binary()), pa.array([sets[i].tobytes() for i in kept], pa.binary())], ["node", "bins", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[kept], pa.int64()), pa.array([sketch_of(sets[i]) for i in kept], pa.binary()), pa.array([sets[i].tobytes() for i in kept], pa.binary())], ["node", "sketch", "members"])
 
-    found = docs.select("t").mapInArrow(run, "node long, bins binary, members binary")
-    return found.groupBy("node").agg(F.first("bins").alias("bins"), F.first("members").alias("members")).join(wanted, "node", "left_semi")
+    found = docs.select("t").mapInArrow(run, "node long, sketch binary, members binary")
+    return found.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("members").alias("members")).join(wanted, "node", "left_semi")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,78 +189,88 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)) if similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
 
-    screened = near_by_counts(pairs, sets, percent)
+    screened = near_by_sketch(pairs, sets, percent)
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
     return screened.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_by_counts(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose counts by bin show that they differ too much."""
+def near_by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs whose sketches show that they differ too much."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int32) for c in (2, 3))
-            far = np.abs(x - y).sum(1) * (100 + percent) > (100 - percent) * (batch.column(4).to_numpy() + batch.column(5).to_numpy())
-            kept = pa.array(np.flatnonzero(~far))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
+            kept = []
+            for i, (x, y, p, q) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)):
+                n = min(len(x), len(y))
+                a, b = (folded(np.frombuffer(v, np.uint8), n).view(np.uint64) for v in (x, y))
+                if int(np.bitwise_count(a ^ b).sum()) <= most_apart(p, q, percent):
+                    kept.append(i)
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
 
     size = (F.octet_length("members") / 8).cast("long")
-    left = sets.select(F.col("node").alias("a"), F.col("bins").alias("x"), size.alias("p"))
-    right = sets.select(F.col("node").alias("b"), F.col("bins").alias("y"), size.alias("q"))
+    left = sets.select(F.col("node").alias("a"), F.col("sketch").alias("x"), size.alias("p"))
+    right = sets.select(F.col("node").alias("b"), F.col("sketch").alias("y"), size.alias("q"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def apart_but_near(groups: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of nodes of one signature in different components that counts by bin don't rule out.
+def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataFrame:
+    """Distinct pairs of nodes of one signature in different components that their sketches don't rule out.
 
-    groups: sig, node, label, members_of_sig, bins, size. A group of several blocks goes out as
-    pairs of blocks, each to its own key.
+    nearest_only: of each two components, in each block of each signature, only the nearest pair.
+    groups: sig, node, label, of_sig, sketch, size. A group of several blocks goes out as pairs of
+    blocks, each to its own key.
     """
     blocks = F.ceil(F.col("of_sig") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     spread = groups.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = spread.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "bins", "size")
+    keyed = spread.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "sketch", "size")
 
-    def pairs(rows):
-        """Of one key: nodes of block i against those of block j, or within the block if they are the same."""
-        own, node, label, bins, size = rows
-        left = np.flatnonzero(own == own.min())
-        right = np.flatnonzero(own == own.max())
+    def near(own, node, label, sketches, size):
+        """Of one key: nodes of block i against those of block j, or within the block if they are the same: distances, nodes and labels."""
+        n = min(map(len, sketches))
+        bits = np.stack([folded(np.frombuffer(x, np.uint8), n) for x in sketches]).view(np.uint64)
+        left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
         for s in range(0, len(left), 64):
             a = left[s : s + 64]
-            far = np.zeros((len(a), len(right)), np.int32)
-            for x in range(0, BINS, 32):
-                far += np.abs(bins[a][:, None, x : x + 32] - bins[right][None, :, x : x + 32]).sum(2, dtype=np.int32)
-            near = (far * (100 + percent) <= (100 - percent) * (size[a][:, None] + size[right][None, :])) & (label[a][:, None] != label[right][None, :])
-            p, q = np.nonzero(near)
-            u, v = node[a[p]], node[right[q]]
-            yield np.minimum(u, v), np.maximum(u, v)
+            far = np.zeros((len(a), len(right)), np.int64)
+            for x in range(0, bits.shape[1], 32):
+                far += np.bitwise_count(bits[a][:, None, x : x + 32] ^ bits[right][None, :, x : x + 32]).sum(2, dtype=np.int64)
+            p, q = np.nonzero((far <= most_apart(size[a][:, None], size[right][None, :], percent)) & (label[a][:, None] != label[right][None, :]))
+            for d, u, v in zip(far[p, q].tolist(), a[p].tolist(), right[q].tolist(), strict=True):
+                yield d, node[u], node[v], label[u], label[v]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
+        def made(found):
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["a", "b"])
+
         def flush(table):
             sig, i, j = (table.column(c).to_numpy() for c in ("sig", "i", "j"))
-            rows = [table.column(c).to_numpy() for c in ("own", "node", "label")]
-            bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-            rows += [bins, table.column("size").to_numpy()]
+            own, node, label, size = (table.column(c).to_numpy() for c in ("own", "node", "label", "size"))
+            sketches = table.column("sketch").to_pylist()
             cut = np.flatnonzero((np.diff(sig) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             found = set()
             for s, e in zip([0, *cut], [*cut, len(sig)], strict=True):
-                one = [r[s:e] for r in rows]
-                if i[s] != j[s] and (one[0] == one[0][0]).all():
+                if i[s] != j[s] and (own[s:e] == own[s]).all():
                     continue  # only one of the two blocks has nodes
-                for u, v in pairs(one):
-                    found.update(zip(u.tolist(), v.tolist(), strict=True))
+                if (label[s:e] == label[s]).all():
+                    continue
+                best = {}
+                for d, u, v, x, y in near(own[s:e], node[s:e], label[s:e], sketches[s:e], size[s:e]):
+                    pair = (min(u, v), max(u, v))
+                    if not nearest_only:
+                        found.add(pair)
+                    elif (key := (min(x, y), max(x, y))) not in best or (d, pair) < best[key]:
+                        best[key] = (d, pair)
+                found.update(pair for _, pair in best.values())
                 if len(found) > 100_000:
                     yield made(found)
                     found = set()
             yield made(found)
 
-        def made(found):
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["a", "b"])
-
         for batch in batches:  # sorted by key; the last key may go on in the next batch
             if not batch.num_rows:
                 continue
@@ -264,26 +292,33 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE, percent: int
     """doc_id, n_shingles and component_id for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("t"))
     texts = stored(described(docs, shingle, percent), "jaccard-texts")
-    nodes = stored(texts.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sigs").alias("sigs")), "jaccard-nodes")
+    known = texts.filter("node IS NOT NULL")
     by_sig = Window.partitionBy("sig")
-    met = nodes.select("node", F.explode("sigs").alias("sig")).withColumn("least", F.min("node").over(by_sig)).withColumn("most", F.max("node").over(by_sig))
+    met = known.groupBy("node").agg(F.first("sigs").alias("sigs")).select("node", F.explode("sigs").alias("sig")).withColumn("least", F.min("node").over(by_sig)).withColumn("most", F.max("node").over(by_sig))
     met = stored(met.filter("least <> most").select("sig", "node", "least"), "jaccard-met")
     wanted = stored(met.select("node").distinct(), "jaccard-wanted")
     sets = stored(sets_of(docs, wanted, shingle), "jaccard-sets")
 
     firsts = met.filter("node <> least").groupBy("node").agg(F.min("least").alias("b")).select(F.col("node").alias("a"), "b")
     links = stored(linked(firsts, sets, percent), "jaccard-links")
-    labels = components(links)
-    placed = met.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    placed = placed.withColumn("low", F.min("label").over(by_sig)).withColumn("high", F.max("label").over(by_sig)).withColumn("of_sig", F.count("*").over(by_sig))
-    apart = stored(placed.filter("low <> high").select("sig", "node", "label", "of_sig"), "jaccard-apart")
-    apart = apart.join(sets.select("node", "bins", (F.octet_length("members") / 8).cast("long").alias("size")), "node")
-    more = stored(linked(apart_but_near(apart, percent), sets, percent), "jaccard-links")
-    labels = components(links.unionByName(more))
-
-    owned = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first_id")
-    lowest = owned.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    answers = stored(stored(owned, "jaccard-owned").join(stored(lowest, "jaccard-lowest"), "label").select(F.col("node").alias("_node"), "component_id"), "jaccard-answers")
+    labels, apart = components(links), None
+    for nearest_only in (True, False):
+        placed = met.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+        placed = placed.withColumn("low", F.min("label").over(by_sig)).withColumn("high", F.max("label").over(by_sig)).withColumn("of_sig", F.count("*").over(by_sig))
+        if apart is not None:
+            forget(apart)
+        apart = stored(placed.filter("low <> high").select("sig", "node", "label", "of_sig"), "jaccard-apart")
+        groups = apart.join(sets.select("node", "sketch", (F.octet_length("members") / 8).cast("long").alias("size")), "node")
+        more = stored(linked(apart_but_near(groups, percent, nearest_only), sets, percent), "jaccard-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+
+    nodes = known.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    owned = stored(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first_id"), "jaccard-owned")
+    lowest = stored(owned.groupBy("label").agg(F.min("first_id").alias("component_id")), "jaccard-lowest")
+    answers = stored(owned.join(lowest, "label").select(F.col("node").alias("_node"), "component_id"), "jaccard-answers")
+    forget(met, wanted, sets, apart, labels, owned, lowest)
     return texts.join(answers, texts["node"] == answers["_node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
