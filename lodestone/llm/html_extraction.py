@@ -50,6 +50,7 @@ HEADERS = frozenset(("header", "heading-bar", "top"))
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_WORD = re.compile(r"\S*\w\S*")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
@@ -100,7 +101,7 @@ def pieces_of(page: str) -> list[Piece]:
     def text(raw: str):
         decoded = html.unescape(raw)
         if decoded:
-            piece(decoded, len(decoded.split()), None, False)
+            piece(decoded, len(_WORD.findall(decoded)), None, False)
 
     at = 0
     while at < len(page):
