@@ -36,3 +36,12 @@ def compatibility(start: Column, end: Column) -> Column:
     """Scaled product of two projections (arrays of equal length)."""
     product = F.aggregate(F.zip_with(start, end, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
     return product / F.sqrt(F.size(start))
+
+
+def centred_prefix(value: Column, group: list[str], order: list) -> Column:
+    """Running sum, up to and with each row, of what a value is above its group's mean."""
+    own = Window.partitionBy(*group)
+    mean = F.avg(value).over(own)
+    # The sum of (value - mean) over the first k rows is their sum less k times the mean.
+    before = own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(value).over(before) - F.count(value).over(before) * mean

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .functions.scores import probability
+from .functions.scores import centred_prefix, compatibility, probability
 from .functions.validators import accepts_all
 from .operators import choices as C
 from .operators import classify, explicit, formatting, overlap, pool, records, relations, spans, structures
@@ -365,6 +365,20 @@ def pool_candidates(spark, sf_dir):
     return pool.candidate_pool(_boundaries(spark, sf_dir), POOL, _compat()).select("doc_id", F.col("slot").cast("long").alias("slot"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), r6("proposal").alias("proposal"))
 
 
+@query(f"WITH {SQL_N}, b AS (SELECT doc_id, pos, {hash_logit_sql('doc_id', 'pos', '3', '0')} AS x FROM (SELECT doc_id, unnest(range(n)) AS pos FROM n)) SELECT doc_id, pos, CAST(round((sum(x) OVER w - count(x) OVER w * avg(x) OVER (PARTITION BY doc_id)) * 2000 * count(*) OVER (PARTITION BY doc_id)) AS BIGINT) AS inside FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)")
+def inside_prefix_sums(spark, sf_dir):
+    words = worded(spark, sf_dir).filter("n_words > 0")
+    at = words.select("doc_id", "n_words", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n_words") - 1).cast("long"))).alias("pos")).withColumn("x", hash_logit(F.col("doc_id"), F.col("pos"), 3, 0))
+    return at.select("doc_id", "pos", F.round(centred_prefix(F.col("x"), ["doc_id"], ["pos"]) * 2000 * F.col("n_words")).cast("long").alias("inside"))
+
+
+@query("WITH e AS (SELECT vec_id, embedding, label FROM embeddings), f AS (SELECT label, embedding AS first FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * first[i]::DOUBLE)) / sqrt(len(embedding)), 6) AS compat FROM e JOIN f USING (label)")
+def compatibility_products(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    first = vectors.groupBy("label").agg(F.min(F.struct("vec_id", "embedding"))["embedding"].alias("first"))
+    return vectors.join(first, "label").select("vec_id", r6(compatibility(F.col("embedding"), F.col("first"))).alias("compat"))
+
+
 # Relations
 
 
