@@ -1,6 +1,7 @@
 """Content-addressed WARC archive.
 
-Two stores in the shared folder: payloads, each once, under the SHA-256 digest of its bytes; and
+Two stores in the shared folder: payloads, each once and compressed, under the SHA-256 digest of its
+bytes; and
 record headers, exactly as they stand in the archive, with the digest of their payload. Records
 are read back by joining the two; each payload is hashed again and must give its address.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,23 +82,31 @@ def write_archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[Dat
 
     again = (F.col("first_rid") != F.col("rid")) & (F.col("n") >= least_bytes)
     headers = stored(told.select("page_id", "url", "sha1", "n", F.coalesce(again, F.lit(False)).alias("again"), "first_id", "sha256").mapInArrow(heads, "header binary, sha256 binary"), "warc-headers")
+
+    def packed(batches):
+        for batch in batches:
+            found = [v.as_py() for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).digest() for p in found], pa.binary()), pa.array([zlib.compress(p, 1) for p in found], pa.binary())], ["sha256", "payload"])
+
     # Any of the copies will do, as they are equal; copies within a task meet before the exchange.
-    payloads = stored(pages.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload")).select(F.unhex("sha256").alias("sha256"), "payload"), "warc-payloads")
+    every = pages.select("payload").mapInArrow(packed, "sha256 binary, payload binary")
+    payloads = stored(every.groupBy("sha256").agg(F.first("payload").alias("payload")), "warc-payloads")
     return headers, payloads
 
 
 def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """Whole records rebuilt by the join: header, and the full payload (of a revisit that of its response)."""
 
-    def verified(batches):
+    def unpacked(batches):
         for batch in batches:
-            for address, payload in zip(batch.column(0), batch.column(1), strict=True):
-                if hashlib.sha256(payload.as_py()).digest() != address.as_py():
+            found = []
+            for address, payload in zip(batch.column(1), batch.column(2), strict=True):
+                found.append(zlib.decompress(payload.as_py()))
+                if hashlib.sha256(found[-1]).digest() != address.as_py():
                     raise ValueError(f"payload at {address.as_py().hex()} has other bytes")
-            yield batch
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["header", "payload"])
 
-    kept = payloads.mapInArrow(verified, "sha256 binary, payload binary")
-    return headers.join(kept, "sha256").select("header", "payload")
+    return headers.join(payloads, "sha256").select("header", "sha256", "payload").mapInArrow(unpacked, "header binary, payload binary")
 
 
 def op10_warc_archive(pages: DataFrame) -> DataFrame:

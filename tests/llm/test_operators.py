@@ -380,6 +380,6 @@ def test_warc(spark):
     assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == 0} == {(3, "response", None), (4, "revisit", 3)}
     headers, payloads = warc.write_archive(pages)
     assert payloads.count() == 4 and headers.count() == len(rows)
-    broken = payloads.withColumn("payload", F.lit(b"other"))
+    broken = payloads.withColumn("payload", F.lit(zlib.compress(b"other")))
     with pytest.raises(Exception, match="other bytes"):
         warc.read_archive(headers, broken).collect()
