@@ -128,7 +128,8 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, end_id: int, block_t
     files = write_token_files(docs, ranks, pattern, end_id)
     lengths = document_lengths(files.select("file", "tokens"), end_id, block_tokens)
     ids = files.select("file", F.posexplode("ids").alias("number", "doc_id")).withColumn("number", F.col("number").cast("long"))
-    return ids.join(lengths, ["file", "number"]).select("doc_id", "n_tokens")
+    # Both sides have a row for each document, which their small files don't tell the planner: neither may be broadcast.
+    return ids.join(lengths.hint("merge"), ["file", "number"]).select("doc_id", "n_tokens")
 
 
 def op6_token_counts(docs: DataFrame) -> DataFrame:
