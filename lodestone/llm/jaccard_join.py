@@ -218,7 +218,7 @@ def near_by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataFrame:
     """Distinct pairs of nodes of one signature in different components that their sketches don't rule out.
 
-    nearest_only: of each two components, in each block of each signature, only the nearest pair.
+    nearest_only: for each component, in each block of each signature, only its nearest pair.
     groups: sig, node, label, of_sig, sketch, size. A group of several blocks goes out as pairs of
     blocks, each to its own key.
     """
@@ -263,8 +263,10 @@ def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataF
                     pair = (min(u, v), max(u, v))
                     if not nearest_only:
                         found.add(pair)
-                    elif (key := (min(x, y), max(x, y))) not in best or (d, pair) < best[key]:
-                        best[key] = (d, pair)
+                    else:
+                        for of in (x, y):
+                            if of not in best or (d, pair) < best[of]:
+                                best[of] = (d, pair)
                 found.update(pair for _, pair in best.values())
                 if len(found) > 100_000:
                     yield made(found)
@@ -302,12 +304,14 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE, percent: int
     firsts = met.filter("node <> least").groupBy("node").agg(F.min("least").alias("b")).select(F.col("node").alias("a"), "b")
     links = stored(linked(firsts, sets, percent), "jaccard-links")
     labels, apart = components(links), None
-    for nearest_only in (True, False):
+    for nearest_only in (True, True, False):
         placed = met.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         placed = placed.withColumn("low", F.min("label").over(by_sig)).withColumn("high", F.max("label").over(by_sig)).withColumn("of_sig", F.count("*").over(by_sig))
         if apart is not None:
             forget(apart)
         apart = stored(placed.filter("low <> high").select("sig", "node", "label", "of_sig"), "jaccard-apart")
+        if apart.isEmpty():
+            break
         groups = apart.join(sets.select("node", "sketch", (F.octet_length("members") / 8).cast("long").alias("size")), "node")
         more = stored(linked(apart_but_near(groups, percent, nearest_only), sets, percent), "jaccard-links")
         if not more.isEmpty():
