@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 #: White space as the tokenizer library has it (Python's own class has four control characters more).
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Transitions of the transducer and whole pieces that a worker keeps.
-KEPT_MOVES = 300_000
-KEPT_PIECES = 400_000
+KEPT_MOVES = 200_000
+KEPT_PIECES = 350_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -100,7 +100,7 @@ class Transducer:
                         break
                 if not found:
                     break
-            if len(self.agreeing) > 500_000:
+            if len(self.agreeing) > 200_000:
                 self.agreeing.clear()
             self.agreeing[a, b] = found
         return found
@@ -203,24 +203,25 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self.find = pattern_of(pattern).findall
-        self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.decimals = {i: str(i) for i in self.transducer.bytes_of}
 
-    def pieces_of(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """For each piece its ids, and the ids as decimals with commas."""
-        kept = self.pieces
-        out = []
+    def encode(self, text: str) -> list[int]:
+        kept, out = self.pieces, []
         for piece in self.find(text):
-            known = kept.get(piece)
-            if known is None:
+            ids = kept.get(piece)
+            if ids is None:
                 if len(kept) > KEPT_PIECES:
                     kept.clear()
-                ids = self.transducer.encode(piece.encode())
-                known = kept[piece] = (ids, ",".join(map(str, ids)))
-            out.append(known)
+                ids = kept[piece] = self.transducer.encode(piece.encode())
+            out += ids
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.pieces_of(text) for i in ids]
+    def forget(self) -> None:
+        """Drops what was kept: a worker may go on to other work."""
+        self.pieces.clear()
+        self.transducer.moves.clear()
+        self.transducer.agreeing.clear()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
@@ -253,6 +254,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -277,12 +279,12 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             counts, digests, decoded = [], [], []
             for value in batch.column(1):
-                pieces = bpe.pieces_of(value.as_py() or "")
-                ids = [i for p, _ in pieces for i in p]
+                ids = bpe.encode(value.as_py() or "")
                 counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join([s for _, s in pieces]).encode()).hexdigest())
+                digests.append(hashlib.sha256(",".join(map(bpe.decimals.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -30,13 +30,15 @@ from .ragged import TimeMajor, forward_backward
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
-SAMPLE = 2400
-SAMPLE_BYTES = 20_000
+SAMPLE = 1000
+SAMPLE_BYTES = 6_000
 PIECE_WORDS = 40
 PIECES = 3
 EPOCHS = 30
 #: Words of a batch of texts that forward-backward runs over at once.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 150_000
+#: Words whose features are worked out at once.
+FEATURE_WORDS = 20_000
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -92,8 +94,11 @@ class Crf:
     def scores(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros((0, len(self.labels)), self.weights.dtype)
-        found, starts = features(words)
-        return np.add.reduceat(self.weights[found], starts, axis=0)
+        out = np.empty((len(words), len(self.labels)), self.weights.dtype)
+        for s in range(0, len(words), FEATURE_WORDS):
+            found, starts = features(words[s : s + FEATURE_WORDS])
+            out[s : s + FEATURE_WORDS] = np.add.reduceat(self.weights[found], starts, axis=0)
+        return out
 
 
 def posteriors(model: Crf, emission: np.ndarray, tm: TimeMajor) -> tuple[np.ndarray, np.ndarray]:
