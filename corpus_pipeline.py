@@ -16,6 +16,8 @@ from lodestone.llm.common import crc_of_id, stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose words agree on no language even so far is rejected.
 LEAST_SCORE = 0.3
+#: Near copies: as many percent of the shingles of so many words of two texts are equal.
+SHINGLE, PERCENT = 5, 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, once. Rows with a null id, which nothing could name, stay."""
     docs = docs.select(*COLUMNS)
-    kept = jaccard_join.similarity_components(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = jaccard_join.similarity_components(docs.select("doc_id", "text"), shingle=SHINGLE, percent=PERCENT).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(stored(kept, "pipeline-kept"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id IS NULL"))
 

@@ -34,3 +34,12 @@ def test_stages_take_odd_rows(spark, sf):
         assert out.columns == list(corpus_pipeline.COLUMNS) and stage(spark, docs.filter("false"), sf).count() == 0
         docs = out
     assert sorted(str(r["doc_id"]) for r in docs.collect()) in (["3", "None"], [])
+
+
+def test_jaccard_stage_takes_five_words_and_four_fifths(spark, sf):
+    words = [f"w{i}" for i in range(44)]
+    # Of 40 shingles of five words 33, 32 and 31 are left; of 41 of four words 34, 33 and 32, all under 0.85.
+    for cut, kept in ((7, [1]), (8, [1]), (9, [1, 2])):
+        rows = [(1, " ".join(words), "en", "a", 0), (2, " ".join(words[:-cut]), "en", "a", 0)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        assert sorted(r["doc_id"] for r in corpus_pipeline.jaccard_stage(spark, docs, sf).collect()) == kept
