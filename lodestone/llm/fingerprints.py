@@ -3,11 +3,11 @@
 Terms are the distinct lower-case words of a text. The lexicon holds terms whose document
 frequency over all texts lies in a band: between ``LEAST_SHARE`` and ``MOST_SHARE`` of them, and at
 least 2. So it is bounded, whatever the number of texts: the terms in a share of at least s of all
-texts are no more than 1/s times the mean number of terms in a text. A quarter of all terms, by hash,
-takes part. From the lexicon ``SUBSETS`` random subsets are drawn for each of several rates; a text's
+texts are no more than 1/s times the mean number of terms in a text. Every term of the band takes
+part. From the lexicon ``SUBSETS`` random subsets are drawn for each of several rates; a text's
 terms in a subset, sorted, are hashed, and the hashes make up the fingerprint ("......" where the
 subset has no term of the text). Large subsets tell long texts with small changes from others, small
-ones tell how much two texts share.
+ones tell how much two texts share; those of half the lexicon are for texts with few of its terms.
 
 Likeness of two fingerprints: for each rate, of the subsets in which at least one of the texts has a
 term, the share of those with equal hashes; the largest of these shares over the rates with at least
@@ -25,15 +25,14 @@ its own next. Other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_SHARE = 0.001
 MOST_SHARE = 0.05
-#: One in so many terms, by hash, takes part.
-ONE_IN = 4
 #: Bits of the rates: a subset holds one in 2**bits of the lexicon's terms.
-RATES = (3, 5, 7)
+RATES = (1, 3, 5, 7)
+#: No more than 64 for all rates: a term's subsets are bits of a long.
 SUBSETS = 16
 EVIDENCE = 4
 DIGITS = 6
@@ -43,8 +42,8 @@ MOST_BUCKETS = 65_536
 
 
 def terms_of(text: str) -> str:
-    """SQL for the hashes of a text's terms that take part, with repetitions."""
-    return f"filter(transform(split(lower({text}), '[\\\\s]+'), w -> xxhash64(w)), h -> pmod(h, {ONE_IN}) = 0)"
+    """SQL for the hashes of a text's terms, with repetitions."""
+    return f"transform(split(lower({text}), '[\\\\s]+'), w -> xxhash64(w))"
 
 
 def lexicon_of(docs: DataFrame) -> np.ndarray:
@@ -56,14 +55,28 @@ def lexicon_of(docs: DataFrame) -> np.ndarray:
     return np.sort(kept.select("h").toArrow()["h"].to_numpy())
 
 
-def with_fingerprint(df: DataFrame, text: str, lexicon: Column, name: str) -> DataFrame:
+def lane(i: int) -> int:
+    """The bits of the subsets of a rate, as a signed long."""
+    bits = ((1 << SUBSETS) - 1) << (i * SUBSETS)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def subsets_of(h: str) -> str:
+    """SQL for the subsets that hold a term, as bits: a rate's are set in each of as many hashes as the rate has bits."""
+    spared = [sum(lane(i) for i, bits in enumerate(RATES) if bits < k) for k in range(1, max(RATES) + 1)]
+    return " & ".join(f"(xxhash64({h}, {k}) | {x}L)" for k, x in enumerate(spared, 1))
+
+
+def with_fingerprint(df: DataFrame, text: str, lexicon: np.ndarray, name: str) -> DataFrame:
     """Adds the fingerprint of a text column."""
     empty = "." * DIGITS
-    parts = [f"transform(sequence(1, {SUBSETS}), r -> filter({name}_terms, h -> pmod(xxhash64(h, r, {bits}), {1 << bits}) = 0))" for bits in RATES]
-    hashes = f"transform(concat({', '.join(parts)}), s -> if(size(s) = 0, '{empty}', right(concat('{'0' * DIGITS}', lower(hex(xxhash64(s)))), {DIGITS})))"
-    # The lexicon is sorted and leads, so the terms found are sorted too.
-    found = df.withColumn(f"{name}_terms", F.array_intersect(lexicon, F.expr(terms_of(text))))
-    return found.withColumn(name, F.array_join(F.expr(hashes), "")).drop(f"{name}_terms")
+    among = f"h IN ({', '.join(f'{h}L' for h in lexicon.tolist())})" if len(lexicon) else "false"
+    terms, lanes = f"{name}_terms", [f"{name}_terms_{i}" for i in range(len(RATES))]
+    found = df.withColumn(terms, F.expr(f"transform(array_sort(array_distinct(filter({terms_of(text)}, h -> {among}))), h -> named_struct('h', h, 'm', {subsets_of('h')}))"))
+    found = found.withColumns({x: F.expr(f"filter({terms}, p -> (p.m & {lane(i)}L) <> 0L)") for i, x in enumerate(lanes)})
+    parts = [f"filter({x}, p -> (p.m & shiftleft(1L, {i * SUBSETS + r})) <> 0L)" for i, x in enumerate(lanes) for r in range(SUBSETS)]
+    hashes = f"transform(array({', '.join(parts)}), s -> if(size(s) = 0, '{empty}', right(concat('{'0' * DIGITS}', lower(hex(xxhash64(s)))), {DIGITS})))"
+    return found.withColumn(name, F.array_join(F.expr(hashes), "")).drop(terms, *lanes)
 
 
 def likeness(a: str, b: str) -> str:
@@ -118,7 +131,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def op7_imatch_fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    lexicon = F.lit(lexicon_of(docs.select("t")))
+    lexicon = lexicon_of(docs.select("t"))
     own = with_fingerprint(bucketed(docs), "t", lexicon, "fingerprint")
     edited = with_next(own).withColumn("n_chars", F.length("t").cast("long")).withColumn("e", F.concat(F.expr("substr(t, 1, int(n_chars - n_chars div 2))"), F.expr("substr(next_t, 1, int(n_chars div 2))")))
     edited = with_fingerprint(edited, "e", lexicon, "edited_fingerprint")

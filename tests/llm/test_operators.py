@@ -312,6 +312,16 @@ def test_fingerprints(spark, odd, sf):
     assert np.mean([r["near_edited"] for r in found]) > 5 * np.mean([r["near_next"] for r in found])
 
 
+def test_fingerprints_take_every_term_of_the_band(spark):
+    # Each text has one term of the band, and only the row after it has that one too.
+    rows = [(i, f"term{i // 2}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(fingerprints.lexicon_of(docs.select(F.col("text").alias("t")))) == 100
+    found = fingerprints.op7_imatch_fingerprints(docs).collect()
+    assert all(r["fingerprint"].strip(".") for r in found) and len({r["fingerprint"] for r in found}) == 100
+    assert all(r["near_next"] == (1.0 if r["doc_id"] % 2 == 0 else 0.0) for r in found)
+
+
 # 9
 
 
