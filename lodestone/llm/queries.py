@@ -35,9 +35,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
-    "op3_html_extraction": _on(op3_html_extraction, "pages"),
     "op4_sharding": sharding.ORACLE,
-    "op9_jaccard_join": _on(op9_jaccard_join, "documents"),
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_warc_archive": warc.ORACLE,
 }
