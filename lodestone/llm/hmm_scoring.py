@@ -124,7 +124,7 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
     for c, w in ranked:
         words.append(w)
         freq.append(-c)
-    own = set(words[:OWN_CLASSES])
+    own = set(words[: OWN_CLASSES - 1])  # as in arrays()
 
     def run(batches):
         tokens, types = np.zeros(OWN_CLASSES + SHARED_CLASSES, np.int64), np.zeros(OWN_CLASSES + SHARED_CLASSES, np.int64)

@@ -154,6 +154,14 @@ def test_hmm_model_is_a_distribution(spark, sf):
     assert np.allclose(once, [hmm_scoring.sequence_scores([s], model)[0] for s in seqs])
 
 
+def test_hmm_shared_classes_hold_all_their_words(spark):
+    counts = [(b"", 1)] + [(f"w{i}".encode(), 10_000 - i) for i in range(hmm_scoring.OWN_CLASSES + 30)]
+    found = hmm_scoring.lexicon_of(spark.createDataFrame(counts, "word binary, c long"))
+    classes = found.arrays()[0][: len(found.words)]
+    for k in set(classes[classes >= hmm_scoring.OWN_CLASSES].tolist()):
+        assert found.class_tokens[k] == found.counts[classes == k].sum() and found.class_words[k] == (classes == k).sum()
+
+
 # 3
 
 
