@@ -1,25 +1,31 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and streaming decoding.
 
 Encoding. A sequence of tokens is what BPE gives for its bytes exactly if each neighbouring pair
-is what BPE gives for the bytes of the pair. So the merges compile into a transducer whose state
-is the last token and whose arcs lead to the tokens that agree with it. Its input is looked ahead
-at no further than the longest token that the coming bytes begin with; for a state and a
-lookahead, the arcs in order of length are worked out when first met and kept (when there are very
-many, all are dropped and made anew). The longest arc is taken; where no arc goes on, the position
-is dead and the arc before gives way to the next shorter. As each prefix of the bytes has one last
-token only, what is left at the end of a piece of text is its encoding.
-
-Decoding. Ids become bytes one by one; an incremental UTF-8 machine keeps the bytes of an unended
-character between chunks and gives a replacement character for what can't be UTF-8.
-
-Nulls: a null text is empty: no tokens. Repeated rows are encoded each. Other columns are ignored.
+is what BPE gives for the bytes of the pair, so each prefix of the bytes has one last token only.
+The merges thus compile into a transducer that reads bytes: one hypothesis for each place where the
+token under way may have begun, as the trie node of the bytes since and the token before. A
+determinised state is the list of live hypotheses; its output is the last token of the prefix read.
+States and arcs are made when first needed and kept; when there are very many, all are dropped and
+made anew. Tokens are given out once all live hypotheses agree on them, and never taken back; as no
+hypothesis is longer than the longest token, no token waits for more than a bounded lookahead.
+
+Texts are cut into pieces by the splitting pattern; the tokens of short pieces are kept, so that the
+transducer reads few of them twice.
+
+Decoding. Ids become bytes; an incremental UTF-8 machine keeps the bytes of an unended character
+between chunks and gives a replacement character for what can't be UTF-8.
+
+Nulls: a null text is empty: no tokens; a null doc_id is passed on. Empty texts have no tokens and
+the digests of nothing. Repeated rows are encoded each. Very long texts are taken whole, piece by
+piece. An empty table gives an empty result. There are no ties: an encoding is unique. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +33,15 @@ from pyspark.sql import functions as F
 
 #: White space as the tokenizer library has it (Python's own class has four control characters more).
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: Transitions of the transducer and whole pieces that a worker keeps.
-KEPT_MOVES = 200_000
-KEPT_PIECES = 350_000
+#: States of the transducer, pairs of tokens, and pieces of text with their tokens, that a worker keeps; longer ones aren't kept.
+KEPT_STATES = 250_000
+KEPT_PAIRS = 400_000
+KEPT_PIECES = 400_000
+KEPT_LENGTH = 40
+#: Bytes after which the tokens of a piece that are sure are given out.
+WINDOW = 4096
+#: Ids that are decoded at once.
+DECODED = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,19 +72,39 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[b
     return parts
 
 
+_BEFORE = (1 << 24) - 1
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
-        #: For two bytes, the length of the longest token that begins with them.
-        self.reach: dict[bytes, int] = {}
-        for t in ranks:
-            if len(t) > self.reach.get(t[:2], 1):
-                self.reach[t[:2]] = len(t)
-        self.agreeing: dict[tuple[int, int], bool] = {}
+        #: The trie of all tokens: (node, byte) to node; for each node its depth, the token that ends there or -1, and whether it goes on.
+        self.child: dict[int, int] = {}
+        self.depth, self.token_at, self.goes_on = [0], [-1], bytearray(1)
+        for t, r in ranks.items():
+            node = 0
+            for i, byte in enumerate(t, 1):
+                self.goes_on[node] = 1
+                node = self.child.setdefault(node << 8 | byte, len(self.depth))
+                if node == len(self.depth):
+                    self.depth.append(i)
+                    self.token_at.append(-1)
+                    self.goes_on.append(0)
+            self.token_at[node] = r
         self.reachable: dict[int, bool] = {}
+        self.agreeing: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.moves: dict[tuple[int, bytes], tuple[tuple[int, int], ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all states and arcs but the start, which is state 0."""
+        #: Hypotheses of a state, each a trie node and the token before (one more; 0 at the start), oldest first.
+        self.live: list[tuple[int, ...]] = [(0,)]
+        self.state_of: dict[tuple[int, ...], int] = {}
+        #: The last token of what a state has read, and its length.
+        self.token, self.length = [-1], [0]
+        self.arcs: dict[int, int] = {}
 
     def edge(self, token: int, right: bool) -> list[tuple[bytes, float]]:
         """The tokens at one edge of a token through its merges, outermost first: bytes, and the rank at which each merges into the one before."""
@@ -87,11 +119,11 @@ class Transducer:
             self.edges[right][token] = found
         return found
 
-    def agree(self, a: int, b: int) -> bool:
-        """Whether b can follow a: no token at the end of a merges with one at the start of b while both are there."""
-        found = self.agreeing.get((a, b))
-        if found is None:
-            found, ranks, starts = True, self.ranks, self.edge(b, False)
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether b can follow a (-1: the start): BPE makes b of its bytes, and no token at the end of a merges with one at the start of b while both are there."""
+        found = self.whole(b)
+        if found and a >= 0:
+            ranks, starts = self.ranks, self.edge(b, False)
             for x, x_until in self.edge(a, True):
                 for y, y_until in starts:
                     m = ranks.get(x + y)
@@ -100,9 +132,9 @@ class Transducer:
                         break
                 if not found:
                     break
-            if len(self.agreeing) > 200_000:
-                self.agreeing.clear()
-            self.agreeing[a, b] = found
+        if len(self.agreeing) > KEPT_PAIRS:
+            self.agreeing.clear()
+        self.agreeing[(a + 1) << 32 | b] = found
         return found
 
     def whole(self, b: int) -> bool:
@@ -112,55 +144,70 @@ class Transducer:
             found = self.reachable[b] = len(merge_pairs(self.bytes_of[b], self.ranks)) == 1
         return found
 
-    def move(self, state: int, seen: bytes) -> tuple[tuple[int, int], ...]:
-        """The transitions out of a state for a lookahead: tokens that may follow, the longest first, and their lengths."""
-        found = []
-        for n in range(len(seen), 0, -1):
-            token = self.ranks.get(seen[:n])
-            if token is not None and self.whole(token) and (state < 0 or self.agree(state, token)):
-                found.append((token, n))
-        moves = tuple(found)
-        if len(self.moves) > KEPT_MOVES:
-            self.moves.clear()
-        self.moves[state, seen] = moves
-        return moves
-
-    def ahead(self, piece: bytes, at: int) -> bytes:
-        """The lookahead: the longest token that the bytes from a position begin with."""
-        ranks = self.ranks
-        for n in range(min(len(piece) - at, self.reach.get(piece[at : at + 2], 1)), 1, -1):
-            seen = piece[at : at + n]
-            if seen in ranks:
-                return seen
-        return piece[at : at + 1]
+    def arc(self, state: int, byte: int) -> int:
+        """Makes the arc of a state for a byte: each hypothesis reads the byte, and the one whose token ends there begins a new one."""
+        child, token_at, goes_on, agreeing = self.child, self.token_at, self.goes_on, self.agreeing
+        live, ended = [], -1
+        for hypothesis in self.live[state]:
+            node = child.get((hypothesis >> 24) << 8 | byte)
+            if node is None:
+                continue
+            before = hypothesis & _BEFORE
+            if ended < 0:
+                token = token_at[node]
+                if token >= 0:
+                    ok = agreeing.get(before << 32 | token)
+                    if ok or ok is None and self.may_follow(before - 1, token):
+                        ended = token
+            if goes_on[node]:
+                live.append(node << 24 | before)
+        if ended < 0:
+            raise ValueError(f"no token ends at byte {byte}")
+        live.append(ended + 1)
+        key = tuple(live)
+        to = self.state_of.get(key)
+        if to is None:
+            to = self.state_of[key] = len(self.live)
+            self.live.append(key)
+            self.token.append(ended)
+            self.length.append(len(self.bytes_of[ended]))
+        self.arcs[state << 8 | byte] = to
+        return to
+
+    def sure(self, state: int, ends: list[int], base: int) -> int:
+        """How far all live hypotheses agree on the tokens. ends: a state for each byte after place ``base``, up to which they agree."""
+        places = {len(ends) + base - self.depth[h >> 24] for h in self.live[state]}
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(max(base, last - self.length[ends[last - base - 1]]))
+        return places.pop()
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Tokens of one piece of text. A piece that is itself a token is that token."""
         direct = self.ranks.get(piece)
         if direct is not None:
             return (direct,)
-        kept, ahead = self.moves, self.ahead
-        out: list[tuple[int, int]] = []
-        dead: set[int] = set()
-        at, state, n = 0, -1, len(piece)
-        while at < n:
-            seen = ahead(piece, at)
-            moves = kept.get((state, seen))
-            if moves is None:
-                moves = self.move(state, seen)
-            for step in moves:
-                if at + step[1] not in dead:
-                    out.append(step)
-                    state = step[0]
-                    at += step[1]
-                    break
-            else:  # no token goes on from here: the token before was too long
-                if not out:
-                    raise ValueError(f"no tokens for {piece!r}")
-                dead.add(at)
-                at -= out.pop()[1]
-                state = out[-1][0] if out else -1
-        return tuple([token for token, _ in out])
+        if len(self.live) > KEPT_STATES:
+            self.forget()
+        arcs, out, base = self.arcs, [], 0
+        state, ends = 0, []
+        for i in range(0, len(piece), WINDOW):
+            for byte in piece[i : i + WINDOW]:
+                to = arcs.get(state << 8 | byte)
+                state = self.arc(state, byte) if to is None else to
+                ends.append(state)
+            last = i + WINDOW >= len(piece)
+            at = until = len(piece) if last else self.sure(state, ends, base)
+            given = []
+            while at > base:
+                end = ends[at - base - 1]
+                given.append(self.token[end])
+                at -= self.length[end]
+            out += reversed(given)
+            del ends[: until - base]
+            base = until
+        return tuple(out)
 
 
 class Utf8Stream:
@@ -211,26 +258,23 @@ class ByteBpe:
         for piece in self.find(text):
             ids = kept.get(piece)
             if ids is None:
-                if len(kept) > KEPT_PIECES:
-                    kept.clear()
-                ids = kept[piece] = self.transducer.encode(piece.encode())
+                ids = self.transducer.encode(piece.encode())
+                if len(piece) <= KEPT_LENGTH:
+                    if len(kept) > KEPT_PIECES:
+                        kept.clear()
+                    kept[piece] = ids
             out += ids
         return out
 
     def forget(self) -> None:
-        """Drops what was kept: a worker may go on to other work."""
+        """Drops kept pieces: a worker may go on to other work."""
         self.pieces.clear()
-        self.transducer.moves.clear()
-        self.transducer.agreeing.clear()
-
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
 
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
+    def decode_stream(self, ids: Sequence[int]) -> Iterator[str]:
         """The text of the ids, given out as soon as characters are whole."""
-        machine = Utf8Stream()
-        for i in ids:
-            if text := machine.feed(self.transducer.bytes_of[i]):
+        machine, bytes_of = Utf8Stream(), self.transducer.bytes_of.__getitem__
+        for i in range(0, len(ids), DECODED):
+            if text := machine.feed(b"".join(map(bytes_of, ids[i : i + DECODED]))):
                 yield text
         if text := machine.end():
             yield text
@@ -282,7 +326,10 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = bpe.encode(value.as_py() or "")
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(",".join(map(bpe.decimals.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
+                digest = hashlib.sha256()
+                for text in bpe.decode_stream(ids):
+                    digest.update(text.encode())
+                decoded.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.forget()
 

@@ -287,8 +287,32 @@ def test_bpe_random(encoding):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
         ids = bpe.encode(s)
         assert ids == encoding.encode_ordinary(s) and "".join(bpe.decode_stream(ids)) == s
-    piece = bytes(rng.randrange(256) for _ in range(500))
-    assert [bpe.transducer.bytes_of[i] for i in bpe.transducer.encode(piece)] == byte_bpe.merge_pairs(piece, bpe.transducer.ranks)
+    for n in (1, 2, 3, 500, 9000):  # longer than a window
+        piece = bytes(rng.randrange(256) for _ in range(n))
+        assert [bpe.transducer.bytes_of[i] for i in bpe.transducer.encode(piece)] == byte_bpe.merge_pairs(piece, bpe.transducer.ranks)
+    runs = "=" * 9001 + " " * 5003 + "ab" * 4000 + "\n" * 300 + "the" * 2000
+    assert bpe.encode(runs) == encoding.encode_ordinary(runs)
+
+
+def test_bpe_drops_and_makes_states_again(encoding, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KEPT_STATES", 5)
+    monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 3)
+    monkeypatch.setattr(byte_bpe, "KEPT_PAIRS", 3)
+    monkeypatch.setattr(byte_bpe, "WINDOW", 3)
+    monkeypatch.setattr(byte_bpe, "DECODED", 2)
+    bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    text = "Überraschenderweise anananas unbelievably 日本語 tokenisation =====------ 12345678 \U0001f600\U0001f600 x"
+    ids = bpe.encode(text)
+    assert ids == encoding.encode_ordinary(text) and "".join(bpe.decode_stream(ids)) == text
+
+
+def test_bpe_all_characters(encoding):
+    bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    characters = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    for before, after in (("", " "), ("a", "1"), (" ", "'s")):
+        for i in range(0, len(characters), 5000):
+            text = "".join(f"{before}{c}{after}" for c in characters[i : i + 5000])
+            assert bpe.encode(text) == encoding.encode_ordinary(text)
 
 
 @pytest.mark.parametrize("junk", [b"\xff\xfea", b"\xe2\x82", b"\xf0\x9f\x98", b"\xed\xa0\x80", b"\xc3\x28", b"\xf5\x80", "aé中😀".encode()])
