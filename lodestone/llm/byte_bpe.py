@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,12 @@ from pyspark.sql import functions as F
 
 #: White space as the tokenizer library has it (Python's own class has four control characters more).
 SPACE = r"\t-\r \x85\xa0  -     　"
+# Letters and numbers of Unicode versions after 16, the library's; there they are neither.
+LATER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+#: A character that is neither letter, number nor white space in any version.
+OTHER = "\ue000"
 #: States of the transducer, pairs of tokens, and pieces of text with their tokens, that a worker keeps; longer ones aren't kept.
 KEPT_STATES = 250_000
 KEPT_PAIRS = 400_000
@@ -57,6 +65,12 @@ def pattern_of(source: str):
     return regex.compile(source.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
 
 
+def later_characters():
+    """Finds characters of LATER."""
+    spans = [[chr(int(x, 16)) for x in span.split("-")] for span in LATER.split()]
+    return re.compile("[" + "".join("-".join(map(re.escape, span)) for span in spans) + "]")
+
+
 def merge_pairs(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[bytes]:
     """BPE by its definition: again and again the leftmost pair of least rank becomes one token, while there are more than ``least``."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -250,12 +264,17 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self.find = pattern_of(pattern).findall
+        self.later = later_characters()
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.decimals = {i: str(i) for i in self.transducer.bytes_of}
 
     def encode(self, text: str) -> list[int]:
         kept, out = self.pieces, []
-        for piece in self.find(text):
+        found = self.find(text)
+        if not text.isascii() and self.later.search(text):
+            ends = list(accumulate(map(len, self.find(self.later.sub(OTHER, text)))))
+            found = [text[i:j] for i, j in zip([0, *ends], ends)]
+        for piece in found:
             ids = kept.get(piece)
             if ids is None:
                 ids = self.transducer.encode(piece.encode())
