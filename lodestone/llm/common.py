@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where none is named."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where none is named and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -41,13 +46,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def forget(*frames: DataFrame) -> None:
-    """Deletes tables made by stored() that nothing will read again."""
+    """Deletes tables made by stored() that nothing will read again, and lets the driver find the shuffles that nothing refers to."""
     for df in frames:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()  # Spark deletes a shuffle's files once its object is collected
+
+
+def slices_of(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, list[bytes]]]:
+    """A batch's texts as bytes, some at a time: where they begin and the texts, of about most_bytes in all or a single one."""
+    texts = texts.cast(pa.binary())
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, done = 0, 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, done + most_bytes, side="right")))
+        yield at, texts.slice(at, to - at).to_pylist()
+        done = int(ends[to - 1])
+        at = to
 
 
 def utf8(column) -> F.Column:
@@ -68,14 +86,8 @@ def row_ids() -> Iterator[int]:
         base += 1
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(run, schema)
-
-
 def bitmap_of(keys: DataFrame, column: str, bits_log2: int = 24) -> bytes:
     """A bitmap of 2**bits_log2 bits with two bits set for each long key; its size doesn't depend on the data."""
-    import numpy as np
-
     words = 1 << (bits_log2 - 6)
     bits = keys.select(F.explode(F.array(F.col(column), F.expr(f"shiftrightunsigned({column}, 32)"))).alias("h"))
     rows = bits.selectExpr(f"pmod(h, {words}) AS w", f"shiftleft(1L, cast(pmod(shiftrightunsigned(h, {bits_log2 - 6}), 64) AS int)) AS m").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
@@ -86,8 +98,6 @@ def bitmap_of(keys: DataFrame, column: str, bits_log2: int = 24) -> bytes:
 
 def bitmap_has(bitmap: bytes, keys) -> "np.ndarray":  # noqa: F821
     """For each key whether its bits are set: never no wrongly, yes wrongly now and then."""
-    import numpy as np
-
     words = np.frombuffer(bitmap, np.uint64)
     shift = np.uint64(len(words).bit_length() - 1)
     found = np.ones(len(keys), bool)

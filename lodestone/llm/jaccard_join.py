@@ -3,35 +3,44 @@
 A text's set holds the 64-bit hashes of its distinct shingles. Texts with equal sets are one node,
 named by a hash of the set, so copies are never paired. Sizes fall into bands; two sets that are
 similar enough share a band of the larger, as a set also joins the next band if it can have a
-partner there. In a band at most k elements are in one set only. The domain is dealt into n1
-partitions of two halves each; at least one partition holds at most one such element, so one of
-its halves is equal in both sets. Each half of each partition gives a signature. (n1 is a little
-larger than needed: then so many partitions agree that signatures of empty halves, which unlike
-sets would share, are needed only for sets with many empty halves.)
+partner there. In a band at most k elements are in one set only. The domain is dealt into
+partitions of two halves each; an element that is in one set only spoils one half, so of H halves
+at least H - k are equal in both sets. Each half gives a signature.
+
+Signatures that unlike sets would share aren't needed by most sets, because H is greater than k + 1
+by a margin (``bins_of``): a set with e empty halves has ``slack`` = H - k - 1 - e. While that isn't
+negative, one of its filled halves is equal in any similar set, and it gives out none of the empty
+ones. In the same way a set with at most ``slack`` signatures that many nodes share leaves all of
+those: some other of its signatures is shared with any similar set. What decides is the same for all
+holders of a signature, so each similar pair keeps a signature that both hold.
 
 Nodes that share a signature are compared as follows, so that no link between different texts is
-lost and no group is paired in full: each node with the smallest node it met, by their whole sets;
-linked nodes form components; only signatures whose nodes are in different components go on. Their
-nodes are compared by odd sketches (for each of at least ``BITS`` bins whether it holds an odd number
-of elements), which differ in no more places than the sets do, block against block in place; in the
-first rounds each component's nearest pair goes on, in the last all that the sketches don't rule out
-and that are still in different components. Pairs that go on are compared by their whole sets. Large groups are cut into blocks
-that go to different tasks.
+lost and no large group is paired in full. Groups of at most ``SMALL`` nodes give their pairs. In larger
+ones each node is paired with the smallest; linked nodes form components; only signatures whose
+nodes are in different components go on. Their nodes are compared by odd sketches (for each bin
+whether it holds an odd number of elements), which differ in no more places than the sets do, block
+against block in place; in the first rounds each component's nearest pair goes on, in the last all
+that the sketches don't rule out and that are still in different components. Pairs are screened by
+their sketches and then compared by their whole sets. Large groups are cut into blocks that go to
+different tasks.
 
 Nulls: a null text, or one without words, has an empty set and is linked with nothing; a null
 doc_id is answered with the smallest other id of its component, or null. Repeated rows are copies.
-Very long texts are taken whole. Other columns are ignored.
+Very long texts are taken whole, each in a slice of its own. An empty table gives an empty result.
+Of ties there are none: a component's id is its smallest. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_has, bitmap_of, forget, stored, utf8
+from .common import bitmap_has, bitmap_of, forget, slices_of, stored
 from .components import components
 
 SHINGLE = 4
@@ -39,15 +48,22 @@ SHINGLE = 4
 PERCENT = 85
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.5
-#: The least number of bins of a sketch; larger sets have as many as they have elements, rounded up to a power of two.
-BITS = 2048
+#: The share of filled halves beyond k + 1 that the smallest sets of a band have on average.
+MARGIN = 0.05
+#: Nodes of a group whose pairs are all compared.
+SMALL = 8
+#: The least and greatest number of bins of a sketch; between them, three quarters of the number of elements, rounded up to a power of two.
+LEAST_BINS, MOST_BINS = 64, 1 << 17
 #: Nodes of a block in which all are compared by sketches.
 BLOCK = 1024
-#: Words whose hashes a worker keeps.
-KEPT_WORDS = 300_000
+#: Bytes of texts that are worked on at once.
+SLICE = 2_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_IN_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -56,26 +72,44 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_set(text: bytes, hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of n words; of a shorter text, one of all its words."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    total = h[: len(h) - n + 1] * _ODD[0]
-    for i in range(1, n):
-        total = total + h[i : len(h) - n + 1 + i] * _ODD[i % len(_ODD)]
-    return np.unique(mixed(total))
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and how many words each text has. A word is taken eight bytes at a time."""
+    raw = np.frombuffer(b" ".join([*texts, b" " * 8]), np.uint8)
+    low, inside = _LOWER[raw], _IN_WORD[raw]
+    turns = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0))
+    starts, lengths = turns[::2], turns[1::2] - turns[::2]
+    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
+    eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+    h = mixed((eight[starts] & _MASK[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * _ODD[2])
+    more, at = np.flatnonzero(lengths > 8), 8
+    while len(more):
+        h[more] = mixed(h[more] * _ODD[3] + (eight[starts[more] + at] & _MASK[np.minimum(lengths[more] - at, 8)]))
+        at += 8
+        more = more[lengths[more] > at]
+    return h, np.diff(np.searchsorted(starts, bounds))
+
+
+def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles of n words; of a shorter text, one of all its words."""
+    h, counts = word_hashes(texts)
+    total = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for i in range(n):
+        total += h[i : i + len(total)] * _ODD[i % len(_ODD)]
+    total = mixed(total)
+    out, at = [], 0
+    for c in counts.tolist():
+        if c >= n:
+            found = np.sort(total[at : at + c - n + 1])
+            fresh = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=fresh[1:])
+            out.append(found[fresh])
+        elif c:
+            weighed = h[at : at + c] * np.array(_ODD, np.uint64)[np.arange(c) % len(_ODD)]
+            out.append(mixed(weighed.sum(keepdims=True) + np.uint64(c)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += c
+    return out
 
 
 def name_of(found: np.ndarray) -> int:
@@ -83,13 +117,14 @@ def name_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
-def band_edges(largest: int) -> list[int]:
-    """Smallest sizes of the bands up to the one of the given size, and of the one after."""
+@lru_cache(maxsize=4)
+def band_edges(above: int) -> np.ndarray:
+    """Smallest sizes of the bands, up to one above the given size."""
     edges, x = [1], 1.0
-    while edges[-1] <= largest:
+    while edges[-1] <= above * BAND * BAND:
         x *= BAND
         edges.append(max(edges[-1] + 1, int(x)))
-    return edges
+    return np.array(edges, np.int64)
 
 
 def most_different(largest: int, percent: int = PERCENT) -> int:
@@ -97,44 +132,62 @@ def most_different(largest: int, percent: int = PERCENT) -> int:
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
-def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """PartEnum signatures of a set, for its band and, if it can have a partner there, the next."""
-    n = len(found)
-    if not n:
-        return np.zeros(0, np.int64)
-    edges = band_edges(n)
-    own = len(edges) - 2
-    out = []
-    for band in (own, own + 1):
-        if band > own and 100 * n < percent * edges[band]:
-            break
-        largest = (edges[band + 1] if band + 1 < len(edges) else band_edges(edges[band])[band + 1]) - 1
-        k = most_different(largest, percent)
-        if k == 0:
-            out.append(mixed(found * _ODD[6] + np.uint64(band)).sum(keepdims=True) * _ODD[7])
+@lru_cache(maxsize=1000)
+def bins_of(least: int, k: int) -> int:
+    """Halves of a band whose smallest members have ``least`` elements: so many that these fill more than k + 1 on average, if that can be."""
+    n1 = k // 2 + 1
+    while n1 < 2 * (k + 1) and 2 * n1 * -np.expm1(-least / (2 * n1)) < (1 + MARGIN) * (k + 1) + 1:
+        n1 += 1 + n1 // 50
+    return 2 * n1
+
+
+def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """PartEnum signatures of sets, for the band of each and, if it can have a partner there, the next.
+
+    Gives the signatures, the place of each one's set, and each set's slack in bands of even and odd
+    number (-1 where it has none). A signature's last bit tells its band's.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    slack = np.full((len(sets), 2), -1, np.int32)
+    edges = band_edges(1 << int(sizes.max(initial=1)).bit_length())
+    own = np.searchsorted(edges, sizes, side="right") - 1
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for further in (0, 1):
+        bands = own + further
+        jobs = np.flatnonzero((sizes > 0) & ((further == 0) | (100 * sizes >= percent * edges[bands])))
+        known = {b: (k := most_different(int(edges[b + 1]) - 1, percent), bins_of(-(-percent * int(edges[b]) // 100), k) if k else 0) for b in set(bands[jobs].tolist())}
+        jobs = jobs[[known[b][0] > 0 for b in bands[jobs].tolist()]] if len(jobs) else jobs  # k = 0: only equal sets are similar
+        if not len(jobs):
             continue
-        more = 1 + k // 40
-        n1 = k // 2 + 1 + more
-        h = mixed(found + np.uint64(band * int(_ODD[4]) % 2**64))
-        half = (((h >> np.uint64(33)) * np.uint64(2 * n1)) >> np.uint64(31)).astype(np.int64)
-        sums = np.zeros(2 * n1, np.uint64)
+        band, n = bands[jobs], sizes[jobs]
+        k, bins = np.array([known[b] for b in band.tolist()], np.int64).T
+        base = np.cumsum(bins) - bins
+        salt = band.astype(np.uint64)
+        h = mixed(np.concatenate([sets[i] for i in jobs]) + np.repeat(salt * _ODD[4], n))
+        half = (((h >> np.uint64(33)) * np.repeat(bins.astype(np.uint64), n)) >> np.uint64(31)).astype(np.int64) + np.repeat(base, n)
+        sums = np.zeros(int(bins.sum()), np.uint64)
         np.add.at(sums, half, mixed(h ^ _ODD[5]))
-        filled = np.bincount(half, minlength=2 * n1) > 0
-        keys = mixed(sums ^ mixed(np.arange(2 * n1, dtype=np.uint64) * _ODD[1] + np.uint64((band + 1) * int(_ODD[2]) % 2**64)))
-        empty = int((~filled.reshape(n1, 2)).any(axis=1).sum())
-        out.append(keys[filled] if empty <= more else keys)
-    return np.concatenate(out).view(np.int64)
+        filled = np.zeros(len(sums), bool)
+        filled[half] = True
+        number = (np.arange(len(sums)) - np.repeat(base, bins)).astype(np.uint64)
+        left = bins - k - 1 - np.add.reduceat(~filled, base, dtype=np.int64)
+        slack[jobs, band & 1] = np.maximum(left, -1)
+        given = filled | np.repeat(left < 0, bins)
+        key = mixed(sums ^ mixed(number * _ODD[1] + np.repeat((salt + np.uint64(1)) * _ODD[2], bins)))
+        keys.append((key & ~np.uint64(1) | np.repeat(salt & np.uint64(1), bins))[given])
+        owners.append(np.repeat(jobs, bins)[given])
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners), slack
 
 
-def sketch_of(found: np.ndarray) -> bytes:
-    """A bit for each bin: whether the number of its elements is odd."""
-    m = max(BITS, 1 << (len(found) - 1).bit_length())
-    odd = np.bincount((found & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+def sketch_of(found: np.ndarray) -> np.ndarray:
+    """A bit for each bin, whether the number of its elements is odd, as longs."""
+    bins = min(MOST_BINS, max(LEAST_BINS, 1 << (len(found) * 3 // 4 - 1).bit_length()))
+    odd = np.bincount((found & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def folded(sketch: np.ndarray, n: int) -> np.ndarray:
-    """A sketch as it would be with fewer bins (n bytes, a power of two)."""
+    """A sketch as it would be with fewer bins (n longs, a power of two)."""
     while len(sketch) > n:
         half = len(sketch) // 2
         sketch = sketch[:half] ^ sketch[half:]
@@ -152,67 +205,69 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, node (null: no words), size and signatures of each text."""
+    """doc_id, node (null: no words), size and slacks of each text."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), hashes, n) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([name_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signatures(s, percent) for s in sets], pa.list_(pa.int64()))], ["doc_id", "node", "n", "sigs"]
-            )
+            for at, texts in slices_of(batch.column(1), SLICE):
+                sets = shingle_sets(texts, n)
+                slack = signatures(sets, percent)[2]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), pa.array([name_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(slack[:, 0]), pa.array(slack[:, 1])], ["doc_id", "node", "n", "slack_0", "slack_1"]
+                )
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, sigs array<long>")
+    return docs.mapInArrow(run, "doc_id long, node long, n long, slack_0 int, slack_1 int")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, sketch and members (binary) of each wanted node, once."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "node"))
+def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """A row of signature and node for each signature of each text."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            sets = [s for t in batch.column(0) if len(s := shingle_set(t.as_py(), hashes, n))]
-            names = np.array([name_of(s) for s in sets], np.int64)
-            kept = np.flatnonzero(bitmap_has(shared.value, names)) if len(sets) else []
-            yield pa.RecordBatch.from_arrays([pa.array(names[kept], pa.int64()), pa.array([sketch_of(sets[i]) for i in kept], pa.binary()), pa.array([sets[i].tobytes() for i in kept], pa.binary())], ["node", "sketch", "members"])
+            for _, texts in slices_of(batch.column(0), SLICE):
+                sets = [s for s in shingle_sets(texts, n) if len(s)]
+                keys, owners, _ = signatures(sets, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array([name_of(s) for s in sets], np.int64)[owners])], ["sig", "node"])
 
-    found = docs.select("t").mapInArrow(run, "node long, sketch binary, members binary")
-    return found.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("members").alias("members")).join(wanted, "node", "left_semi")
+    return docs.select("t").mapInArrow(run, "sig long, node long")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar."""
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """node, size, sketch and members of each wanted node, once."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "node"))
 
     def run(batches):
         for batch in batches:
-            kept = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)) if similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
+            for _, texts in slices_of(batch.column(0), SLICE):
+                sets = [s for s in shingle_sets(texts, n) if len(s)]
+                names = np.array([name_of(s) for s in sets], np.int64)
+                kept = np.flatnonzero(bitmap_has(shared.value, names)) if len(sets) else []
+                rows = [sets[i] for i in kept]
+                yield pa.RecordBatch.from_arrays([pa.array(names[kept], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array([sketch_of(s) for s in rows], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))], ["node", "size", "sketch", "members"])
 
-    screened = near_by_sketch(pairs, sets, percent)
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return screened.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    found = docs.select("t").mapInArrow(run, "node long, size long, sketch array<long>, members array<long>")
+    return found.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("members").alias("members")).join(wanted, "node", "left_semi")
 
 
-def near_by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose sketches show that they differ too much."""
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar; only pairs that their sketches don't rule out meet with their sets."""
+    screened = stored(near_by_sketch(pairs, sets, percent), "jaccard-screened")
+    left = sets.select(F.col("node").alias("a"), F.col("size").alias("p"), F.col("members").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("size").alias("q"), F.col("members").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    met = screened.join(left, "a").join(right, "b").select("a", "b", (F.col("p") + F.col("q")).alias("s"), both.alias("both"))
+    return met.filter(100 * F.col("both") >= percent * (F.col("s") - F.col("both"))).select("a", "b")
 
-    def run(batches):
-        for batch in batches:
-            kept = []
-            for i, (x, y, p, q) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)):
-                n = min(len(x), len(y))
-                a, b = (folded(np.frombuffer(v, np.uint8), n).view(np.uint64) for v in (x, y))
-                if int(np.bitwise_count(a ^ b).sum()) <= most_apart(p, q, percent):
-                    kept.append(i)
-            rows = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
 
-    size = (F.octet_length("members") / 8).cast("long")
-    left = sets.select(F.col("node").alias("a"), F.col("sketch").alias("x"), size.alias("p"))
-    right = sets.select(F.col("node").alias("b"), F.col("sketch").alias("y"), size.alias("q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a long, b long")
+def near_by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs whose sizes or sketches show that they differ too much. Sketches of similar sets have equal lengths, or one is twice as long."""
+    left = sets.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("p"))
+    right = sets.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("q"))
+    fold = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (u, v) -> u ^ v), {0})"
+    apart = f"aggregate(zip_with({fold.format('x', 'y')}, {fold.format('y', 'x')}, (u, v) -> u ^ v), 0, (n, w) -> n + bit_count(w))"
+    sized = (100 * F.least("p", "q") >= percent * F.greatest("p", "q")) & (F.greatest(F.size("x"), F.size("y")) <= 2 * F.least(F.size("x"), F.size("y")))
+    bound = F.expr(f"{100 - percent} * (p + q) div {100 + percent}")
+    return pairs.join(left, "a").join(right, "b").filter(sized).filter(F.expr(apart) <= bound).select("a", "b")
 
 
 def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataFrame:
@@ -230,7 +285,7 @@ def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataF
     def near(own, node, label, sketches, size):
         """Of one key: nodes of block i against those of block j, or within the block if they are the same: distances, nodes and labels."""
         n = min(map(len, sketches))
-        bits = np.stack([folded(np.frombuffer(x, np.uint8), n) for x in sketches]).view(np.uint64)
+        bits = np.stack([folded(x, n) for x in sketches]).view(np.uint64)
         left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
         for s in range(0, len(left), 64):
             a = left[s : s + 64]
@@ -250,7 +305,9 @@ def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataF
         def flush(table):
             sig, i, j = (table.column(c).to_numpy() for c in ("sig", "i", "j"))
             own, node, label, size = (table.column(c).to_numpy() for c in ("own", "node", "label", "size"))
-            sketches = table.column("sketch").to_pylist()
+            lists = table.column("sketch").combine_chunks()
+            ends, bits = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sketches = [bits[a:b] for a, b in zip(ends, ends[1:])]
             cut = np.flatnonzero((np.diff(sig) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             found = set()
             for s, e in zip([0, *cut], [*cut, len(sig)], strict=True):
@@ -290,30 +347,55 @@ def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataF
     return ready.mapInArrow(run, "a long, b long").distinct()
 
 
+def groups_of(docs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """sig, node and of_sig (nodes that share it) of signatures that different nodes share, without those that a node's slack spares it."""
+    by_sig = Window.partitionBy("sig")
+    rows = signed(docs, n, percent).withColumn("least", F.min("node").over(by_sig)).withColumn("most", F.max("node").over(by_sig))
+    met = stored(rows.filter("least <> most").select("sig", "node").distinct(), "jaccard-met")
+    counted = stored(met.withColumn("of_sig", F.count("*").over(by_sig)), "jaccard-counted")
+    forget(met)
+    odd = F.col("sig").bitwiseAND(F.lit(1))
+    weak = counted.filter(F.col("of_sig") > SMALL).withColumn("odd", odd)
+    slack = texts.filter("node IS NOT NULL").groupBy("node").agg(F.first("slack_0").alias("slack_0"), F.first("slack_1").alias("slack_1"))
+    spared = weak.groupBy("node", "odd").agg(F.count("*").alias("weak")).join(slack, "node").filter("weak <= if(odd = 1, slack_1, slack_0)").select("node", "odd")
+    left = weak.join(spared, ["node", "odd"], "left_anti").select("sig", "node").withColumn("of_sig", F.count("*").over(by_sig)).filter("of_sig > 1")
+    out = stored(counted.filter(F.col("of_sig") <= SMALL).unionByName(left), "jaccard-groups")
+    forget(counted)
+    return out
+
+
+def first_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b): all of each group of at most SMALL nodes; of larger ones each node with the smallest."""
+    small = groups.filter(F.col("of_sig") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_set("node")).alias("g"))  # at most SMALL nodes
+    pairs = small.select(F.explode(F.expr("flatten(transform(g, (a, i) -> transform(slice(g, i + 2, size(g)), b -> struct(b AS a, a AS b))))")).alias("p")).select("p.a", "p.b")
+    large = groups.filter(F.col("of_sig") > SMALL).withColumn("b", F.min("node").over(Window.partitionBy("sig"))).filter("node <> b").select(F.col("node").alias("a"), "b")
+    return pairs.unionByName(large).distinct()
+
+
 def similarity_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("t"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     texts = stored(described(docs, shingle, percent), "jaccard-texts")
     known = texts.filter("node IS NOT NULL")
     by_sig = Window.partitionBy("sig")
-    met = known.groupBy("node").agg(F.first("sigs").alias("sigs")).select("node", F.explode("sigs").alias("sig")).withColumn("least", F.min("node").over(by_sig)).withColumn("most", F.max("node").over(by_sig))
-    met = stored(met.filter("least <> most").select("sig", "node", "least"), "jaccard-met")
-    wanted = stored(met.select("node").distinct(), "jaccard-wanted")
+    groups = groups_of(docs, texts, shingle, percent)
+    wanted = stored(groups.select("node").distinct(), "jaccard-wanted")
     sets = stored(sets_of(docs, wanted, shingle), "jaccard-sets")
-
-    firsts = met.filter("node <> least").groupBy("node").agg(F.min("least").alias("b")).select(F.col("node").alias("a"), "b")
+    firsts = stored(first_pairs(groups), "jaccard-firsts")
     links = stored(linked(firsts, sets, percent), "jaccard-links")
     labels, apart = components(links), None
+    met = groups.filter(F.col("of_sig") > SMALL).select("sig", "node")
     for nearest_only in (True, True, False):
         placed = met.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         placed = placed.withColumn("low", F.min("label").over(by_sig)).withColumn("high", F.max("label").over(by_sig)).withColumn("of_sig", F.count("*").over(by_sig))
-        if apart is not None:
-            forget(apart)
-        apart = stored(placed.filter("low <> high").select("sig", "node", "label", "of_sig"), "jaccard-apart")
+        before, apart = apart, stored(placed.filter("low <> high").select("sig", "node", "label", "of_sig"), "jaccard-apart")
+        if before is not None:
+            forget(before)
         if apart.isEmpty():
             break
-        groups = apart.join(sets.select("node", "sketch", (F.octet_length("members") / 8).cast("long").alias("size")), "node")
-        more = stored(linked(apart_but_near(groups, percent, nearest_only), sets, percent), "jaccard-links")
+        met = apart.select("sig", "node")
+        members = apart.join(sets.select("node", "sketch", "size"), "node")
+        more = stored(linked(apart_but_near(members, percent, nearest_only), sets, percent), "jaccard-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
@@ -322,7 +404,7 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE, percent: int
     owned = stored(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first_id"), "jaccard-owned")
     lowest = stored(owned.groupBy("label").agg(F.min("first_id").alias("component_id")), "jaccard-lowest")
     answers = stored(owned.join(lowest, "label").select(F.col("node").alias("_node"), "component_id"), "jaccard-answers")
-    forget(met, wanted, sets, apart, labels, owned, lowest)
+    forget(groups, wanted, sets, firsts, links, apart, labels, owned, lowest)
     return texts.join(answers, texts["node"] == answers["_node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

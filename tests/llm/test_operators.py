@@ -357,14 +357,14 @@ def test_fingerprints_take_every_term_of_the_band(spark):
 # 9
 
 
-def brute_components(rows):
+def brute_components(rows, shingle=4, percent=85):
     sets = {}
     for i, (_, t) in enumerate(rows):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
     label = {i: i for i in sets}
     for a, b in itertools.combinations(sets, 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and label[a] != label[b]:
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and label[a] != label[b]:
             old, new = label[b], label[a]
             label = {k: new if v == old else v for k, v in label.items()}
     out = Counter()
@@ -379,32 +379,55 @@ def test_jaccard(spark, odd, monkeypatch):
     assert Counter(map(tuple, jaccard_join.op9_jaccard_join(odd).collect())) == brute_components(rows)
 
 
-def test_jaccard_clusters(spark, monkeypatch):
+@pytest.mark.parametrize(("small", "shingle", "percent"), [(8, 4, 85), (2, 4, 85), (2, 5, 80), (1, 1, 60)])
+def test_jaccard_clusters(spark, monkeypatch, small, shingle, percent):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)  # groups of several blocks
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "SLICE", 2000)
     rng = random.Random(4)
     rows, vocabulary = [], [f"w{i}" for i in range(400)]
-    for base in range(6):
+    passage = [rng.choice(vocabulary) for _ in range(25)]
+    for base in range(8):
         words = [rng.choice(vocabulary) for _ in range(rng.choice([5, 12, 40, 120]))]
         for _ in range(12):
             copy = list(words)
-            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+            for _ in range(rng.randint(0, max(1, len(words) // 30))):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(copy)))
         rows.append((len(rows), " ".join(words[:30] + [rng.choice(vocabulary) for _ in range(60)])))
+    for n in (3, 10, 30, 60, 100):  # a passage that many share
+        for _ in range(6):
+            rows.append((len(rows), " ".join(passage + [rng.choice(vocabulary) for _ in range(n + rng.randrange(4))])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(map(tuple, jaccard_join.op9_jaccard_join(docs).collect())) == brute_components(rows)
+    assert Counter(map(tuple, jaccard_join.similarity_components(docs, shingle, percent).collect())) == brute_components(rows, shingle, percent)
 
 
-def test_partenum_shares_a_signature():
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_partenum_shares_a_signature(percent):
     rng = np.random.default_rng(5)
-    for _ in range(300):
+    for _ in range(500):
         n = int(rng.integers(1, 300))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         b = a.copy()
-        for _ in range(int(rng.integers(0, max(1, n // 8) + 1))):
+        for _ in range(int(rng.integers(0, max(1, n * (100 - percent) // 90) + 1))):
             b = np.delete(b, rng.integers(len(b))) if len(b) > 1 and rng.random() < 0.5 else np.union1d(b, rng.integers(0, 2**63, 1).astype(np.uint64))
-        if jaccard_join.similar(a, b):
-            assert np.intersect1d(jaccard_join.signatures(a), jaccard_join.signatures(b)).size
+        if len(b) != len(a) or (a != b).any():
+            keys, owners, slack = jaccard_join.signatures([a, b], percent)
+            first, second = keys[owners == 0], keys[owners == 1]
+            shared = np.intersect1d(first, second)
+            if jaccard_join.similar(a, b, percent):
+                # More are shared in a band than either's slack there.
+                assert any((shared & 1 == odd).sum() > slack[:, odd].max() >= -1 and (shared & 1 == odd).any() for odd in (0, 1))
+            alone = jaccard_join.signatures([b], percent)
+            assert (np.sort(alone[0]) == np.sort(second)).all() and (alone[2][0] == slack[1]).all()
+
+
+def test_word_hashes():
+    texts = ["", " a", "A b\x0bc\x0c", "x" * 5000 + " y", "\xa0 é\x1cz\t", "longerthaneightbytes longerthaneightbytez", "a a"]
+    hashes, counts = jaccard_join.word_hashes([t.encode() for t in texts])
+    words = [w for t in texts for w in t.encode().lower().split()]
+    assert counts.sum() == len(words) and counts.tolist() == [len(t.encode().split()) for t in texts]
+    assert all((hashes[i] == hashes[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(i))
 
 
 # 10
