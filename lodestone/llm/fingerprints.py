@@ -4,10 +4,11 @@ Terms are the distinct lower-case words of a text. The lexicon holds terms whose
 frequency over all texts lies in a band: between ``LEAST_SHARE`` and ``MOST_SHARE`` of them, and at
 least 2. So it is bounded, whatever the number of texts: the terms in a share of at least s of all
 texts are no more than 1/s times the mean number of terms in a text. Every term of the band takes
-part. From the lexicon ``SUBSETS`` random subsets are drawn for each of several rates; a text's
-terms in a subset, sorted, are hashed, and the hashes make up the fingerprint ("......" where the
-subset has no term of the text). Large subsets tell long texts with small changes from others, small
-ones tell how much two texts share; those of half the lexicon are for texts with few of its terms.
+part. From the lexicon ``SUBSETS`` random subsets are drawn for each of several rates. A text's
+distinct terms in a subset, sorted, are hashed, by the exclusive or of their own hashes; the hashes of
+all subsets make up the fingerprint ("......" where a subset has no term of the text). Large subsets tell
+long texts with small changes from others, small ones tell how much two texts share; those of half the
+lexicon are for texts with few of its terms.
 
 Likeness of two fingerprints: for each rate, of the subsets in which at least one of the texts has a
 term, the share of those with equal hashes; the largest of these shares over the rates with at least
@@ -15,11 +16,12 @@ term, the share of those with equal hashes; the largest of these shares over the
 
 The next text is that of the next row by doc_id. Rows are dealt into buckets of neighbouring ids
 (by quantiles, then evenly), each with a copy of the first row of the bucket after it; so one
-exchange brings neighbours together.
+exchange brings neighbours together, and all that follows works within its partitions.
 
 Nulls: a null text is empty and has the empty fingerprint (all subsets without terms); null ids come
-before all others. Rows with equal ids follow each other by the hash of their text. An only row is
-its own next. Other columns are ignored.
+before all others. Rows with equal ids follow each other by the hash of their text; repeated rows are
+each answered. Very long texts are taken whole. An only row is its own next; an empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,16 +69,20 @@ def subsets_of(h: str) -> str:
     return " & ".join(f"(xxhash64({h}, {k}) | {x}L)" for k, x in enumerate(spared, 1))
 
 
-def with_fingerprint(df: DataFrame, text: str, lexicon: np.ndarray, name: str) -> DataFrame:
-    """Adds the fingerprint of a text column."""
+def with_fingerprint(rows: DataFrame, keys: list[str], text: str, lexicon: np.ndarray, name: str) -> DataFrame:
+    """The keys, which tell rows apart, and the fingerprint of a text column.
+
+    A text's distinct terms in the lexicon become rows that are summed up again by the keys, without
+    an exchange if the rows are already dealt out by one of them.
+    """
     empty = "." * DIGITS
     among = f"h IN ({', '.join(f'{h}L' for h in lexicon.tolist())})" if len(lexicon) else "false"
-    terms, lanes = f"{name}_terms", [f"{name}_terms_{i}" for i in range(len(RATES))]
-    found = df.withColumn(terms, F.expr(f"transform(array_sort(array_distinct(filter({terms_of(text)}, h -> {among}))), h -> named_struct('h', h, 'm', {subsets_of('h')}))"))
-    found = found.withColumns({x: F.expr(f"filter({terms}, p -> (p.m & {lane(i)}L) <> 0L)") for i, x in enumerate(lanes)})
-    parts = [f"filter({x}, p -> (p.m & shiftleft(1L, {i * SUBSETS + r})) <> 0L)" for i, x in enumerate(lanes) for r in range(SUBSETS)]
-    hashes = f"transform(array({', '.join(parts)}), s -> if(size(s) = 0, '{empty}', right(concat('{'0' * DIGITS}', lower(hex(xxhash64(s)))), {DIGITS})))"
-    return found.withColumn(name, F.array_join(F.expr(hashes), "")).drop(terms, *lanes)
+    terms = rows.select(*keys, F.explode_outer(F.expr(f"sort_array(filter(array_distinct({terms_of(text)}), h -> {among}))")).alias("h"))
+    marked = terms.select(*keys, F.expr("xxhash64(h, 0)").alias("x"), F.expr(f"if(h IS NULL, 0L, {subsets_of('h')})").alias("m"))
+    n = SUBSETS * len(RATES)
+    hashed = marked.groupBy(*keys).agg(*(F.expr(f"bit_xor(if((m & shiftleft(1L, {r})) = 0L, 0L, x))").alias(f"s{r}") for r in range(n)))
+    shown = [F.expr(f"if(s{r} = 0L, '{empty}', right(concat('{'0' * DIGITS}', lower(hex(s{r}))), {DIGITS}))") for r in range(n)]
+    return hashed.select(*keys, F.concat(*shown).alias(name))
 
 
 def likeness(a: str, b: str) -> str:
@@ -101,7 +107,7 @@ def bucketed(docs: DataFrame) -> DataFrame:
     """Adds b, a bucket of neighbouring ids, in the order of ids; null ids are in the first."""
     total, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
-        return docs.withColumn("b", F.lit(0))
+        return docs.withColumn("b", F.lit(0))  # no ids at all
     cuts = docs.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(1, QUANTILES)], 1000)).first()[0]
     edges = sorted({low, *cuts, high + 1})
     each = max(1, min(MOST_BUCKETS, total // BUCKET_ROWS) // len(edges))
@@ -112,12 +118,9 @@ def bucketed(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Adds next_t and next_fingerprint of the row that follows by doc_id; after the last comes the first. docs: doc_id, b, t, fingerprint."""
+    """Adds next_t of the row that follows by doc_id (after the last comes the first) and n, the row's number in its bucket, for docs (doc_id, b, t). A copy of the row that follows a bucket ends it, with ``copy`` 1."""
     key = F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("t"))
     heads = sorted((r[0], r[1]) for r in docs.groupBy("b").agg(F.min(key).alias("k")).collect())  # at most MOST_BUCKETS + QUANTILES rows
-    if not heads:
-        return docs.withColumns({"next_t": F.col("t"), "next_fingerprint": F.col("fingerprint")})
-    # A copy of each bucket's first row follows the rows of the bucket before.
     copies = [(*heads[(i + 1) % len(heads)][1], heads[i][0]) for i in range(len(heads))]
     spark = docs.sparkSession
     told = F.broadcast(spark.createDataFrame([tuple(c) for c in copies], "has_id boolean, id long, h long, into int"))
@@ -125,16 +128,21 @@ def with_next(docs: DataFrame) -> DataFrame:
     added = rows.drop("b").join(told, ["has_id", "id", "h"]).withColumnRenamed("into", "b").withColumn("copy", F.lit(1))
     both = rows.withColumn("copy", F.lit(0)).unionByName(added)
     order = Window.partitionBy("b").orderBy("copy", "has_id", "id", "h")
-    led = both.withColumns({"next_t": F.lead("t").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
-    return led.filter("copy = 0").drop("copy", "has_id", "id", "h")
+    return both.select("doc_id", "b", "t", "copy", F.row_number().over(order).alias("n"), F.lead("t").over(order).alias("next_t"))
 
 
 def op7_imatch_fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     lexicon = lexicon_of(docs.select("t"))
-    own = with_fingerprint(bucketed(docs), "t", lexicon, "fingerprint")
-    edited = with_next(own).withColumn("n_chars", F.length("t").cast("long")).withColumn("e", F.concat(F.expr("substr(t, 1, int(n_chars - n_chars div 2))"), F.expr("substr(next_t, 1, int(n_chars div 2))")))
-    edited = with_fingerprint(edited, "e", lexicon, "edited_fingerprint")
-    return edited.select(
-        "doc_id", "n_chars", F.sha2(F.encode("e", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.expr(likeness("fingerprint", "edited_fingerprint")).alias("near_edited"), F.expr(likeness("fingerprint", "next_fingerprint")).alias("near_next")
+    rows = with_next(bucketed(docs)).withColumn("n_chars", F.length("t").cast("long"))
+    rows = rows.withColumn("e", F.expr("concat(substr(t, 1, int(n_chars - n_chars div 2)), substr(next_t, 1, int(n_chars div 2)))"))
+    # A bucket's texts and edited texts in turn: after each text its edited one, then the next text.
+    sides = F.expr("if(copy = 1, array(named_struct('edited', 0, 's', t)), array(named_struct('edited', 0, 's', t), named_struct('edited', 1, 's', e)))")
+    texts = rows.select("doc_id", "b", "n", "copy", "n_chars", F.sha2(F.encode("e", "UTF-8"), 256).alias("edited_sha256"), F.explode(sides).alias("side"))
+    texts = texts.select("*", F.col("side.edited").alias("edited"), F.col("side.s").alias("s"))
+    found = with_fingerprint(texts, ["b", "n", "edited", "copy", "doc_id", "n_chars", "edited_sha256"], "s", lexicon, "fingerprint")
+    order = Window.partitionBy("b").orderBy("n", "edited")
+    led = found.withColumns({"edited_fingerprint": F.lead("fingerprint", 1).over(order), "next_fingerprint": F.lead("fingerprint", 2).over(order)})
+    return led.filter("copy = 0 AND edited = 0").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.expr(likeness("fingerprint", "edited_fingerprint")).alias("near_edited"), F.expr(likeness("fingerprint", "next_fingerprint")).alias("near_next")
     )
