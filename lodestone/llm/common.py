@@ -45,6 +45,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """docs, stored, with a number of its own for each row in ``_row``: decisions on rows don't hang on ids, which may be null or repeated."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes tables made by stored() that nothing will read again, and lets the driver find the shuffles that nothing refers to."""
     for df in frames:

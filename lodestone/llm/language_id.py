@@ -7,13 +7,15 @@ of transitions between languages are learned from labelled texts; training seque
 of texts in different languages, so transitions are those of code-switched text. Forward-backward
 gives each word's distribution over languages; a text's language is the one with most mass.
 
-Training takes at most ``SAMPLE`` labelled texts of at most ``SAMPLE_BYTES`` bytes, shared evenly
-between the languages and picked by the hash of the id; all texts are labelled whole.
+Training takes at most ``SAMPLE`` labelled texts, shared evenly between the languages and picked by the
+hash of the id, and of a text of more than ``SAMPLE_BYTES`` bytes so many from a place that the hash
+gives; all texts are labelled whole.
 
 Nulls: a null text, an empty one and one without letters are "und" with score 0; rows with a null
 label train nothing; a null id counts as the empty text in the split. Without any labelled row all
-are "und". Repeated rows are labelled each; ties go to the first language in order. Other columns
-are ignored.
+are "und". Repeated rows are labelled each; ties go to the first language in order. Very long texts
+are labelled whole, alone if they have more than about ``BATCH_WORDS`` words. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, utf8
+from .common import crc_of_id, slices_of, utf8
 from .ragged import TimeMajor, forward_backward
 
 BUCKETS = 1 << 16
@@ -158,15 +160,16 @@ def train(texts: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = 7) -
 
 
 def labelled_sample(docs: DataFrame) -> list[tuple[bytes, str]]:
-    """At most SAMPLE pairs of text and label, shared evenly between labels, by the hash of the id. docs: doc_id, t, lang."""
-    fit = docs.filter(F.col("lang").isNotNull() & (F.octet_length("t") <= SAMPLE_BYTES) & (F.octet_length("t") > 0))
+    """At most SAMPLE pairs of text and label, shared evenly between labels, by the hash of the id; of a longer text SAMPLE_BYTES from a place that the hash gives. docs: doc_id, t, lang."""
+    fit = docs.filter(F.col("lang").isNotNull() & (F.octet_length("t") > 0))
     counts = dict(fit.groupBy("lang").count().collect())
     if not counts:
         return []
     each = max(1, SAMPLE // len(counts))
     share = F.coalesce(*(F.when(F.col("lang") == y, F.lit(min(1.0, 1.5 * each / n))) for y, n in counts.items()), F.lit(0.0))
     draw = F.crc32(F.concat(F.lit("language:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    some = fit.withColumn("draw", draw).filter(F.col("draw") < share * (1 << 32)).select("lang", "draw", "t").collect()
+    place = F.pmod("draw", F.greatest(F.lit(1), F.octet_length("t") - SAMPLE_BYTES + 1)).cast("int") + 1
+    some = fit.withColumn("draw", draw).filter(F.col("draw") < share * (1 << 32)).select("lang", "draw", F.substring("t", place, F.lit(SAMPLE_BYTES)).alias("t")).collect()
     kept, of = [], dict.fromkeys(counts, 0)
     for y, _, t in sorted(some):
         if of[y] < each:
@@ -202,16 +205,11 @@ def predicted(docs: DataFrame, model: Crf, columns: list[str]) -> DataFrame:
     def run(batches):
         model = shared.value
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(0)]
-            labels, scores, some, size = [], [], [], 0
-            for i, text in enumerate(texts):
-                some.append(text)
-                size += len(text)
-                if size > 6 * BATCH_WORDS or i == len(texts) - 1:
-                    more = label_batch(model, some)
-                    labels += more[0]
-                    scores += more[1]
-                    some, size = [], 0
+            labels, scores = [], []
+            for _, texts in slices_of(batch.column(0), 6 * BATCH_WORDS):
+                more = label_batch(model, texts)
+                labels += more[0]
+                scores += more[1]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
 
     return docs.select("t", *columns).mapInArrow(run, f"{schema}, lang_pred string, score double")

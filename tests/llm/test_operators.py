@@ -237,6 +237,20 @@ def test_language_id(spark, odd, sf):
     assert {r[0] for r in language_id.op5_language_id(unlabelled).select("lang_pred").collect()} == {"und"}
 
 
+def test_language_of_long_texts_only(spark):
+    words = {"aa": ["kal", "tolu", "marni", "sepa"], "bb": ["ghurt", "wexl", "zhyk", "prrt"]}
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(words[y]) for _ in range(3000)), y) for i in range(20) for y in words]
+    got = language_id.op5_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in got) == Counter((i, y) for i, _, y in rows)
+
+
+def test_language_ties_and_very_long_words(spark):
+    rows = [(0, "ab cd", "x"), (3, "ab cd", "y"), (6, "ab cd", "x"), (1, "ab cd", None), (4, "zz" * 40_000, None)]
+    got = {r["doc_id"]: r for r in language_id.op5_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(0 < r["score"] <= 1 and r["lang_pred"] in ("x", "y") for r in got.values())
+
+
 def test_code_switch(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language_id.train([(r["text"].encode(), r["lang"]) for r in docs.collect()])
