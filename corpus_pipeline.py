@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as
 Parquet in the shared folder and reads it again for the next stage. All stages but the last keep
-the columns of documents.
+the columns of documents; other columns are dropped, an empty table stays empty, very long texts are
+taken whole.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import byte_bpe, decontamination, jaccard_join, language_id
-from lodestone.llm.common import crc_of_id, stored, table
+from lodestone.llm.common import crc_of_id, numbered, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose words agree on no language even so far is rejected.
@@ -21,7 +22,7 @@ SHINGLE, PERCENT = 5, 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language: those with letters whose best language has at least LEAST_SCORE of the mass. Others go."""
+    """Keeps documents in a language: those with letters whose best language has at least LEAST_SCORE of the mass. Others go: null and empty texts too. Rows are judged one by one, whatever their ids; without labelled rows nothing stays."""
     docs = docs.select(*COLUMNS)
     texts = docs.withColumn("t", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     model = language_id.train(language_id.labelled_sample(texts.filter(crc_of_id() % 3 != 1)))
@@ -29,23 +30,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies, once. Rows with a null id, which nothing could name, stay."""
-    docs = docs.select(*COLUMNS)
-    kept = jaccard_join.similarity_components(docs.select("doc_id", "text"), shingle=SHINGLE, percent=PERCENT).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(stored(kept, "pipeline-kept"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """Keeps one document of each group of near copies: that with the smallest id, null ids last; of repeated rows one. Rows with equal ids and unlike texts are documents of their own, and texts without words are near nothing."""
+    rows = numbered(docs.select(*COLUMNS), "pipeline-rows")
+    found = jaccard_join.similarity_components(rows.select(F.col("_row").alias("doc_id"), "text"), shingle=SHINGLE, percent=PERCENT).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k._row").alias("_row"))
+    return rows.join(stored(kept, "pipeline-kept"), "_row", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    docs = docs.select(*COLUMNS)
-    found = decontamination.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    dirty = stored(found.filter("n_hit > 0").select(F.col("doc_id").alias("_dirty")).distinct(), "pipeline-dirty")
-    return docs.join(dirty, F.col("doc_id") == F.col("_dirty"), "left_anti")
+    """Drops the rows whose text holds a window of a benchmark item, whatever their id; null and empty texts stay."""
+    rows = numbered(docs.select(*COLUMNS), "pipeline-rows")
+    found = decontamination.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    dirty = stored(found.filter("n_hit > 0").select(F.col("doc_id").alias("_row")), "pipeline-dirty")
+    return rows.join(dirty, "_row", "left_anti").select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes each document and decodes it again: numbers of tokens and digests."""
+    """Encodes each document and decodes it again: numbers of tokens and digests. Repeated ids and rows are answered each, null texts as empty ones."""
     return byte_bpe.op8_bpe_round_trip(docs)
 
 
