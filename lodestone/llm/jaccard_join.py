@@ -52,8 +52,8 @@ BAND = 1.5
 MARGIN = 0.05
 #: Nodes of a group whose pairs are all compared.
 SMALL = 8
-#: The least and greatest number of bins of a sketch; between them, three quarters of the number of elements, rounded up to a power of two.
-LEAST_BINS, MOST_BINS = 64, 1 << 17
+#: The least and greatest number of bins of a sketch; between them, as many as elements, rounded up to a power of two.
+LEAST_BINS, MOST_BINS = 2048, 1 << 17
 #: Nodes of a block in which all are compared by sketches.
 BLOCK = 1024
 #: Bytes of texts that are worked on at once.
@@ -181,7 +181,7 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
 
 def sketch_of(found: np.ndarray) -> np.ndarray:
     """A bit for each bin, whether the number of its elements is odd, as longs."""
-    bins = min(MOST_BINS, max(LEAST_BINS, 1 << (len(found) * 3 // 4 - 1).bit_length()))
+    bins = min(MOST_BINS, max(LEAST_BINS, 1 << (len(found) - 1).bit_length()))
     odd = np.bincount((found & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
