@@ -1,20 +1,23 @@
 """Main text of web pages by the maximum-scoring subsequence of their words and tags.
 
-A page is read as a sequence of words and tags. Words score by where they stand (in which block
-element, in a link, inside or outside the page's article or main element, in an element that names
-itself as a menu, advert, notice and so on); tags score below zero. Scores are logarithms of odds,
-counted outside boilerplate elements in labelled pages: pages with an article or main element, whose words outside boilerplate
-elements are content. Each labelled page counts twice, once as it is and once as if that element
-weren't marked, so that pages without one are scored by the rest. One linear scan finds the
-contiguous region with the greatest sum. Its words are the text, but for those in boilerplate
-elements within it.
+A page is read as a sequence of words and tags, in time linear in its length however deep its elements
+nest. Words score by where they stand (in which block element, in a link, inside or outside the page's
+article or main element); tags score below zero. Scores are logarithms of odds, counted outside
+boilerplate elements in labelled pages: pages with an article or main element, whose words outside
+boilerplate elements are content. Each labelled page counts twice, once as it is and once as if that
+element weren't marked, so that pages without one are scored by the rest. One linear scan finds the
+contiguous region with the greatest sum. Its words are the text, but for those in boilerplate elements
+within it: those that hold no content by their kind (menus, footers, asides, what is hidden), and
+those that call themselves a form, notice, advert, comment or the like, unless they hold most words
+around them (``held_back``).
 
 Labels come from at most about ``LABELLED`` pages, picked by the hash of their id; all pages are
 read whole.
 
 Nulls: a null html is empty and gives the empty text; page_id and url are passed on, nulls too.
 Pages without any word that scores above zero give the empty text. Repeated rows are read each; of
-regions with equal sums the first is taken. Other columns are ignored.
+regions with equal sums the first is taken. An empty table gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +41,8 @@ BOILERPLATE_COST = 0.01
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "noframes", "xmp")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param")
 INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img")
-BOILERPLATE = ("head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "datalist")
+BOILERPLATE = ("head", "nav", "footer", "aside", "button", "select", "dialog", "menu", "datalist")
+OFTEN_BOILERPLATE = ("form", "fieldset", "header")
 ARTICLES = ("article", "main")
 WITHIN = ("p", "li", "td", "div", "section", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "article", "main", "dd", "dt", "th", "figcaption", "body")
 CLOSES_P = ("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul")
@@ -46,7 +50,6 @@ CLOSES_P = ("address", "article", "aside", "blockquote", "div", "dl", "fieldset"
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment comments commentlist respond disqus replies reply related recommended recommendations share sharing social widget widgets toolbar pagination pager contentinfo complementary search dialog alertdialog menubar toc outbrain taboola paywall".split()
 )
-HEADERS = frozenset(("header", "heading-bar", "top"))
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -54,50 +57,108 @@ _WORD = re.compile(r"\S*\w\S*")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
-def boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a menu, advert, notice, form, comment or the like, by its name and what it calls itself."""
-    if name in BOILERPLATE or (name == "header" and not in_article):
-        return True
+SURE, NAMED = 2, 1
+
+
+def boilerplate(name: str, attributes: str, in_article: bool) -> int:
+    """SURE for an element that holds no content: a menu, a footer, something hidden. NAMED for one that is likely a form, notice, advert, comment or the like, by what it calls itself. Else 0."""
+    if name in BOILERPLATE:
+        return SURE
+    found = NAMED if name in OFTEN_BOILERPLATE and not (name == "header" and in_article) else 0
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
             if any(w in NAMES for w in re.split(r"[^a-z]+", value)):
-                return True
+                found = NAMED
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            return SURE
+    return found
 
 
 class Piece:
-    """Text between two tags, or a tag."""
-
-    __slots__ = ("text", "words", "tag", "block", "boiler", "link", "within", "inside")
+    """Text between two tags, or a tag. named: the number of the innermost named element around it, 0 for the page."""
+
+    __slots__ = ("text", "words", "tag", "block", "boiler", "link", "within", "inside", "named")
+
+
+class Open:
+    """The open elements of a page, with what must be known of them at hand, so that each piece takes the same time however deep it is."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []  # names, and how each is boilerplate
+        self.places: dict[str, list[int]] = {}  # of each name
+        self.blocks: list[int] = []  # places of elements that aren't inline
+        self.within: list[str] = []
+        self.named: list[int] = [0]
+        self.parents = [0]  # of named elements; the page is 0
+        self.sure = 0
+
+    def place(self, name: str) -> int:
+        found = self.places.get(name)
+        return found[-1] if found else -1
+
+    def count(self, *names: str) -> int:
+        return sum(len(self.places.get(n, ())) for n in names)
+
+    def push(self, name: str, flagged: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        if name in WITHIN:
+            self.within.append(name)
+        if flagged == NAMED:
+            self.parents.append(self.named[-1])
+            self.named.append(len(self.parents) - 1)
+        self.sure += flagged == SURE
+        self.stack.append((name, flagged))
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            name, flagged = self.stack.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+            if name in WITHIN:
+                self.within.pop()
+            if flagged == NAMED:
+                self.named.pop()
+            self.sure -= flagged == SURE
+
+    def only_inline_above(self, place: int) -> bool:
+        return not self.blocks or self.blocks[-1] <= place
+
+
+def held_back(pieces: list[Piece], parents: list[int]) -> list[bool]:
+    """For each named element whether it is boilerplate. It isn't if it holds most words of the element around it, and that one has few words outside named elements: then it is a wrapper of the content, whatever it calls itself."""
+    direct = [0] * len(parents)
+    for p in pieces:
+        if not p.boiler:
+            direct[p.named] += p.words
+    total = list(direct)
+    for i in range(len(parents) - 1, 0, -1):
+        total[parents[i]] += total[i]
+    back = [False] * len(parents)
+    for i in range(1, len(parents)):
+        around = parents[i]
+        back[i] = back[around] or 2 * total[i] <= total[around] or 4 * direct[around] >= total[i]
+    return back
 
 
 def pieces_of(page: str) -> list[Piece]:
     """A page's pieces of text and tags in order; scripts, styles and comments are left out."""
     out: list[Piece] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is boilerplate
-    boiler = links = articles = 0
+    now = Open()
 
     def piece(text, words, tag, block):
         p = Piece()
-        p.text, p.words, p.tag, p.block = text, words, tag, block
-        p.boiler, p.link, p.inside = boiler > 0, links > 0, articles > 0
-        p.within = next((n for n, _ in reversed(stack) if n in WITHIN), "") if words else ""
+        p.text, p.words, p.tag, p.block, p.named = text, words, tag, block, now.named[-1]
+        p.boiler, p.link, p.inside = now.sure > 0, now.place("a") >= 0, now.count(*ARTICLES) > 0
+        p.within = now.within[-1] if words and now.within else ""
         out.append(p)
 
-    def pop(to: int):
-        nonlocal boiler, links, articles
-        while len(stack) > to:
-            name, flagged = stack.pop()
-            boiler -= flagged
-            links -= name == "a"
-            articles -= name in ARTICLES
-
     def text(raw: str):
         decoded = html.unescape(raw)
         if decoded:
@@ -117,9 +178,9 @@ def pieces_of(page: str) -> list[Piece]:
             continue
         block = name not in INLINE
         if m[1] or m[4]:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if where is not None and not (not block and any(n not in INLINE for n, _ in stack[where + 1 :])):
-                pop(where)
+            where = now.place(name)
+            if where >= 0 and (block or now.only_inline_above(where)):
+                now.pop(where)
             piece("", 0, "/" + name, block)
             continue
         if name in RAW:
@@ -128,23 +189,22 @@ def pieces_of(page: str) -> list[Piece]:
             piece("", 0, name, block)
             continue
         if name in CLOSES_P:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if where is not None and all(n in INLINE for n, _ in stack[where + 1 :]):
-                pop(where)
+            where = now.place("p")
+            if where >= 0 and now.only_inline_above(where):
+                now.pop(where)
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if where is not None and not any(n in ("ul", "ol", "dl", "table") for n, _ in stack[where + 1 :]):
-                pop(where)
+            where = now.place(name)
+            if where > max(map(now.place, ("ul", "ol", "dl", "table"))):
+                now.pop(where)
         if name == "body":
-            pop(0)
+            now.pop(0)
         attributes = (m[3] if m[2] else m[6]) or ""
         if name not in VOID and not attributes.rstrip().endswith("/"):
-            flagged = boilerplate(name, attributes, articles > 0)
-            stack.append((name, flagged))
-            boiler += flagged
-            links += name == "a"
-            articles += name in ARTICLES
+            now.push(name, boilerplate(name, attributes, now.count(*ARTICLES) > 0))
         piece("", 0, name, block)
+    back = held_back(out, now.parents)
+    for p in out:
+        p.boiler = p.boiler or back[p.named]
     return out
 
 

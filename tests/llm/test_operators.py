@@ -185,6 +185,67 @@ def test_html(spark):
     assert (text[3], text[4], text[5], text[6], text[None]) == ("", "", "", "a < b", "x y")
 
 
+def best_text_by_brute_force(page, weights):
+    """The text of the region of greatest sum among all regions."""
+    pieces = html_extraction.pieces_of(page)
+    marked = html_extraction.is_marked(pieces)
+
+    def score(p):
+        if p.boiler:
+            return -html_extraction.BOILERPLATE_COST * max(1, p.words)
+        kind = html_extraction.kind_of(p, marked)
+        return weights.get(kind, html_extraction.default_weight(kind)) * (1 if p.tag else p.words)
+
+    scores = [score(p) for p in pieces]
+    best, at = 0.0, (0, 0)
+    for i in range(len(scores)):
+        for j in range(i + 1, len(scores) + 1):
+            if sum(scores[i:j]) > best + 1e-9:
+                best, at = sum(scores[i:j]), (i, j)
+    return " ".join("".join((" " if p.block else "") if p.tag else " " if p.boiler else p.text for p in pieces[slice(*at)]).split())
+
+
+def test_html_by_brute_force():
+    rng = random.Random(8)
+    tags = ["p", "div", "a", "li", "b", "article", "nav", "form", "h2", "section class=comments", "div class=ad"]
+    for _ in range(60):
+        page = "".join(rng.choice(["one two three ", "word ", f"<{(t := rng.choice(tags))}>", f"</{t.split()[0]}>", "&amp;"]) for _ in range(rng.randint(0, 30)))
+        weights = {f"words none text {w}": rng.uniform(-1, 2) for w in ("p", "div", "li", "")}
+        assert html_extraction.main_text(page, weights) == best_text_by_brute_force(page, weights), page
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        '<div class="layout with-sidebar"><article>{}</article></div>',
+        '<article class="post has-comments">{}</article>',
+        '<article class="post ad-free">{}</article>',
+        '<div class="page-container no-banner"><main>{}</main></div>',
+        '<article class="search-result">{}</article>',
+        "<form action=/x><article>{}</article></form>",
+        '<div class="layout with-sidebar"><article class="has-comments">{}<section class="comments"><p>I liked it a lot too</p></section></article></div>',
+        '<div class="page-container no-banner"><div class="share-wrap">{}</div></div>',
+    ],
+)
+def test_html_wrappers_that_call_themselves_something(frame):
+    words = [f"word{i}" for i in range(60)]
+    body = "".join(f"<p>{' '.join(words[i : i + 20])}</p>" for i in range(0, 60, 20))
+    page = f"<html><body><header>Site name</header><nav><a>Menu</a></nav>{frame.format(body)}<div class=cookie-notice>We use cookies</div><footer>End</footer></body></html>"
+    assert html_extraction.main_text(page, {}) == " ".join(words)
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<article>" + "<span>" * n + "<div class=x><p>" * n + "some words " * n + "</i>" * n + "</span>" * n + "</article>"
+        began = time.process_time()
+        assert html_extraction.main_text(page, {}) == "some words " * (n - 1) + "some words"
+        return time.process_time() - began
+
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.05)
+
+
 def test_html_on_articles(spark, sf):
     import html
 
