@@ -10,10 +10,12 @@ leave the executors: a bounded lexicon of frequent words is broadcast, all other
 
 Baum-Welch: each round, every task runs scaled forward and backward recursions over the training
 texts and adds up expected counts; these are summed by class and become the next parameters.
-Training cuts texts into blocks of ``BLOCK`` tokens, so that its memory is bounded; scoring runs
-the forward recursion over whole texts.
+Both take whole texts. Training works on blocks of ``BLOCK`` tokens of a long text side by side; the
+messages that pass between the blocks are worked out first, so that the counts are those of the
+uncut text. A task holds about ``BATCH_TOKENS`` tokens at once, or one longer text.
 
-Nulls: a null text is empty and has the end token alone; a null id counts as the empty text in the
+Very long texts need memory in proportion to their length. There are no ties. An empty table gives an
+empty result. Nulls: a null text is empty and has the end token alone; a null id counts as the empty text in the
 split. Repeated rows are scored each. Without training rows all words are unknown and both scores
 follow from the smoothing alone. Other columns are ignored.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, row_ids, stored, utf8
-from .ragged import TimeMajor, forward, forward_backward
+from .ragged import TimeMajor, forward, forward_backward, messages
 
 END = b""
 STATES = 8
@@ -40,7 +42,7 @@ OWN_CLASSES = 3072
 SHARED_CLASSES = 1024
 #: Entries of the lexicon that is broadcast.
 LEXICON = 150_000
-#: Tokens of a training block, of a batch, and words that a task counts before it passes them on.
+#: Tokens of a block, of a batch, and words that a task counts before it passes them on.
 BLOCK = 2048
 BATCH_TOKENS = 1_000_000
 COUNTED_WORDS = 300_000
@@ -202,27 +204,36 @@ def start(class_counts: np.ndarray) -> Hmm:
     return Hmm(np.full(STATES, 1 / STATES), trans, emit / emit.sum(0))
 
 
-def blocks(codes: list[np.ndarray], size: int):
-    """Batches of sequences of at most ``size`` tokens, each of about BATCH_TOKENS tokens."""
+def batches_of(codes, most: int):
+    """Batches of whole sequences, each of about ``most`` tokens or one longer sequence."""
     batch, total = [], 0
     for c in codes:
-        for i in range(0, len(c), size):
-            batch.append(c[i : i + size])
-            total += len(batch[-1])
-            if total >= BATCH_TOKENS:
-                yield batch
-                batch, total = [], 0
+        batch.append(c)
+        total += len(c)
+        if total >= most:
+            yield batch
+            batch, total = [], 0
     if batch:
         yield batch
 
 
 def expected_counts(seqs: list[np.ndarray], model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected first states, transitions and emissions of the sequences."""
-    tm = TimeMajor(np.array([len(s) for s in seqs]))
-    laid = tm.lay(np.concatenate(seqs))
-    gamma, pairs, _ = forward_backward(model.first.astype(np.float32), model.trans.astype(np.float32), model.emit.astype(np.float32)[laid], tm)
+    """Expected first states, transitions and emissions of whole sequences. Long ones are worked on in blocks that exchange their messages."""
+    parts = [c[i : i + BLOCK] for c in seqs for i in range(0, len(c), BLOCK)]
+    number = np.array([-(-len(c) // BLOCK) for c in seqs])
+    goes_on = np.ones(len(parts), bool)
+    goes_on[np.cumsum(number) - 1] = False
+    begins = np.concatenate([[True], ~goes_on[:-1]])
+    first, trans, emit = (x.astype(np.float32) for x in (model.first, model.trans, model.emit))
+    tm = TimeMajor(np.array([len(s) for s in parts]))
+    laid = tm.lay(np.concatenate(parts))
+    if goes_on.any():
+        into, back = messages(first, trans, emit, parts, goes_on)
+        gamma, pairs, _ = forward_backward(into.astype(np.float32), trans, emit[laid], tm, back, goes_on)
+    else:
+        gamma, pairs, _ = forward_backward(first, trans, emit[laid], tm)
     emitted = np.stack([np.bincount(laid, weights=gamma[:, k], minlength=len(model.emit)) for k in range(STATES)], axis=1)
-    return gamma[: len(seqs)].sum(0, dtype=np.float64), pairs, emitted
+    return gamma[tm.place[tm.starts[begins]]].sum(0, dtype=np.float64), pairs, emitted
 
 
 def improved(training: DataFrame, model: Hmm) -> Hmm:
@@ -239,7 +250,7 @@ def improved(training: DataFrame, model: Hmm) -> Hmm:
                 for c in batch.column(0):
                     yield np.frombuffer(c.as_py(), np.int16)
 
-        for seqs in blocks(texts(), BLOCK):
+        for seqs in batches_of(texts(), BATCH_TOKENS):
             a, b, c = expected_counts(seqs, now)
             first += a
             pairs += b
@@ -267,23 +278,12 @@ def improved(training: DataFrame, model: Hmm) -> Hmm:
 
 def sequence_scores(codes: list[np.ndarray], model: Hmm) -> np.ndarray:
     """log10 likelihood of each whole sequence of classes by scaled forward recursion."""
-    out = []
-    batch, total = [], 0
-
-    def done():
+    out = [np.zeros(0)]
+    for batch in batches_of(codes, BATCH_TOKENS):
         tm = TimeMajor(np.array([len(c) for c in batch]))
         _, scale = forward(model.first, model.trans, model.emit[tm.lay(np.concatenate(batch))], tm)
         out.append(tm.sums(np.log10(scale)))
-
-    for c in codes:
-        batch.append(c)
-        total += len(c)
-        if total >= BATCH_TOKENS:
-            done()
-            batch, total = [], 0
-    if batch:
-        done()
-    return np.concatenate(out) if out else np.zeros(0)
+    return np.concatenate(out)
 
 
 def trained(training: DataFrame, rounds: int = ROUNDS) -> Hmm:

@@ -128,6 +128,21 @@ def test_forward_backward_brute_force():
     assert np.allclose(pairs, want_pairs) and np.allclose(gamma[tm.place], np.concatenate(want_gamma))
 
 
+def test_hmm_counts_are_those_of_uncut_texts(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = hmm_scoring.start(rng.integers(1, 50, 30).astype(float))
+    model.first = rng.dirichlet(np.ones(hmm_scoring.STATES))
+    model.trans = rng.dirichlet(np.ones(hmm_scoring.STATES), hmm_scoring.STATES)
+    seqs = [rng.integers(0, 30, n).astype(np.int16) for n in (1, 7, 8, 9, 50, 16, 3, 17, 200)]
+    monkeypatch.setattr(hmm_scoring, "BLOCK", 1000)
+    whole = hmm_scoring.expected_counts(seqs, model)
+    for block in (1, 2, 8):
+        monkeypatch.setattr(hmm_scoring, "BLOCK", block)
+        for a, b in zip(whole, hmm_scoring.expected_counts(seqs, model), strict=True):
+            assert np.allclose(a, b, atol=2e-3)
+    assert np.isclose(whole[0].sum(), len(seqs), atol=1e-3) and np.isclose(whole[1].sum(), sum(len(s) - 1 for s in seqs), atol=1e-2)
+
+
 def test_hmm_scores(odd, monkeypatch):
     monkeypatch.setattr(hmm_scoring, "LEXICON", 5)  # other words go through the join
     monkeypatch.setattr(hmm_scoring, "ROUNDS", 2)
