@@ -397,8 +397,10 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE, percent: int
         members = apart.join(sets.select("node", "sketch", "size"), "node")
         more = stored(linked(apart_but_near(members, percent, nearest_only), sets, percent), "jaccard-links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+            known_links = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+            older, labels = labels, components(known_links.unionByName(more))  # stars so far, and what joins them
+            forget(older)
+        forget(more)
 
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     owned = stored(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first_id"), "jaccard-owned")
