@@ -42,6 +42,15 @@ def test_what_architectures_refuse(docs):
     assert span.infer_raw(docs, schema).count() > 0
 
 
+def test_relations_trim_as_python(spark):
+    docs = spark.createDataFrame([(1, "a\u3000b\tc \x1c d")], "doc_id long, text string")
+    e = Engine(HashingProvider(), ModelConfig(architecture="boundary"))
+    edges = [x for r in e.batch_extract_relations(docs, ["r"], 0.0, batch_size=1).collect() for x in r["relations"]["r"]]
+    assert edges and all(x[s]["text"] == x[s]["text"].strip() for x in edges for s in ("head", "tail"))
+    with pytest.raises(ValueError):
+        e.batch_extract_relations(docs, ["r"], batch_size=0)
+
+
 def test_adapters(docs):
     e = Engine(HashingProvider(4), adapters={"narrow": HashingProvider(1)})
     schema = SchemaBuilder().entities("a").build()
