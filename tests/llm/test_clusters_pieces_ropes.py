@@ -1,0 +1,301 @@
+"""Centroid clusters, SentencePiece pieces and fill-in-the-middle against definitions and the library."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from lodestone.llm import centroids, fill_in_middle, piece_bpe
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+# -- centroid clusters
+
+
+def brute_clusters(rows, number, rounds, seed, width, scale):
+    held = [(i, [math.floor(scale * float(x)) for x in e]) for i, e in rows if e is not None and len(e) == width and all(x is not None and math.isfinite(x) for x in e)]
+    keyed = sorted((hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest(), v) for i, v in held)
+    means = [v for _, v in keyed[:number]]
+
+    def assigned():
+        found = []
+        for i, v in held:
+            far = [sum((a - b) ** 2 for a, b in zip(v, m)) for m in means]
+            found.append((i, far.index(min(far)), min(far), v))
+        return found
+
+    for _ in range(rounds):
+        found = assigned()
+        for c in range(len(means)):
+            own = [v for _, k, _, v in found if k == c]
+            if own:
+                means[c] = [sum(col) // len(own) for col in zip(*own)]
+    found = assigned()
+    of = Counter()
+    for _, c, d, _ in found:
+        of[c] += d
+    return [(i, c, d, of[c], sum(of.values()), hashlib.sha256(",".join(map(str, means[c])).encode()).hexdigest()) for i, c, d, _ in found]
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, e, "x", 1) for i, e in rows], "vec_id long, embedding array<double>, hash string, cluster int").repartition(3)
+
+
+def answers(df):
+    return sorted((tuple(r[c] for c in ("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("spread", [0.004, 0.05, 4.0])
+def test_clusters_by_definition(spark, spread):
+    """Odd rows, repeated rows, ids of null and many equal distances (components of a few integers)."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, spread) for _ in range(6)]) for i in range(300)]
+    rows += rows[:40] + [(None, [0.01] * 6), (400, None), (401, [0.1] * 5), (402, [0.1] * 5 + [None]), (403, [math.nan] * 6), (404, [math.inf] + [0.0] * 5), (405, []), (406, [0.0] * 6), (407, [0.0] * 6)]
+    got = answers(centroids.cluster(vectors(spark, rows), 8, 5, 2, 6, 256))
+    assert got == sorted(brute_clusters(rows, 8, 5, 2, 6, 256), key=str)
+
+
+def test_clusters_of_one_hot_vector_and_fewer_vectors_than_centroids(spark):
+    rows = [(i, [0.5] * 6) for i in range(500)] + [(i, [i / 3] * 6) for i in range(500, 505)]
+    assert answers(centroids.cluster(vectors(spark, rows), 8, 5, 2, 6, 256)) == sorted(brute_clusters(rows, 8, 5, 2, 6, 256), key=str)
+    few = rows[:1] + rows[-2:]
+    assert answers(centroids.cluster(vectors(spark, few), 8, 5, 2, 6, 256)) == sorted(brute_clusters(few, 8, 5, 2, 6, 256), key=str)
+    assert centroids.op11_centroid_clusters(vectors(spark, rows)).count() == 0  # none has 64 components
+
+
+def test_clusters_of_huge_vectors_are_exact(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([1.0, 1e6, 3.4e38, -7e300]) * rng.random() for _ in range(4)]) for i in range(60)]
+    got = answers(centroids.cluster(vectors(spark, rows), 5, 3, 2, 4, 256))
+    held = lambda v: v if v < 2**63 else None
+    assert got == sorted(((i, c, held(d), held(of), held(total), h) for i, c, d, of, total, h in brute_clusters(rows, 5, 3, 2, 4, 256)), key=str)
+
+
+def test_float32_vectors_are_taken_as_doubles(spark):
+    df = spark.createDataFrame([(i, [0.1 * i, -0.7]) for i in range(50)], "vec_id long, embedding array<float>")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert answers(centroids.cluster(df, 4, 2, 2, 2, 256)) == sorted(brute_clusters(rows, 4, 2, 2, 2, 256), key=str)
+
+
+def test_screening_is_rigorous():
+    """Wherever single precision can't tell centroids apart, exact integers decide, first number first."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(-1_000_000, 1_000_000, 64)
+    means = [(base + rng.integers(-1, 2, 64)).tolist() for _ in range(30)]
+    means += means[:5]
+    nearest = centroids.Nearest(means)
+    v = np.array([base + rng.integers(-2, 3, 64) for _ in range(400)])
+    found, distance = nearest.of(v)
+    exact = ((v[:, None, :] - np.array(means)[None]) ** 2).sum(2)
+    assert (found == exact.argmin(1)).all() and (distance == exact.min(1)).all() and nearest.recomputed > 300
+    calm = centroids.Nearest(rng.integers(-300, 300, (40, 64)).tolist())
+    calm.of(rng.integers(-300, 300, (1000, 64)))
+    assert calm.recomputed < 20
+
+
+@pytest.mark.parametrize("value", [0, 1, -1, 2**19, -(2**19), 2**63, -(10**40), 123456789012345678901234567890])
+def test_digits(value):
+    parts = list(centroids.digits(value))
+    assert sum(low << (centroids.DIGIT * place) for place, low in parts) == value
+    assert all(abs(low) <= 1 << 19 for _, low in parts)
+
+
+# -- SentencePiece
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    return piece_bpe.PieceBpe(MODEL)
+
+
+ODD_TEXTS = ["", " ", "  ", "a", " a", "a ", "\n", "\x00a", "▁", "▁▁a", "a▁b", "<0x41>", "<s>", "<unk>", "日本語 text", "\U0001f600x", "�", " ⁇ ", "=" * 900, " " * 5001, "ab" * 3000, "http://www.example.com/////", "x\r\n\ty", "e.g., (the).the", "é", "1234.5", "İstanbul ſ"]
+
+
+def test_pieces_of_odd_texts(library, bpe):
+    for text in ODD_TEXTS:
+        ids = bpe.encode(text)
+        assert ids == library.encode(text), text[:50]
+        assert bpe.decode(ids) == library.decode(ids), text[:50]
+
+
+def test_pieces_of_random_texts(library, bpe):
+    rng = random.Random(7)
+    pieces = list(bpe.model.id_of)
+    for _ in range(4000):
+        text = "".join(rng.choice([rng.choice(pieces).replace("▁", " "), chr(rng.choice([32, 97, 101, 46, 0x3B1, 0x4E2D, 0x1F600, rng.randrange(1, 0xD800)]))]) for _ in range(rng.randrange(1, 14)))
+        assert bpe.encode(text) == library.encode(text), text
+    for _ in range(300):
+        text = "".join(rng.choice("etaoin ▁.") for _ in range(rng.randrange(1, 300)))
+        assert bpe.encode(text) == library.encode(text), text
+
+
+def test_pieces_of_very_long_words(library, bpe):
+    rng = random.Random(8)
+    for text in ("".join(rng.choice("abcdefghij") for _ in range(200_000)), "a" * 200_000, "中" * 50_000):
+        assert bpe.encode(text) == library.encode(text)
+
+
+def test_decoding_of_random_ids(library, bpe):
+    rng = random.Random(9)
+    for _ in range(5000):
+        ids = [rng.choice([rng.randrange(32000), rng.randrange(3, 259), rng.randrange(3, 259), rng.randrange(3), bpe.model.id_of["▁"]]) for _ in range(rng.randrange(9))]
+        assert bpe.decode(ids) == library.decode(ids), ids
+
+
+def _message(*parts):
+    out = b""
+    for number, value in parts:
+        if isinstance(value, int):
+            out += bytes([number << 3, value])
+        else:
+            out += bytes([number << 3 | (5 if isinstance(value, float) else 2)])
+            if isinstance(value, float):
+                import struct
+
+                out += struct.pack("<f", value)
+            else:
+                out += bytes([len(value)]) + value
+    return out
+
+
+def test_backtracking_on_models_whose_longest_match_is_wrong(tmp_path):
+    """Small random models: longest matches often fail, places are marked, and pieces may even span spaces; merging by definition decides."""
+    rng = random.Random(11)
+    for k in range(40):
+        pieces = sorted({"".join(rng.choice("ab▁") for _ in range(rng.randrange(2, 5))) for _ in range(14)})
+        rng.shuffle(pieces)
+        vocabulary = [(1, _message((1, b"<unk>"), (2, 0.0), (3, 2)))] + [(1, _message((1, p.encode()), (2, float(-rng.randrange(8))))) for p in [*pieces, "a", "b", "▁"]]
+        path = tmp_path / f"{k}.model"
+        path.write_bytes(_message(*vocabulary, (2, _message((3, 2))), (3, _message((3, 1), (4, 0)))))
+        own = piece_bpe.PieceBpe(str(path))
+        reference = sentencepiece.SentencePieceProcessor(model_file=str(path)) if k < 5 else None
+        for _ in range(60):
+            text = "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 30)))
+            expected = [own.model.id_of.get(p, 0) for p in own.merged("▁" + text.replace(" ", "▁"))]
+            assert own.encode(text) == expected, (text, pieces)
+            if reference:
+                assert reference.encode(text) == expected
+
+
+def test_models_of_other_kinds_are_refused(tmp_path):
+    path = tmp_path / "other.model"
+    path.write_bytes(_message((1, _message((1, b"a"))), (2, _message((3, 1)))))
+    with pytest.raises(ValueError):
+        piece_bpe.PieceBpe(str(path))
+
+
+DOCS = "doc_id long, text string, t string, output string, form string, n_tokens int"
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(i, t, "clash", "clash", "clash", 3) for i, t in texts], DOCS).repartition(3)
+
+
+def test_piece_round_trip(spark, library):
+    texts = [*enumerate(ODD_TEXTS), (3, ODD_TEXTS[3]), (None, "no id"), (100, None), (101, "word " * 30_000)]
+    got = piece_bpe.op12_piece_round_trip(documents(spark, texts)).collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [(i, len(ids := library.encode(t or "")), sha(",".join(map(str, ids))), sha(library.decode(ids))) for i, t in texts]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    encoded = piece_bpe.encode_texts(documents(spark, texts), MODEL)
+    back = piece_bpe.decode_ids(encoded, MODEL).collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((i, library.decode(library.encode(t or ""))) for i, t in texts), key=str)
+    assert piece_bpe.op12_piece_round_trip(documents(spark, [])).count() == 0
+
+
+# -- fill in the middle
+
+UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def brute_middle(doc_id, text):
+    text = text or ""
+    units = UNIT.findall(text)
+    n = len(units)
+    h = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(h[i : i + 8], 16) for i in (0, 8, 16, 24)]
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    pre, mid, suf = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or any(s in text for s in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return text, n, "plain", None, None
+    if h[3] % 100 < 80:
+        return f"<S>{suf}<P>{pre}<M>{mid}", n, "spm", len(pre), len(mid)
+    return f"<P>{pre}<S>{suf}<M>{mid}", n, "psm", len(pre), len(mid)
+
+
+MIDDLE_TEXTS = ["", " ", "one", " one", "one ", "one two  three\n", "\x1cnot \x85space\xa0 here", "<P", "<<S", "S> <", "a<P>b", "日本 語 \U0001f600 é", "x" * 9000, "w " * 9000, " " * 9000 + "end", " em space word"]
+
+
+def test_ropes(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(fill_in_middle.rope_of, "__defaults__", (7,))
+    for text in MIDDLE_TEXTS + ["".join(rng.choice("ab  \n<PSM>é") for _ in range(rng.randrange(400))) for _ in range(300)]:
+        rope = fill_in_middle.rope_of(text)
+        units = UNIT.findall(text)
+        assert (str(rope), rope.units, rope.chars) == (text, len(units), len(text))
+        for _ in range(5):
+            at = rng.randrange(len(units) + 2)
+            first, rest = fill_in_middle.split(rope, at, "units")
+            assert (str(first), str(rest)) == ("".join(units[:at]), "".join(units[at:]))
+            assert first.units == min(at, len(units)) and first.units + rest.units == rope.units
+            at = rng.randrange(len(text) + 2)
+            assert tuple(map(str, fill_in_middle.split(rope, at, "chars"))) == (text[:at], text[at:])
+        for doc_id in (1, 2, 3, 5, 8, 13, None):
+            got = fill_in_middle.transformed(text, doc_id)
+            assert got == brute_middle(doc_id, text)
+            assert fill_in_middle.restored(got[0], got[2]) == text
+
+
+def test_ropes_stay_balanced():
+    rng = random.Random(6)
+    rope = fill_in_middle.rope_of("ab cd " * 20_000, 16)
+    text = str(rope)
+    for _ in range(200):
+        at = rng.randrange(rope.units)
+        first, rest = fill_in_middle.split(rope, at, "units")
+        rope = fill_in_middle.joined(rest, first)
+        text = str(rest) + str(first)
+    assert str(rope) == text and rope.height < 2 * math.log2(20_000)
+
+
+def test_fill_in_middle(spark):
+    texts = [*enumerate(MIDDLE_TEXTS), *((i, "one two three four") for i in range(100, 160)), (120, "one two three four"), (None, "no id at all"), (200, None), (201, "word " * 30_000)]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = fill_in_middle.op13_fill_in_middle(documents(spark, texts)).collect()
+    want = [(i, n, form, pre, mid, sha(out), sha(t or "")) for i, t in texts for out, n, form, pre, mid in [brute_middle(i, t)]]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert {r.form for r in got} == {"plain", "spm", "psm"}
+    made = fill_in_middle.transform_texts(documents(spark, texts))
+    assert sorted(((r.doc_id, r.output) for r in made.collect()), key=str) == sorted(((i, brute_middle(i, t)[0]) for i, t in texts), key=str)
+    back = fill_in_middle.restore_texts(made).collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((i, t or "") for i, t in texts), key=str)
+    assert fill_in_middle.op13_fill_in_middle(documents(spark, [])).count() == 0
+
+
+def test_sql_of_registered_queries(spark, sf):
+    """The SQL of the queries agrees on the driver's smallest tables."""
+    import duckdb
+
+    from lodestone.llm import queries
+
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
+    for name in ("op11_centroid_clusters", "op13_fill_in_middle"):
+        got = queries.QUERIES[name](spark, sf)
+        want = con.execute(queries.ORACLE_SQL[name]).to_arrow_table().select(got.columns).to_pylist()
+        assert sorted(map(str, (r.asDict() for r in got.collect()))) == sorted(map(str, want))
+    assert got.filter(F.col("form") != "plain").count() > 0
