@@ -40,4 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
     else:
         raise RuntimeError("components didn't settle")
-    return stored(now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct(), "components")
+    found = stored(now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct(), "components")
+    forget(now)
+    return found

@@ -14,6 +14,10 @@ ones. In the same way a set with at most ``slack`` signatures that many nodes sh
 those: some other of its signatures is shared with any similar set. What decides is the same for all
 holders of a signature, so each similar pair keeps a signature that both hold.
 
+Equal sets are merged before any signature is made: nodes that several texts have are told by a filter, and
+one text of each is kept. Signatures are counted by partial sums, and only nodes that hold a shared one
+meet; a signature that very many nodes hold is never gathered in one task.
+
 Nodes that share a signature are compared as follows, so that no link between different texts is
 lost and no large group is paired in full. Groups of at most ``SMALL`` nodes give their pairs. In larger
 ones each node is paired with the smallest; linked nodes form components; only signatures whose
@@ -37,7 +41,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap_has, bitmap_of, forget, slices_of, stored
@@ -58,6 +62,8 @@ LEAST_BINS, MOST_BINS = 2048, 1 << 17
 BLOCK = 1024
 #: Bytes of texts that are worked on at once.
 SLICE = 2_000_000
+#: Bits of the filters of nodes that several texts have and of signatures that several nodes have, as powers of two.
+COPIED_BITS, SHARED_BITS = 24, 26
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -219,44 +225,92 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, node long, n long, slack_0 int, slack_1 int")
 
 
-def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """A row of signature and node for each signature of each text."""
+def copied_once(docs: DataFrame, texts: DataFrame, n: int) -> tuple[DataFrame, bytes]:
+    """node and text of each node that several texts have, once, and a filter that all of these nodes pass.
+
+    A node that passes by chance is among them too, so the other texts' nodes each have one text only.
+    """
+    copied = texts.filter("node IS NOT NULL").groupBy("node").count().filter("count > 1")
+    bitmap = bitmap_of(copied, "node", COPIED_BITS)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         for batch in batches:
             for _, texts in slices_of(batch.column(0), SLICE):
-                sets = [s for s in shingle_sets(texts, n) if len(s)]
-                keys, owners, _ = signatures(sets, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array([name_of(s) for s in sets], np.int64)[owners])], ["sig", "node"])
+                found = {name_of(s): t for s, t in zip(shingle_sets(texts, n), texts) if len(s)}
+                names = np.fromiter(found, np.int64, len(found))
+                of = list(found.values())
+                kept = np.flatnonzero(bitmap_has(shared.value, names)) if len(names) else []
+                yield pa.RecordBatch.from_arrays([pa.array(names[kept], pa.int64()), pa.array([of[i] for i in kept], pa.binary())], ["node", "t"])
+
+    return stored(docs.select("t").mapInArrow(run, "node long, t binary").dropDuplicates(["node"]), "jaccard-copied"), bitmap
+
+
+def of_nodes(docs: DataFrame, once: DataFrame, copied: bytes, n: int, work, schema: str) -> DataFrame:
+    """What ``work`` makes of the sets and names of some nodes at a time, each node once. It gives record batches."""
+    shared = docs.sparkSession.sparkContext.broadcast(copied)
+
+    def over(all_of: bool):
+        def run(batches):
+            for batch in batches:
+                for _, texts in slices_of(batch.column(0), SLICE):
+                    sets = [s for s in shingle_sets(texts, n) if len(s)]
+                    names = np.array([name_of(s) for s in sets], np.int64)
+                    if not all_of and len(names):
+                        kept = np.flatnonzero(~bitmap_has(shared.value, names))
+                        sets, names = [sets[i] for i in kept], names[kept]
+                    if len(names):
+                        yield work(sets, names)
+
+        return run
+
+    return docs.select("t").mapInArrow(over(False), schema).unionByName(once.select("t").mapInArrow(over(True), schema))
+
 
-    return docs.select("t").mapInArrow(run, "sig long, node long")
+def shared_signatures(docs: DataFrame, once: DataFrame, copied: bytes, n: int, percent: int) -> DataFrame:
+    """sig, node and of_sig (how many nodes have it) for each signature that several nodes have."""
 
+    def count(sets, _):
+        keys = np.unique(signatures(sets, percent)[0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1])], ["sig", "some"])
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, size, sketch and members of each wanted node, once."""
+    counted = of_nodes(docs, once, copied, n, count, "sig long, some long").groupBy("sig").agg(F.sum("some").alias("of_sig")).filter("of_sig > 1")
+    counted = stored(counted, "jaccard-counted")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(counted, "sig", SHARED_BITS))
+
+    def sign(sets, names):
+        keys, owners, _ = signatures(sets, percent)
+        kept = bitmap_has(shared.value, keys)
+        return pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(names[owners[kept]])], ["sig", "node"])
+
+    met = stored(of_nodes(docs, once, copied, n, sign, "sig long, node long").join(counted.hint("merge"), "sig"), "jaccard-met")
+    forget(counted)
+    return met
+
+
+def sets_of(docs: DataFrame, once: DataFrame, copied: bytes, wanted: DataFrame, n: int) -> DataFrame:
+    """node, size, sketch and members of each wanted node."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "node"))
 
-    def run(batches):
-        for batch in batches:
-            for _, texts in slices_of(batch.column(0), SLICE):
-                sets = [s for s in shingle_sets(texts, n) if len(s)]
-                names = np.array([name_of(s) for s in sets], np.int64)
-                kept = np.flatnonzero(bitmap_has(shared.value, names)) if len(sets) else []
-                rows = [sets[i] for i in kept]
-                yield pa.RecordBatch.from_arrays([pa.array(names[kept], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array([sketch_of(s) for s in rows], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))], ["node", "size", "sketch", "members"])
+    def run(sets, names):
+        kept = np.flatnonzero(bitmap_has(shared.value, names))
+        rows = [sets[i] for i in kept]
+        return pa.RecordBatch.from_arrays([pa.array(names[kept], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array([sketch_of(s) for s in rows], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))], ["node", "size", "sketch", "members"])
 
-    found = docs.select("t").mapInArrow(run, "node long, size long, sketch array<long>, members array<long>")
-    return found.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("members").alias("members")).join(wanted, "node", "left_semi")
+    found = of_nodes(docs, once, copied, n, run, "node long, size long, sketch array<long>, members array<long>")
+    return found.join(wanted, "node", "left_semi")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar; only pairs that their sketches don't rule out meet with their sets."""
+    """Those of the pairs (a, b) whose whole sets are similar, stored; only pairs that their sketches don't rule out meet with their sets."""
     screened = stored(near_by_sketch(pairs, sets, percent), "jaccard-screened")
     left = sets.select(F.col("node").alias("a"), F.col("size").alias("p"), F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("size").alias("q"), F.col("members").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     met = screened.join(left, "a").join(right, "b").select("a", "b", (F.col("p") + F.col("q")).alias("s"), both.alias("both"))
-    return met.filter(100 * F.col("both") >= percent * (F.col("s") - F.col("both"))).select("a", "b")
+    found = stored(met.filter(100 * F.col("both") >= percent * (F.col("s") - F.col("both"))).select("a", "b"), "jaccard-links")
+    forget(screened)
+    return found
 
 
 def near_by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -347,20 +401,15 @@ def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataF
     return ready.mapInArrow(run, "a long, b long").distinct()
 
 
-def groups_of(docs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """sig, node and of_sig (nodes that share it) of signatures that different nodes share, without those that a node's slack spares it."""
-    by_sig = Window.partitionBy("sig")
-    rows = signed(docs, n, percent).withColumn("least", F.min("node").over(by_sig)).withColumn("most", F.max("node").over(by_sig))
-    met = stored(rows.filter("least <> most").select("sig", "node").distinct(), "jaccard-met")
-    counted = stored(met.withColumn("of_sig", F.count("*").over(by_sig)), "jaccard-counted")
-    forget(met)
-    odd = F.col("sig").bitwiseAND(F.lit(1))
-    weak = counted.filter(F.col("of_sig") > SMALL).withColumn("odd", odd)
+def groups_of(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """met without those signatures that a node's slack spares it, and with the counts of what is left."""
+    weak = met.filter(F.col("of_sig") > SMALL).withColumn("odd", F.col("sig").bitwiseAND(F.lit(1)))
     slack = texts.filter("node IS NOT NULL").groupBy("node").agg(F.first("slack_0").alias("slack_0"), F.first("slack_1").alias("slack_1"))
     spared = weak.groupBy("node", "odd").agg(F.count("*").alias("weak")).join(slack, "node").filter("weak <= if(odd = 1, slack_1, slack_0)").select("node", "odd")
-    left = weak.join(spared, ["node", "odd"], "left_anti").select("sig", "node").withColumn("of_sig", F.count("*").over(by_sig)).filter("of_sig > 1")
-    out = stored(counted.filter(F.col("of_sig") <= SMALL).unionByName(left), "jaccard-groups")
-    forget(counted)
+    left = stored(weak.join(spared, ["node", "odd"], "left_anti").select("sig", "node"), "jaccard-weak")
+    counted = left.groupBy("sig").agg(F.count("*").alias("of_sig")).filter("of_sig > 1")
+    out = stored(met.filter(F.col("of_sig") <= SMALL).unionByName(left.join(counted.hint("merge"), "sig")), "jaccard-groups")
+    forget(left)
     return out
 
 
@@ -368,7 +417,8 @@ def first_pairs(groups: DataFrame) -> DataFrame:
     """Pairs (a, b): all of each group of at most SMALL nodes; of larger ones each node with the smallest."""
     small = groups.filter(F.col("of_sig") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_set("node")).alias("g"))  # at most SMALL nodes
     pairs = small.select(F.explode(F.expr("flatten(transform(g, (a, i) -> transform(slice(g, i + 2, size(g)), b -> struct(b AS a, a AS b))))")).alias("p")).select("p.a", "p.b")
-    large = groups.filter(F.col("of_sig") > SMALL).withColumn("b", F.min("node").over(Window.partitionBy("sig"))).filter("node <> b").select(F.col("node").alias("a"), "b")
+    large = groups.filter(F.col("of_sig") > SMALL).select("sig", "node")
+    large = large.join(large.groupBy("sig").agg(F.min("node").alias("b")).hint("merge"), "sig").filter("node <> b").select(F.col("node").alias("a"), "b")
     return pairs.unionByName(large).distinct()
 
 
@@ -377,25 +427,28 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE, percent: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     texts = stored(described(docs, shingle, percent), "jaccard-texts")
     known = texts.filter("node IS NOT NULL")
-    by_sig = Window.partitionBy("sig")
-    groups = groups_of(docs, texts, shingle, percent)
+    once, copied = copied_once(docs, texts, shingle)
+    met = shared_signatures(docs, once, copied, shingle, percent)
+    groups = groups_of(met, texts)
     wanted = stored(groups.select("node").distinct(), "jaccard-wanted")
-    sets = stored(sets_of(docs, wanted, shingle), "jaccard-sets")
+    sets = stored(sets_of(docs, once, copied, wanted, shingle), "jaccard-sets")
+    forget(met, once)
     firsts = stored(first_pairs(groups), "jaccard-firsts")
-    links = stored(linked(firsts, sets, percent), "jaccard-links")
+    links = linked(firsts, sets, percent)
     labels, apart = components(links), None
     met = groups.filter(F.col("of_sig") > SMALL).select("sig", "node")
     for nearest_only in (True, True, False):
         placed = met.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-        placed = placed.withColumn("low", F.min("label").over(by_sig)).withColumn("high", F.max("label").over(by_sig)).withColumn("of_sig", F.count("*").over(by_sig))
-        before, apart = apart, stored(placed.filter("low <> high").select("sig", "node", "label", "of_sig"), "jaccard-apart")
+        of_sig = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("of_sig"))
+        placed = placed.join(of_sig.filter("low <> high").drop("low", "high").hint("merge"), "sig")
+        before, apart = apart, stored(placed, "jaccard-apart")
         if before is not None:
             forget(before)
         if apart.isEmpty():
             break
         met = apart.select("sig", "node")
         members = apart.join(sets.select("node", "sketch", "size"), "node")
-        more = stored(linked(apart_but_near(members, percent, nearest_only), sets, percent), "jaccard-links")
+        more = linked(apart_but_near(members, percent, nearest_only), sets, percent)
         if not more.isEmpty():
             known_links = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
             older, labels = labels, components(known_links.unionByName(more))  # stars so far, and what joins them

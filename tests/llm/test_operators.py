@@ -492,6 +492,25 @@ def test_jaccard_clusters(spark, monkeypatch, small, shingle, percent):
     assert Counter(map(tuple, jaccard_join.similarity_components(docs, shingle, percent).collect())) == brute_components(rows, shingle, percent)
 
 
+def test_jaccard_signs_each_node_once(spark, monkeypatch):
+    """2,000 copies of one text, near copies of it and a text of 4,000 words in 50 copies: signatures are those of different sets."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    long = " ".join(rng.choice(words) + str(i % 900) for i in range(4000))
+    rows = [(i, " ".join(words)) for i in range(2000)] + [(2000 + i, " ".join(words[: 60 - i])) for i in range(6)] + [(3000 + i, long) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_components(docs).collect()}
+    assert got == {i: (len({tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)}), 3000 if i >= 3000 else 0) for i, t in rows}
+    t = docs.select("doc_id", F.encode("text", "UTF-8").alias("t"))
+    texts = jaccard_join.described(t, 4, 85)
+    for bits in (24, 7):  # a filter that nearly all nodes pass changes nothing
+        monkeypatch.setattr(jaccard_join, "COPIED_BITS", bits)
+        once, copied = jaccard_join.copied_once(t, texts, 4)
+        met = jaccard_join.shared_signatures(t, once, copied, 4, 85)
+        assert once.count() == once.select("node").distinct().count() <= 7
+        assert met.count() == met.distinct().count() and met.agg(F.max("of_sig")).first()[0] <= 6
+
+
 @pytest.mark.parametrize("percent", [60, 80, 85, 95])
 def test_partenum_shares_a_signature(percent):
     rng = np.random.default_rng(5)
