@@ -40,6 +40,25 @@ def not_abstaining(spans: DataFrame, nulls: DataFrame, threshold: float = 0.5, t
     return spans.join(silent, ["doc_id", "query_id"], "left_anti")
 
 
+def finite(column: Column) -> Column:
+    return column.isNotNull() & ~F.isnan(column) & (F.abs(column) < F.lit(float("inf")))
+
+
+def checked(rows: DataFrame, columns: list[str], what: str, keys: list[str], spans: bool = False) -> DataFrame:
+    """rows, every one of which is looked at before a filter on ``mask`` or on coordinates can drop it: a score that isn't
+    finite, and with ``spans`` a live row that is no span, is an error that names the row."""
+    named = F.concat(*(x for k in keys for x in (F.lit(f" {k} "), F.coalesce(F.col(k).cast("string"), F.lit("null")))))
+    error = lambda reason: F.raise_error(F.concat(F.lit(f"{what}:"), named, F.lit(f": {reason}")))
+    live = F.col("mask") if "mask" in rows.columns else F.lit(True)
+    scores = finite(F.col(columns[0]).cast("double"))
+    for c in columns[1:]:
+        scores = scores & finite(F.col(c).cast("double"))
+    fine = ~live | ((F.col("start") >= 0) & (F.col("start") < F.col("end"))) if spans else F.lit(True)
+    guard = lambda c: F.when(~scores, error("a score isn't finite")).when(~fine, error("a span is malformed")).otherwise(F.col(c))
+    guarded = [*columns, *(["mask"] if "mask" in rows.columns else []), *(["start", "end"] if spans else [])]
+    return rows.withColumns({c: guard(c) for c in guarded})
+
+
 def unmasked(spans: DataFrame, n_words: str = "n_words") -> DataFrame:
     """Drops rows whose mask is false; a live span outside the text is an error."""
     live = spans.filter("mask")
@@ -47,20 +66,41 @@ def unmasked(spans: DataFrame, n_words: str = "n_words") -> DataFrame:
     return live.withColumn("start", F.when(fine, F.col("start")).otherwise(F.raise_error(F.concat(F.lit("span outside the text of document "), F.col("doc_id").cast("string")))))
 
 
+def prefixed(docs: DataFrame, prefix: list[str]) -> DataFrame:
+    """Documents as a model reads them, with the words of a prefix before their own: n_words counts both, tokens are the text's."""
+    return docs.withColumns({"prefix": F.array(*map(F.lit, prefix)).cast("array<string>"), "prefix_words": F.lit(len(prefix)), "n_words": F.col("n_words") + len(prefix)})
+
+
+def origin(rows: DataFrame) -> Column:
+    """Where the text's own words begin in the model's coordinates."""
+    return F.col("prefix_words") if "prefix_words" in rows.columns else F.lit(0)
+
+
 def outside_prefix(spans: DataFrame, prefix_words: int, n_words: str = "n_words") -> DataFrame:
     """Drops spans that touch the prefix or end past the text's own words, and counts from the first of these."""
     start, end = F.col("start") - prefix_words, F.col("end") - prefix_words
     return spans.filter((start >= 0) & (end <= F.col(n_words))).withColumns({"start": start, "end": end})
 
 
-def mapped(spans: DataFrame, docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Adds byte and code-point offsets and the trimmed surface; drops spans whose surface is empty.
+def located(spans: DataFrame, docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Adds byte and code-point offsets and the trimmed surface; nulls where a span begins in the prefix or ends past the text's words.
 
     docs: doc_id, text and words with offsets. Word lists stay with their document: the join is on
-    doc_id alone and takes two elements of the list.
+    doc_id alone, never by broadcasting texts, and takes two elements of the list.
     """
-    first, last = F.element_at(tokens, F.col("start") + 1), F.element_at(tokens, F.col("end"))
-    joined = spans.join(docs.select("doc_id", "text", tokens), "doc_id").withColumns({"_f": first, "_l": last})
+    own = docs.select("doc_id", "text", tokens, origin(docs).alias("_o")).hint("merge")
+    start, end = F.col("start") - F.col("_o"), F.col("end") - F.col("_o")
+    inside = (start >= 0) & (start < end) & (end <= F.size(tokens))
+    joined = spans.join(own, "doc_id").withColumns({"_f": F.when(inside, F.get(tokens, start)), "_l": F.when(inside, F.get(tokens, end - 1))})
     surface = F.expr("substr(text, _f.char_start + 1, _l.char_end - _f.char_start)")
-    out = joined.withColumns({"byte_start": F.col("_f.start"), "byte_end": F.col("_l.end"), "char_start": F.col("_f.char_start"), "char_end": F.col("_l.char_end"), "surface": unicode_trim(surface)})
-    return out.filter(F.col("surface") != "").drop("text", tokens, "_f", "_l")
+    return joined.withColumns({"byte_start": F.col("_f.start"), "byte_end": F.col("_l.end"), "char_start": F.col("_f.char_start"), "char_end": F.col("_l.char_end"), "surface": unicode_trim(surface)}).drop("text", tokens, "_o", "_f", "_l")
+
+
+def in_text(spans: DataFrame) -> DataFrame:
+    """Drops located spans that have no surface: those of the prefix, and those of white space alone."""
+    return spans.filter("surface <> ''")
+
+
+def mapped(spans: DataFrame, docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """The located spans that are in the text."""
+    return in_text(located(spans, docs, tokens))

@@ -7,10 +7,11 @@ error, never an empty result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.prompts import Query
 
-FAMILIES = ("span_logits", "null_logits", "label_logits", "boundary_logits", "pair_logits", "count_logits", "object_logits", "assign_logits", "explicit_logits", "choice_logits")
+FAMILIES = ("span_logits", "null_logits", "label_logits", "boundary_logits", "pair_logits", "count_logits", "object_logits", "assign_logits", "explicit_logits", "choice_logits", "candidate_logits", "prefix_logits", "instance_logits")
 
 
 class MissingFamily(ValueError):
@@ -20,7 +21,9 @@ class MissingFamily(ValueError):
 class Provider:
     """Families are methods; a provider overrides those that it has.
 
-    docs has doc_id, text, tokens (with offsets) and n_words; all results carry doc_id.
+    docs has doc_id, text, tokens (with offsets) and n_words; all results carry doc_id. Where a prefix of
+    choices stands before the text, docs has prefix and prefix_words too, n_words counts both, and all
+    coordinates are those of prefix and text together.
     """
 
     name = "provider"
@@ -67,3 +70,16 @@ class Provider:
     def choice_logits(self, docs: DataFrame, query: Query, choices: list[str]) -> DataFrame:
         """(choice_idx, choice, logit)"""
         self._missing("choice_logits")
+
+    def candidate_logits(self, docs: DataFrame, candidates: DataFrame, queries: list[Query]) -> DataFrame:
+        """candidates (doc_id, start, end and others), each with each query: query_id and logit. Those that the provider doesn't score go."""
+        scored = self.span_logits(docs, queries).select("doc_id", "query_id", "start", "end", "logit")
+        return candidates.join(scored, ["doc_id", "start", "end"])
+
+    def prefix_logits(self, docs: DataFrame, query: Query, present: list[tuple[str, int]]) -> DataFrame:
+        """(choice_idx, choice, logit) of choices and their places in the prefix. Without scores of places, those of the choices."""
+        return self.choice_logits(docs, query, [c for c, _ in present])
+
+    def instance_logits(self, docs: DataFrame, queries: list[Query], most: int) -> DataFrame:
+        """(instance, query_id, start, end, logit). Without scores by instance all instances have the same."""
+        return self.span_logits(docs, queries).withColumn("instance", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.spans import grid
+from ..operators.spans import grid, origin
 from ..plans.prompts import Query
 from .base import Provider
 
@@ -26,9 +26,11 @@ def hash_logit(*parts: Column | int) -> Column:
     return (F.pmod(total, F.lit(MODULUS)) - CENTRE) / SCALE
 
 
-def hash_logit_sql(*parts: str) -> str:
-    """The same in SQL."""
+def hash_logit_sql(*parts: str, signed: bool = False) -> str:
+    """The same in SQL. signed: the sum may be below zero."""
     total = " + ".join(f"CAST({p} AS BIGINT) * {m}" for p, m in zip(parts, MULTIPLIERS, strict=False))
+    if signed:
+        total = f"({total}) % {MODULUS} + {MODULUS}"
     return f"((({total}) % {MODULUS}) - {CENTRE}) / {SCALE}"
 
 
@@ -40,14 +42,30 @@ def _each(docs: DataFrame, items: list[tuple], schema: str) -> DataFrame:
 
 
 class HashingProvider(Provider):
+    """Places count from the text's first word, so that a prefix changes no score of the text."""
+
     name = "hashing provider"
 
     def __init__(self, width: int = 4):
         self.width = width
 
     def span_logits(self, docs: DataFrame, queries: list[Query]) -> DataFrame:
-        spans = _each(grid(docs, width=self.width), [(q.query_id,) for q in queries], "query_id:int")
-        return spans.select("doc_id", "query_id", "start", "end", hash_logit(F.col("doc_id"), F.col("start"), F.col("end") - F.col("start"), F.col("query_id")).alias("logit"))
+        spans = _each(grid(docs.withColumn("_o", origin(docs)), width=self.width, keep=["doc_id", "_o"]), [(q.query_id,) for q in queries], "query_id:int")
+        return spans.select("doc_id", "query_id", "start", "end", hash_logit(F.col("doc_id"), F.col("start") - F.col("_o"), F.col("end") - F.col("start"), F.col("query_id")).alias("logit"))
+
+    def candidate_logits(self, docs: DataFrame, candidates: DataFrame, queries: list[Query]) -> DataFrame:
+        """candidates carry prefix_words where there is a prefix."""
+        rows = _each(candidates, [(q.query_id,) for q in queries], "query_id:int")
+        return rows.withColumn("logit", hash_logit(F.col("doc_id"), F.col("start") - origin(rows), F.col("end") - F.col("start"), F.col("query_id")))
+
+    def instance_logits(self, docs: DataFrame, queries: list[Query], most: int) -> DataFrame:
+        spans = _each(grid(docs.withColumn("_o", origin(docs)), width=self.width, keep=["doc_id", "_o"]), [(q.query_id, i) for q in queries for i in range(most)], "query_id:int,instance:int")
+        width = F.col("end") - F.col("start") + 16 * F.col("instance")
+        return spans.select("doc_id", "instance", "query_id", "start", "end", hash_logit(F.col("doc_id"), F.col("start") - F.col("_o"), width, F.col("query_id")).alias("logit"))
+
+    def prefix_logits(self, docs: DataFrame, query: Query, present: list[tuple[str, int]]) -> DataFrame:
+        rows = _each(docs.select("doc_id", origin(docs).alias("_o")), [(i, c, place) for i, (c, place) in enumerate(present)], "choice_idx:int,choice:string,place:int")
+        return rows.select("doc_id", "choice_idx", "choice", hash_logit(F.col("doc_id"), F.col("place") - F.col("_o"), 1, query.query_id).alias("logit"))
 
     def null_logits(self, docs: DataFrame, queries: list[Query]) -> DataFrame:
         rows = _each(docs.select("doc_id"), [(q.query_id,) for q in queries], "query_id:int")
@@ -58,30 +76,36 @@ class HashingProvider(Provider):
         return rows.select("doc_id", F.lit(task).alias("task"), "label_idx", "label", hash_logit(F.col("doc_id"), F.col("label_idx"), 7, len(task)).alias("logit"))
 
     def boundary_logits(self, docs: DataFrame, queries: list[Query]) -> DataFrame:
-        at = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n_words"))).alias("pos"))
+        at = docs.select("doc_id", origin(docs).alias("_o"), F.explode(F.sequence(F.lit(0), F.col("n_words"))).alias("pos"))
         rows = _each(at, [(q.query_id,) for q in queries], "query_id:int")
-        logit = lambda side: hash_logit(F.col("doc_id"), F.col("pos"), side, F.col("query_id"))
+        logit = lambda side: hash_logit(F.col("doc_id"), F.col("pos") - F.col("_o"), side, F.col("query_id"))
         return rows.select("doc_id", "query_id", "pos", logit(1).alias("start_logit"), logit(2).alias("end_logit"), F.lit(True).alias("mask"), F.lit(True).alias("query_mask"))
 
     def pair_logits(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("logit", hash_logit(F.col("doc_id"), F.col("head_start") * 31 + F.col("head_end"), F.col("tail_start") * 31 + F.col("tail_end"), F.length("relation")))
+        place = lambda side: (F.col(f"{side}_start") - origin(pairs)) * 31 + F.col(f"{side}_end") - origin(pairs)
+        return pairs.withColumn("logit", hash_logit(F.col("doc_id"), place("head"), place("tail"), F.length("relation")))
 
     def count_logits(self, docs: DataFrame, owner: str, most: int) -> DataFrame:
         rows = _each(docs.select("doc_id"), [(n,) for n in range(most + 1)], "n:int")
         return rows.select("doc_id", "n", hash_logit(F.col("doc_id"), F.col("n"), 5, len(owner)).alias("logit"))
 
+    @staticmethod
+    def _own(docs: DataFrame) -> DataFrame:
+        """doc_id, the number of the text's own words, and where they begin."""
+        return docs.select("doc_id", (F.col("n_words") - origin(docs)).alias("n_words"), origin(docs).alias("_o"))
+
     def object_logits(self, docs: DataFrame, structure: str, most: int = 4) -> DataFrame:
-        rows = _each(docs.select("doc_id", "n_words"), [(i,) for i in range(most)], "instance:int").filter("instance < n_words")
+        rows = _each(self._own(docs), [(i,) for i in range(most)], "instance:int").filter("instance < n_words")
         logit = hash_logit(F.col("doc_id"), F.col("instance"), 13, len(structure))
-        start = F.expr("cast(pmod(doc_id * 31 + instance * 17, n_words) AS int)")
+        start = F.expr("_o + cast(pmod(doc_id * 31 + instance * 17, n_words) AS int)")
         return rows.select("doc_id", F.lit(structure).alias("structure"), "instance", logit.alias("logit"), start.alias("seed_start"), (start + 1).alias("seed_end"))
 
     def assign_logits(self, docs: DataFrame, structure: str, fields: list[str], most: int = 4, candidates: int = 4) -> DataFrame:
-        rows = _each(docs.select("doc_id", "n_words"), [(i,) for i in range(most)], "instance:int").filter("instance < n_words")
+        rows = _each(self._own(docs), [(i,) for i in range(most)], "instance:int").filter("instance < n_words")
         rows = _each(rows, list(enumerate(fields)), "f:int,field:string")
         rows = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.least(F.lit(candidates), F.col("n_words")))))
         logit = hash_logit(F.col("doc_id"), F.col("instance") * 101 + F.col("col"), F.col("f") + 1, len(structure))
-        place = F.col("col") - 1
+        place = F.col("_o") + F.col("col") - 1
         return rows.select("doc_id", F.lit(structure).alias("structure"), "field", "instance", "col", logit.alias("logit"), place.alias("start"), (place + 1).alias("end"))
 
     def explicit_logits(self, docs: DataFrame, spans: DataFrame, labels: list[str]) -> DataFrame:

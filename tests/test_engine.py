@@ -28,7 +28,8 @@ def test_extract_gives_every_document(spark, docs, architecture):
         text = next(d["text"] for d in docs.collect() if d["doc_id"] == r["doc_id"]) or ""
         for e in r["entities"]["person"]:
             assert text.encode()[e["start"] : e["end"]].decode().strip() == e["text"] and e["confidence"] >= 0.6
-    assert (next(r for r in rows if r["doc_id"] == 3)["structures"] is None) == (architecture == "boundary")
+    empty = next(r for r in rows if r["doc_id"] == 3)["structures"]  # a choice may come from the prefix alone, a span can't
+    assert all('"who"' not in record for record in (empty or {}).get("event", [])) and (empty is not None or architecture == "boundary")
 
 
 def test_what_architectures_refuse(docs):
