@@ -2,14 +2,15 @@
 
 A page is read as a sequence of words and tags, in time linear in its length however deep its elements
 nest. Words score by where they stand (in which block element, in a link, inside or outside the page's
-article or main element); tags score below zero. Scores are logarithms of odds, counted outside
-boilerplate elements in labelled pages: pages with an article or main element, whose words outside
-boilerplate elements are content. Each labelled page counts twice, once as it is and once as if that
-element weren't marked, so that pages without one are scored by the rest. One linear scan finds the
-contiguous region with the greatest sum. Its words are the text, but for those in boilerplate elements
-within it: those that hold no content by their kind (menus, footers, asides, what is hidden), and
-those that call themselves a form, notice, advert, comment or the like, unless they hold most words
-around them (``held_back``).
+article or main element) and by what the elements around them call themselves; tags score below zero.
+Scores are logarithms of odds, those of names too, counted in labelled pages: pages with an article or main
+element, whose words outside boilerplate elements are content. Each labelled page counts twice, once as
+it is and once as if that element weren't marked, so that pages without one are scored by the rest. One
+linear scan finds the contiguous region with the greatest sum. Its words are the text, but for those in
+boilerplate elements within it: those that hold no content by their kind (menus, footers, asides, what is
+hidden), and those that call themselves a form, notice, advert, comment or the like and nothing else
+(``says_boilerplate``), unless labelled pages show that name on content, or they hold most words around
+them (``held_back``).
 
 Labels come from at most about ``LABELLED`` pages, picked by the hash of their id; all pages are
 read whole.
@@ -48,52 +49,77 @@ WITHIN = ("p", "li", "td", "div", "section", "h1", "h2", "h3", "h4", "h5", "h6",
 CLOSES_P = ("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul")
 # Words of class, id and role that name boilerplate.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment comments commentlist respond disqus replies reply related recommended recommendations share sharing social widget widgets toolbar pagination pager contentinfo complementary search dialog alertdialog menubar toc outbrain taboola paywall".split()
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment comments commentlist respond disqus replies reply related recommended recommendations share sharing social widget widgets toolbar pagination pager contentinfo complementary search dialog alertdialog menubar toc outbrain taboola paywall discussion discussions response responses thread threads talkback feedback guestbook".split()
 )
+# Words that say where something stands or how it looks, so that a name of boilerplate stays one with them.
+PLACES = frozenset("area bar block body bottom box button btn col column container content field fixed foot form group head header inner item items left link links list main module msg outer panel primary right row secondary section side slot sticky title top unit wrap wrapper zone".split())
+#: Labelled words in elements of a name that outweigh what it says: the logarithm of their odds, and the bound of what names add to a word's score.
+OVERRULED, MOST_NAME_WEIGHT = 0.5, 1.0
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_WORD = re.compile(r"\S*\w\S*")
+_WORD = re.compile(r"\w\S*")  # from a part's first word character to its end: one for each part that has one
+_PART = re.compile(r"[a-z]+|\d+")
+_YEAR = re.compile(r"(19|20)\d\d")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
 SURE, NAMED = 2, 1
 
 
-def boilerplate(name: str, attributes: str, in_article: bool) -> int:
-    """SURE for an element that holds no content: a menu, a footer, something hidden. NAMED for one that is likely a form, notice, advert, comment or the like, by what it calls itself. Else 0."""
-    if name in BOILERPLATE:
-        return SURE
-    found = NAMED if name in OFTEN_BOILERPLATE and not (name == "header" and in_article) else 0
-    if not attributes or name in ("html", "body", "main"):
-        return found
+def says_boilerplate(token: str) -> bool:
+    """Whether a class, id or role names boilerplate: its parts are such names, places and numbers (not years), and no other word."""
+    parts = _PART.findall(token)
+    return any(x in NAMES for x in parts) and all(x in NAMES or x in PLACES or (x.isdigit() and not _YEAR.fullmatch(x)) or x == "x" for x in parts)
+
+
+def described(attributes: str) -> tuple[list[str], bool]:
+    """The names that an element has (classes, id, role), and whether it is hidden."""
+    names, hidden = [], False
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
-            if any(w in NAMES for w in re.split(r"[^a-z]+", value)):
-                found = NAMED
+            names += value.split()
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return SURE
-    return found
+            hidden = True
+    return names, hidden
+
+
+def boilerplate(name: str, names: list[str], hidden: bool, in_article: bool, weights: dict[str, float]) -> int:
+    """SURE for an element that holds no content: a menu, a footer, something hidden. NAMED for one that is likely a form, notice, advert, comment or the like, by what it calls itself. Else 0."""
+    if name in BOILERPLATE or (hidden and name not in ("html", "body", "main")):
+        return SURE
+    if name in OFTEN_BOILERPLATE and not (name == "header" and in_article):
+        return NAMED
+    if name in ("html", "body", "main"):
+        return 0
+    return NAMED if any(says_boilerplate(x) and weights.get(f"name {numbered(x)}", 0.0) <= OVERRULED for x in names) else 0
+
+
+def numbered(token: str) -> str:
+    """A name without its numbers, which tell elements apart rather than kinds."""
+    return re.sub(r"\d+", "#", token)
 
 
 class Piece:
-    """Text between two tags, or a tag. named: the number of the innermost named element around it, 0 for the page."""
+    """Text between two tags, or a tag. named: the number of the innermost element around it that names boilerplate, 0 for the page. names: of the innermost element that has any."""
 
-    __slots__ = ("text", "words", "tag", "block", "boiler", "link", "within", "inside", "named")
+    __slots__ = ("text", "words", "tag", "block", "boiler", "link", "within", "inside", "named", "names")
 
 
 class Open:
     """The open elements of a page, with what must be known of them at hand, so that each piece takes the same time however deep it is."""
 
     def __init__(self):
-        self.stack: list[tuple[str, int]] = []  # names, and how each is boilerplate
+        self.stack: list[tuple[str, int, bool, bool]] = []  # names, how each is boilerplate, and whether it calls itself something and is a parent
+        self.names: list[list[str]] = [[]]  # what those do
         self.places: dict[str, list[int]] = {}  # of each name
         self.blocks: list[int] = []  # places of elements that aren't inline
         self.within: list[str] = []
         self.named: list[int] = [0]
-        self.parents = [0]  # of named elements; the page is 0
+        self.parents = [0]  # of named elements and articles; the page is 0
+        self.articles: set[int] = set()  # those that only stand for what is around elements within
         self.sure = 0
 
     def place(self, name: str) -> int:
@@ -103,27 +129,34 @@ class Open:
     def count(self, *names: str) -> int:
         return sum(len(self.places.get(n, ())) for n in names)
 
-    def push(self, name: str, flagged: int) -> None:
+    def push(self, name: str, flagged: int, names: list[str]) -> None:
+        if names:
+            self.names.append(names)
         self.places.setdefault(name, []).append(len(self.stack))
         if name not in INLINE:
             self.blocks.append(len(self.stack))
         if name in WITHIN:
             self.within.append(name)
-        if flagged == NAMED:
+        parent = flagged == NAMED or (name in ARTICLES and flagged != SURE)
+        if parent:
             self.parents.append(self.named[-1])
             self.named.append(len(self.parents) - 1)
+            if flagged != NAMED:
+                self.articles.add(self.named[-1])
         self.sure += flagged == SURE
-        self.stack.append((name, flagged))
+        self.stack.append((name, flagged, bool(names), parent))
 
     def pop(self, to: int) -> None:
         while len(self.stack) > to:
-            name, flagged = self.stack.pop()
+            name, flagged, called, parent = self.stack.pop()
+            if called:
+                self.names.pop()
             self.places[name].pop()
             if name not in INLINE:
                 self.blocks.pop()
             if name in WITHIN:
                 self.within.pop()
-            if flagged == NAMED:
+            if parent:
                 self.named.pop()
             self.sure -= flagged == SURE
 
@@ -131,8 +164,8 @@ class Open:
         return not self.blocks or self.blocks[-1] <= place
 
 
-def held_back(pieces: list[Piece], parents: list[int]) -> list[bool]:
-    """For each named element whether it is boilerplate. It isn't if it holds most words of the element around it, and that one has few words outside named elements: then it is a wrapper of the content, whatever it calls itself."""
+def held_back(pieces: list[Piece], parents: list[int], articles: set[int]) -> list[bool]:
+    """For each named element whether it is boilerplate. It isn't if it holds most words of the article or named element around it, and that one has few words outside named elements: then it is a wrapper of the content, whatever it calls itself."""
     direct = [0] * len(parents)
     for p in pieces:
         if not p.boiler:
@@ -143,12 +176,13 @@ def held_back(pieces: list[Piece], parents: list[int]) -> list[bool]:
     back = [False] * len(parents)
     for i in range(1, len(parents)):
         around = parents[i]
-        back[i] = back[around] or 2 * total[i] <= total[around] or 4 * direct[around] >= total[i]
+        back[i] = back[around] or (i not in articles and (2 * total[i] <= total[around] or 4 * direct[around] >= total[i]))
     return back
 
 
-def pieces_of(page: str) -> list[Piece]:
-    """A page's pieces of text and tags in order; scripts, styles and comments are left out."""
+def pieces_of(page: str, weights: dict[str, float] | None = None) -> list[Piece]:
+    """A page's pieces of text and tags in order; scripts, styles and comments are left out. weights: what is known of names."""
+    weights = weights or {}
     out: list[Piece] = []
     now = Open()
 
@@ -157,6 +191,7 @@ def pieces_of(page: str) -> list[Piece]:
         p.text, p.words, p.tag, p.block, p.named = text, words, tag, block, now.named[-1]
         p.boiler, p.link, p.inside = now.sure > 0, now.place("a") >= 0, now.count(*ARTICLES) > 0
         p.within = now.within[-1] if words and now.within else ""
+        p.names = now.names[-1]
         out.append(p)
 
     def text(raw: str):
@@ -200,9 +235,10 @@ def pieces_of(page: str) -> list[Piece]:
             now.pop(0)
         attributes = (m[3] if m[2] else m[6]) or ""
         if name not in VOID and not attributes.rstrip().endswith("/"):
-            now.push(name, boilerplate(name, attributes, now.count(*ARTICLES) > 0))
+            names, hidden = described(attributes) if attributes else ([], False)
+            now.push(name, boilerplate(name, names, hidden, now.count(*ARTICLES) > 0, weights), names)
         piece("", 0, name, block)
-    back = held_back(out, now.parents)
+    back = held_back(out, now.parents, now.articles)
     for p in out:
         p.boiler = p.boiler or back[p.named]
     return out
@@ -243,18 +279,24 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def score(p: Piece, marked: bool, weights: dict[str, float]) -> float:
+    if p.boiler:
+        return -BOILERPLATE_COST * max(1, p.words)
+    kind = kind_of(p, marked)
+    w = weights.get(kind)
+    w = default_weight(kind) if w is None else w
+    if p.tag:
+        return w
+    if p.names and not marked:
+        w += max(-MOST_NAME_WEIGHT, min(MOST_NAME_WEIGHT, sum(weights.get(f"name {numbered(x)}", 0.0) for x in p.names)))
+    return w * p.words
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
-    pieces = pieces_of(page)
+    pieces = pieces_of(page, weights)
     marked = is_marked(pieces)
 
-    def score(p: Piece) -> float:
-        if p.boiler:
-            return -BOILERPLATE_COST * max(1, p.words)
-        kind = kind_of(p, marked)
-        w = weights.get(kind)
-        return (default_weight(kind) if w is None else w) * (1 if p.tag else p.words)
-
-    start, end = best_region([score(p) for p in pieces])
+    start, end = best_region([score(p, marked, weights) for p in pieces])
     out = []
     for p in pieces[start:end]:
         if p.tag:
@@ -277,7 +319,7 @@ def learned_weights(pages: DataFrame) -> dict[str, float]:
     def run(batches):
         found: dict[str, list[int]] = {}
         for batch in batches:
-            for page in batch.column(0).to_pylist():
+            for page in (x.as_py() for x in batch.column(0)):
                 pieces = pieces_of(page)
                 if not is_marked(pieces):
                     continue
@@ -285,6 +327,9 @@ def learned_weights(pages: DataFrame) -> dict[str, float]:
                     if not p.boiler:
                         for marked in (True, False):
                             found.setdefault(kind_of(p, marked), [0, 0])[p.inside] += max(1, p.words)
+                    if p.words and not p.boiler:
+                        for x in p.names:
+                            found.setdefault(f"name {numbered(x)}", [0, 0])[p.inside] += p.words
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in (0, 1))], ["kind", "outside", "inside"])
 
     sums = labelled.select("html").mapInArrow(run, "kind string, outside long, inside long").groupBy("kind").agg(F.sum("outside"), F.sum("inside")).collect()
@@ -303,7 +348,7 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(page, shared.value) for page in batch.column(2).to_pylist()]
+            texts = [main_text(page.as_py(), shared.value) for page in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -202,16 +202,9 @@ def test_html(spark):
 
 def best_text_by_brute_force(page, weights):
     """The text of the region of greatest sum among all regions."""
-    pieces = html_extraction.pieces_of(page)
+    pieces = html_extraction.pieces_of(page, weights)
     marked = html_extraction.is_marked(pieces)
-
-    def score(p):
-        if p.boiler:
-            return -html_extraction.BOILERPLATE_COST * max(1, p.words)
-        kind = html_extraction.kind_of(p, marked)
-        return weights.get(kind, html_extraction.default_weight(kind)) * (1 if p.tag else p.words)
-
-    scores = [score(p) for p in pieces]
+    scores = [html_extraction.score(p, marked, weights) for p in pieces]
     best, at = 0.0, (0, 0)
     for i in range(len(scores)):
         for j in range(i + 1, len(scores) + 1):
@@ -249,6 +242,58 @@ def test_html_wrappers_that_call_themselves_something(frame):
     assert html_extraction.main_text(page, {}) == " ".join(words)
 
 
+SENTENCES = [" ".join(f"{w}{i}" for i in range(20)) for w in ("alpha", "beta", "gamma", "delta", "eps", "zeta")]
+
+
+@pytest.mark.parametrize("name", ["related-work", "share-price", "social-impact", "login-howto", "cookie-recipe", "menu-of-the-day", "notice-of-motion", "comment-on-ruling", "banner-image", "ad-2020", "promo-free"])
+def test_html_sections_of_an_article_are_content_whatever_their_names_remind_of(name):
+    first, second = ("".join(f"<p>{x}</p>" for x in part) for part in (SENTENCES[:3], SENTENCES[3:]))
+    page = f"<body><nav><a>Menu</a></nav><article>{first}<section class={name}>{second}</section></article><footer>End</footer></body>"
+    assert html_extraction.main_text(page, {}) == " ".join(SENTENCES)
+
+
+@pytest.mark.parametrize("name", ["discussion", "responses", "comments", "comment-list", "reader-comments comments", "ad-300x250", "ad-1", "cookie-notice", "share-bar", "related-links"])
+@pytest.mark.parametrize("frame", ["<div>{}</div>{}", "<main>{}{}</main>", "<article>{}</article>{}"])
+def test_html_comments_adverts_and_notices_are_left_out(name, frame):
+    body = "".join(f"<p>{x}</p>" for x in SENTENCES)
+    readers = f'<div class="{name}">' + "".join(f"<div><b>Ann</b><p>{' '.join(f'said{i}' for i in range(40))}</p></div>" for _ in range(2)) + "</div>"
+    page = f"<body><header>Site</header>{frame.format(body, readers)}<footer>End</footer></body>"
+    assert html_extraction.main_text(page, {}) == " ".join(SENTENCES)
+
+
+def test_html_names_are_learned(spark):
+    """A name that labelled pages show outside articles only lowers its words where no article is marked; one that they show on content stays content though it reads like boilerplate."""
+    body = "".join(f"<p>{x}</p>" for x in SENTENCES)
+    strip = "<div class=zzstrip>" + " ".join(f"strip{i}" for i in range(60)) + "</div>"
+    labelled = [(i, "u", f'<body>{strip}<article><div class="thread">{body}</div></article>{strip}</body>') for i in range(20)]
+    unmarked = [(100, "u", f"<body><div class=own>{body}</div>{strip}</body>"), (101, "u", f'<body><article><p>{SENTENCES[0]}</p><div class="thread">{SENTENCES[1]}</div><p>{SENTENCES[2]}</p></article></body>')]
+    pages = spark.createDataFrame([(*r, None, "x") for r in labelled + unmarked], PAGES)
+    weights = html_extraction.learned_weights(pages)
+    assert weights["name zzstrip"] < -1 < 1 < weights["name thread"]
+    text = {r["page_id"]: r["text"] for r in html_extraction.op3_html_extraction(pages).collect()}
+    assert text[100] == " ".join(SENTENCES) and text[101] == " ".join(SENTENCES[:3]) and all(text[i] == " ".join(SENTENCES) for i in range(20))
+
+
+def test_html_pages_without_article(spark, sf):
+    """Pages of the driver's with their article as a plain element, and a menu and footer as plain ones too: learned from the marked ones, the same text comes out."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    plain = lambda h: h.replace("<article>", '<div id="story">').replace("</article>", "</div>")
+    marked = {r["page_id"]: r for r in pages.collect()}
+    both = spark.createDataFrame([(k, r["url"], r["html"]) for k, r in marked.items()] + [(10_000 + k, r["url"], plain(r["html"])) for k, r in marked.items()], "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in html_extraction.extracted(both).collect()}
+    assert all(text[k] == text[10_000 + k] for k in marked)
+
+
+@pytest.mark.parametrize("unit", [".", "- ", "=", "<", "&", "&amp;", "<<a ", '<a "', "\u3000"])
+def test_html_punctuation_takes_linear_time(unit):
+    import time
+
+    page = "<body><p>" + unit * (1_000_000 // len(unit)) + "</p><p>word</p></body>"
+    began = time.process_time()
+    html_extraction.main_text(page, {})
+    assert time.process_time() - began < 3
+
+
 def test_html_deep_pages_take_linear_time():
     import time
 
