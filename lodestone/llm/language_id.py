@@ -7,9 +7,9 @@ of transitions between languages are learned from labelled texts; training seque
 of texts in different languages, so transitions are those of code-switched text. Forward-backward
 gives each word's distribution over languages; a text's language is the one with most mass.
 
-Training takes at most ``SAMPLE`` labelled texts, shared evenly between the languages and picked by the
-hash of the id, and of a text of more than ``SAMPLE_BYTES`` bytes so many from a place that the hash
-gives; all texts are labelled whole.
+For training, labelled texts are cut into pieces of ``PIECE_CHARS`` code points, which are rows; of those with a
+letter at most ``SAMPLE`` take part, shared evenly between the languages and picked by a hash of the id and
+the piece's number. So every part of every text may be picked. All texts are labelled whole.
 
 Nulls: a null text, an empty one and one without letters are "und" with score 0; rows with a null
 label train nothing; a null id counts as the empty text in the split. Without any labelled row all
@@ -33,7 +33,7 @@ from .ragged import TimeMajor, forward_backward
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 SAMPLE = 1000
-SAMPLE_BYTES = 6_000
+PIECE_CHARS = 4_000
 PIECE_WORDS = 40
 PIECES = 3
 EPOCHS = 30
@@ -159,22 +159,29 @@ def train(texts: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = 7) -
     return model
 
 
-def labelled_sample(docs: DataFrame) -> list[tuple[bytes, str]]:
-    """At most SAMPLE pairs of text and label, shared evenly between labels, by the hash of the id; of a longer text SAMPLE_BYTES from a place that the hash gives. docs: doc_id, t, lang."""
+def pieces(docs: DataFrame) -> DataFrame:
+    """lang, draw and text of each piece with a letter of the labelled texts. docs: doc_id, t, lang."""
     fit = docs.filter(F.col("lang").isNotNull() & (F.octet_length("t") > 0))
-    counts = dict(fit.groupBy("lang").count().collect())
+    cut = F.regexp_extract_all(F.col("t").cast("string"), F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+    rows = fit.select("lang", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.posexplode(cut).alias("i", "s"))
+    draw = F.crc32(F.concat(F.lit("language:"), "id", F.lit(":"), F.col("i").cast("string")).cast("binary"))
+    return rows.select("lang", draw.alias("draw"), "s").filter(F.col("s").rlike(r"\p{L}"))
+
+
+def labelled_sample(docs: DataFrame) -> list[tuple[bytes, str]]:
+    """At most SAMPLE pairs of a piece and its label, shared evenly between labels, by the hash of id and place. docs: doc_id, t, lang."""
+    rows = pieces(docs)
+    counts = dict(rows.groupBy("lang").count().collect())
     if not counts:
         return []
     each = max(1, SAMPLE // len(counts))
     share = F.coalesce(*(F.when(F.col("lang") == y, F.lit(min(1.0, 1.5 * each / n))) for y, n in counts.items()), F.lit(0.0))
-    draw = F.crc32(F.concat(F.lit("language:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    place = F.pmod("draw", F.greatest(F.lit(1), F.octet_length("t") - SAMPLE_BYTES + 1)).cast("int") + 1
-    some = fit.withColumn("draw", draw).filter(F.col("draw") < share * (1 << 32)).select("lang", "draw", F.substring("t", place, F.lit(SAMPLE_BYTES)).alias("t")).collect()
+    some = rows.filter(F.col("draw") < share * (1 << 32)).collect()  # some 1.5 x SAMPLE pieces
     kept, of = [], dict.fromkeys(counts, 0)
     for y, _, t in sorted(some):
         if of[y] < each:
             of[y] += 1
-            kept.append((bytes(t), y))
+            kept.append((t.encode(), y))
     return kept
 
 
