@@ -5,31 +5,35 @@ frequency over all texts lies in a band: between ``LEAST_SHARE`` and ``MOST_SHAR
 least 2. So it is bounded, whatever the number of texts: the terms in a share of at least s of all
 texts are no more than 1/s times the mean number of terms in a text. Every term of the band takes
 part. From the lexicon ``SUBSETS`` random subsets are drawn for each of several rates. A text's
-distinct terms in a subset, sorted, are hashed, by the exclusive or of their own hashes; the hashes of
-all subsets make up the fingerprint ("......" where a subset has no term of the text). Large subsets tell
-long texts with small changes from others, small ones tell how much two texts share; those of half the
-lexicon are for texts with few of its terms.
+distinct terms in a subset are hashed as a set, by the exclusive or of their own hashes, in which sorting
+them would change nothing; the hashes of all subsets make up the fingerprint ("......" where a subset has
+no term of the text). A text without any term of the lexicon is named by a hash of all of it instead. Large
+subsets tell long texts with small changes from others, small ones tell how much two texts share; those
+of half the lexicon are for texts with few of its terms.
 
-Likeness of two fingerprints: for each rate, of the subsets in which at least one of the texts has a
-term, the share of those with equal hashes; the largest of these shares over the rates with at least
-``EVIDENCE`` such subsets, or over all if no rate has so many; 0 if there is no such subset at all.
+Likeness of two fingerprints: 1 if they are equal; else for each rate, of the subsets in which at least
+one of the texts has a term, the share of those with equal hashes; the largest of these shares over the
+rates with at least ``EVIDENCE`` such subsets, or over all if no rate has so many; 0 if there is none.
 
 The next text is that of the next row by doc_id. Rows are dealt into buckets of neighbouring ids
-(by quantiles, then evenly), each with a copy of the first row of the bucket after it; so one
-exchange brings neighbours together, and all that follows works within its partitions.
+(quantiles of the ids, and quantiles within each of these; null ids by the hash of their text), each with
+a copy of the first row of the bucket after it; so one exchange brings neighbours together, and all that
+follows works within its partitions. The lexicon is a table of bounded size that is broadcast.
 
-Nulls: a null text is empty and has the empty fingerprint (all subsets without terms); null ids come
-before all others. Rows with equal ids follow each other by the hash of their text; repeated rows are
+Nulls: a null text is empty; null ids come before all others. Rows with equal ids follow each other by the hash of their text; repeated rows are
 each answered. Very long texts are taken whole. An only row is its own next; an empty table gives an
 empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 LEAST_SHARE = 0.001
 MOST_SHARE = 0.05
 #: Bits of the rates: a subset holds one in 2**bits of the lexicon's terms.
@@ -38,7 +42,6 @@ RATES = (1, 3, 5, 7)
 SUBSETS = 16
 EVIDENCE = 4
 DIGITS = 6
-QUANTILES = 64
 BUCKET_ROWS = 200
 MOST_BUCKETS = 65_536
 
@@ -48,13 +51,12 @@ def terms_of(text: str) -> str:
     return f"transform(split(lower({text}), '[\\\\s]+'), w -> xxhash64(w))"
 
 
-def lexicon_of(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the terms in the band of document frequency, over all rows of column ``t``."""
+def lexicon_of(docs: DataFrame) -> DataFrame:
+    """h: the hashes of the terms in the band of document frequency, over all rows of column ``t``."""
     total = docs.count()
-    least, most = max(2, int(np.ceil(total * LEAST_SHARE))), int(total * MOST_SHARE)
+    least, most = max(2, int(math.ceil(total * LEAST_SHARE))), int(total * MOST_SHARE)
     terms = docs.select(F.explode(F.expr(f"array_distinct({terms_of('t')})")).alias("h"))
-    kept = terms.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df").between(least, max(most, 2)))
-    return np.sort(kept.select("h").toArrow()["h"].to_numpy())
+    return stored(terms.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df").between(least, max(most, 2))).select("h"), "lexicon")
 
 
 def lane(i: int) -> int:
@@ -69,20 +71,22 @@ def subsets_of(h: str) -> str:
     return " & ".join(f"(xxhash64({h}, {k}) | {x}L)" for k, x in enumerate(spared, 1))
 
 
-def with_fingerprint(rows: DataFrame, keys: list[str], text: str, lexicon: np.ndarray, name: str) -> DataFrame:
+def with_fingerprint(rows: DataFrame, keys: list[str], text: str, lexicon: DataFrame, name: str) -> DataFrame:
     """The keys, which tell rows apart, and the fingerprint of a text column.
 
-    A text's distinct terms in the lexicon become rows that are summed up again by the keys, without
-    an exchange if the rows are already dealt out by one of them.
+    A text's distinct terms become rows, those of the lexicon (at most 1 / LEAST_SHARE times the mean number of terms of
+    a text) are told by a broadcast join, and the rows are summed up again by the keys, without an
+    exchange if they are already dealt out by one of them.
     """
     empty = "." * DIGITS
-    among = f"h IN ({', '.join(f'{h}L' for h in lexicon.tolist())})" if len(lexicon) else "false"
-    terms = rows.select(*keys, F.explode_outer(F.expr(f"sort_array(filter(array_distinct({terms_of(text)}), h -> {among}))")).alias("h"))
-    marked = terms.select(*keys, F.expr("xxhash64(h, 0)").alias("x"), F.expr(f"if(h IS NULL, 0L, {subsets_of('h')})").alias("m"))
+    terms = rows.select(*keys, F.expr(f"xxhash64({text})").alias("whole"), F.explode_outer(F.expr(f"array_distinct({terms_of(text)})")).alias("h"))
+    known = terms.join(F.broadcast(lexicon.withColumn("listed", F.lit(True))), "h", "left")
+    marked = known.select(*keys, "whole", F.expr("xxhash64(h, 0)").alias("x"), F.expr(f"if(listed IS NULL, 0L, {subsets_of('h')})").alias("m"), "listed")
     n = SUBSETS * len(RATES)
-    hashed = marked.groupBy(*keys).agg(*(F.expr(f"bit_xor(if((m & shiftleft(1L, {r})) = 0L, 0L, x))").alias(f"s{r}") for r in range(n)))
+    hashed = marked.groupBy(*keys).agg(*(F.expr(f"bit_xor(if((m & shiftleft(1L, {r})) = 0L, 0L, x))").alias(f"s{r}") for r in range(n)), F.first("whole").alias("whole"), F.max("listed").alias("listed"))
     shown = [F.expr(f"if(s{r} = 0L, '{empty}', right(concat('{'0' * DIGITS}', lower(hex(s{r}))), {DIGITS}))") for r in range(n)]
-    return hashed.select(*keys, F.concat(*shown).alias(name))
+    named = F.expr("concat('=', lower(hex(whole)))")
+    return hashed.select(*keys, F.when(F.col("listed"), F.concat(*shown)).otherwise(named).alias(name))
 
 
 def likeness(a: str, b: str) -> str:
@@ -100,27 +104,33 @@ def likeness(a: str, b: str) -> str:
     rates = f"array({', '.join(counted(i * SUBSETS, (i + 1) * SUBSETS - 1) for i in range(n))})"
     pick = f"if(exists(c, x -> x.e >= {EVIDENCE}), filter(c, x -> x.e >= {EVIDENCE}), filter(c, x -> x.e > 0))"
     share = f"transform(array({rates}), c -> coalesce(array_max(transform({pick}, x -> x.s / x.e)), 0.0D))[0]"
-    return f"CASE WHEN {a} = {b} AND {a} <> '{'.' * DIGITS * SUBSETS * n}' THEN 1.0D ELSE {share} END"
+    return f"CASE WHEN {a} = {b} THEN 1.0D WHEN left({a}, 1) = '=' OR left({b}, 1) = '=' THEN 0.0D ELSE {share} END"
+
+
+def quantiles(column: str, parts: int):
+    """An expression for the distinct cuts that deal a column into so many parts of about equal size."""
+    return F.sort_array(F.array_distinct(F.percentile_approx(column, [i / parts for i in range(1, max(2, parts))], 10_000)))
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
-    """Adds b, a bucket of neighbouring ids, in the order of ids; null ids are in the first."""
-    total, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return docs.withColumn("b", F.lit(0))  # no ids at all
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(1, QUANTILES)], 1000)).first()[0]
-    edges = sorted({low, *cuts, high + 1})
-    each = max(1, min(MOST_BUCKETS, total // BUCKET_ROWS) // len(edges))
-    bounds = F.array(*map(F.lit, edges))
-    k = F.size(F.filter(bounds, lambda x: x <= F.col("doc_id")))
-    within = F.floor((F.col("doc_id") - F.element_at(bounds, k)) / (F.element_at(bounds, k + 1) - F.element_at(bounds, k)) * each)
-    return docs.withColumn("b", F.when(F.col("doc_id").isNull(), 0).otherwise(k * each + F.least(within, F.lit(each - 1))).cast("int"))
+    """Adds b, a bucket of neighbouring rows in the order of ids: null ids first, by the hash of their text, then quantiles of quantiles of the ids. Rows of one id stay together."""
+    total, without = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    each = max(1, min(256, math.isqrt(min(MOST_BUCKETS, total // BUCKET_ROWS))))
+    nulls = max(1, min(MOST_BUCKETS, without // BUCKET_ROWS))
+    of_null = F.least(F.lit(nulls - 1), F.floor((F.xxhash64("t") / 2.0**64 + 0.5) * nulls))
+    known = docs.filter("doc_id IS NOT NULL").select("doc_id")
+    cuts = known.agg(quantiles("doc_id", each)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda x: x <= F.col("doc_id")))
+    within = known.withColumn("k", part).groupBy("k").agg(quantiles("doc_id", each).alias("cuts"))  # at most 256 rows of 255 cuts
+    parts = docs.withColumn("k", F.when(F.col("doc_id").isNotNull(), part)).join(F.broadcast(within), "k", "left")
+    inner = F.size(F.filter("cuts", lambda x: x <= F.col("doc_id")))
+    return parts.withColumn("b", F.when(F.col("doc_id").isNull(), of_null).otherwise(nulls + F.col("k") * (each + 1) + inner).cast("int")).drop("k", "cuts")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Adds next_t of the row that follows by doc_id (after the last comes the first) and n, the row's number in its bucket, for docs (doc_id, b, t). A copy of the row that follows a bucket ends it, with ``copy`` 1."""
     key = F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("t"))
-    heads = sorted((r[0], r[1]) for r in docs.groupBy("b").agg(F.min(key).alias("k")).collect())  # at most MOST_BUCKETS + QUANTILES rows
+    heads = sorted((r[0], r[1]) for r in docs.groupBy("b").agg(F.min(key).alias("k")).collect())  # at most some 2 x MOST_BUCKETS rows
     copies = [(*heads[(i + 1) % len(heads)][1], heads[i][0]) for i in range(len(heads))]
     spark = docs.sparkSession
     told = F.broadcast(spark.createDataFrame([tuple(c) for c in copies], "has_id boolean, id long, h long, into int"))
