@@ -6,10 +6,10 @@ mixture of the whole. Cuts are at equal counts: law ``rows``.
 
 No task orders a whole source or the whole table: rows fall into buckets by the first digits of
 their seeded hash (then of their fractional rank), ranks are counted within buckets, and the
-counts of buckets, whose number is fixed or follows the rows, are summed up to give offsets.
+counts of buckets, whose number follows the rows, are summed up to give offsets.
 
-Nulls: a null source is a source of its own; a null text has no bytes; a null id hashes as the
-empty text. Repeated rows are ordered by hash, id, checksum and size; among rows equal in all of
+Nulls: a null source is a source of its own; a null text has no bytes; a null id hashes as its
+text's checksum. Very long texts count by their bytes and never move. Repeated rows are ordered by hash, id, checksum and size; among rows equal in all of
 these the order doesn't show. An empty table gives no rows.
 """
 
@@ -18,16 +18,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import forget, fresh_path, stored
 
 SEED = "interleave-1"
-#: Digits of the hash that pick a bucket within a source: 16 to this power buckets.
-HASH_DIGITS = 2
-#: Rows of a bucket of fractional ranks, on average, and the most buckets.
+#: Most digits of the hash that pick a bucket within a source: 16 to this power buckets.
+HASH_DIGITS = 5
+#: Rows of a bucket, on average, and the most buckets of fractional ranks.
 BUCKET_ROWS = 500
 MOST_BUCKETS = 16_384
 
 
+def hash_digits(rows: int) -> int:
+    """So many digits that a source with all rows has about BUCKET_ROWS in a bucket."""
+    digits = 1
+    while digits < HASH_DIGITS and rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def interleaved(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, text_crc32 and position (from 0) of each row in the interleaved order."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -36,9 +44,9 @@ def interleaved(docs: DataFrame, seed: str = SEED) -> DataFrame:
         F.col("source").cast("string").alias("source"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("h"),
+        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.crc32(F.encode(text, "UTF-8"))))).cast("binary")).alias("h"),
     )
-    slim = stored(slim.withColumn("b", F.conv(F.substring("h", 1, HASH_DIGITS), 16, 10).cast("int")), "shard-rows")
+    slim = stored(slim.withColumn("b", F.conv(F.substring("h", 1, hash_digits(docs.count())), 16, 10).cast("int")), "shard-rows")
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null source joins too
     slim = slim.withColumn("s", key)
     counts = slim.groupBy("s", "b").agg(F.count("*").alias("c"))
@@ -47,6 +55,7 @@ def interleaved(docs: DataFrame, seed: str = SEED) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "doc_id", "text_crc32", "size"))
     ranked = slim.withColumn("r", place).join(offsets, ["s", "b"]).withColumn("f", (F.col("before") + F.col("r") - 0.5) / F.col("n_source"))
     ranked = stored(ranked.select("doc_id", "source", "s", "size", "text_crc32", "h", "f"), "shard-ranks")
+    forget(slim, offsets)
 
     total = ranked.count()
     buckets = max(1, min(MOST_BUCKETS, total // BUCKET_ROWS))
@@ -91,7 +100,7 @@ texts AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents),
 sums AS (SELECT text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(text)) + 1), lambda i: ('0x' || substr(hex(encode(text)), (2 * i - 1)::BIGINT, 2))::BIGINT)),
                   lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM texts, crc),
 d AS (SELECT doc_id, source, coalesce('=' || source, '') AS s, octet_length(encode(sums.text)) + 1 AS size, sums.crc AS text_crc32,
-             md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+             md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '~' || sums.crc)) AS h
       FROM documents JOIN sums ON sums.text = coalesce(documents.text, '')),
 f AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY h, doc_id, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY s) AS f FROM d),
 p AS (SELECT *, row_number() OVER (ORDER BY f, s, h, doc_id, text_crc32, size) - 1 AS position, count(*) OVER () AS total FROM f),

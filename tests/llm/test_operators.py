@@ -339,6 +339,7 @@ def test_sharding(spark, odd, sf):
     for source, n in Counter(r["source"] for r in rows).items():
         for k in range(4):
             assert abs(sum(r["source"] == source and r["shard"] == k for r in rows) - n / 4) <= 1
+    assert [sharding.hash_digits(n) for n in (0, 8000, 8001, 10**6, 10**12)] == [1, 1, 2, 3, 5]
     path = sharding.write_shards(docs, 4)
     assert spark.read.parquet(path).groupBy("shard").count().count() == 4
 
@@ -366,6 +367,36 @@ def test_language_of_long_texts_only(spark):
     assert Counter((r["doc_id"], r["lang_pred"]) for r in got) == Counter((i, y) for i, _, y in rows)
 
 
+def test_language_by_brute_force(spark):
+    """Each text's distribution by summing over all labellings of its words."""
+    rng = random.Random(5)
+    words = {"aa": ["kal", "tolu", "marni"], "bb": ["ghurt", "wexl", "tolu"], "cc": ["sepa", "wexl", "prrt"]}
+    train = [(" ".join(rng.choice(words[y]) for _ in range(30)).encode(), y) for _ in range(20) for y in words]
+    model = language_id.train(train, epochs=4)
+    texts = [" ".join(rng.choice(sum(words.values(), [])) for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("t", F.encode("text", "UTF-8"))
+    got = {r["doc_id"]: r for r in language_id.predicted(docs, model, ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        emission = model.scores(language_id.words_of(text.encode())).astype(float)
+        n, mass, total = len(emission), np.zeros(3), 0.0
+        for path in itertools.product(range(3), repeat=n):
+            weight = math.exp(model.start[path[0]] + sum(emission[k, y] for k, y in enumerate(path)) + sum(model.trans[a, b] for a, b in zip(path, path[1:])))
+            total += weight
+            for y in path:
+                mass[y] += weight / n
+        mass /= total
+        assert abs(got[i]["score"] - mass.max()) < 1e-3 and abs(mass[model.labels.index(got[i]["lang_pred"])] - mass.max()) < 1e-3
+
+
+def test_language_pieces_cover_long_texts(spark):
+    text = "".join(f"word{i} " for i in range(5000)) + "... " * 3000 + "end"
+    docs = spark.createDataFrame([(1, text, "x"), (2, "!!!", "x"), (3, "é" * 9000, "y"), (4, None, "x"), (5, "z", None)], "doc_id long, text string, lang string")
+    got = language_id.pieces(docs.select("doc_id", "lang", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("t"))).collect()
+    found = Counter(r["lang"] for r in got)
+    cut = [text[i : i + language_id.PIECE_CHARS] for i in range(0, len(text), language_id.PIECE_CHARS)]
+    assert found == {"x": sum(any(c.isalpha() for c in p) for p in cut), "y": 3} and found["x"] < len(cut)
+
+
 def test_language_ties_and_very_long_words(spark):
     rows = [(0, "ab cd", "x"), (3, "ab cd", "y"), (6, "ab cd", "x"), (1, "ab cd", None), (4, "zz" * 40_000, None)]
     got = {r["doc_id"]: r for r in language_id.op5_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
@@ -483,12 +514,94 @@ def test_fingerprints_take_every_term_of_the_band(spark):
     # Each text has one term of the band, and only the row after it has that one too.
     rows = [(i, f"term{i // 2}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert len(fingerprints.lexicon_of(docs.select(F.col("text").alias("t")))) == 100
+    assert fingerprints.lexicon_of(docs.select(F.col("text").alias("t"))).count() == 100
     found = fingerprints.op7_imatch_fingerprints(docs).collect()
     assert all(r["fingerprint"].strip(".") for r in found) and len({r["fingerprint"] for r in found}) == 100
     assert all(r["near_next"] == (1.0 if r["doc_id"] % 2 == 0 else 0.0) for r in found)
 
 
+def brute_fingerprints(rows):
+    """Fingerprints by their definition, from Spark's hash of single values: the band, the subsets of each term, the hash of each subset's set."""
+    from pyspark.sql import SparkSession
+
+    terms_of = lambda t: set(re.split(r"\s+", t.lower(), flags=re.ASCII))
+    n = len(rows)
+    counted = Counter(w for t in rows for w in terms_of(t))
+    band = {w for w, c in counted.items() if max(2, math.ceil(n * fingerprints.LEAST_SHARE)) <= c <= max(2, int(n * fingerprints.MOST_SHARE))}
+    spark = SparkSession.getActiveSession()
+    words = sorted({w for t in rows for w in terms_of(t)}) or [""]
+    most = max(fingerprints.RATES)
+    hashes = {r["w"]: [x & (2**64 - 1) for x in r["h"]] for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", f"transform(sequence(0, {most}), k -> xxhash64(xxhash64(w), k)) AS h").collect()}
+    whole = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in {*rows}], "t string").selectExpr("t", "lower(hex(xxhash64(t))) AS h").collect()}
+
+    def of(text):
+        own = terms_of(text) & band
+        if not own:
+            return "=" + whole[text]
+        out = []
+        for i, bits in enumerate(fingerprints.RATES):
+            for j in range(fingerprints.SUBSETS):
+                place = i * fingerprints.SUBSETS + j
+                value = 0
+                for w in own:
+                    if all(hashes[w][k] >> place & 1 for k in range(1, bits + 1)):
+                        value ^= hashes[w][0]
+                out.append(f"{value:x}".zfill(6)[-6:] if value else "......")
+        return "".join(out)
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        if "=" in (a[0], b[0]):
+            return 0.0
+        shares = []
+        for i in range(len(fingerprints.RATES)):
+            pairs = [(a[p : p + 6], b[p : p + 6]) for p in range(i * 96, i * 96 + 96, 6)]
+            met = [(x, y) for x, y in pairs if x != "......" or y != "......"]
+            shares.append((len(met), sum(x == y for x, y in met)))
+        good = [s for s in shares if s[0] >= fingerprints.EVIDENCE] or [s for s in shares if s[0]]
+        return max((s / e for e, s in good), default=0.0)
+
+    return of, like
+
+
+def test_fingerprints_by_definition(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40))) for _ in range(120)]
+    texts += [texts[0], "!!!", "!!!", "", "zzz qqq"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of, like = brute_fingerprints(texts)
+    edited = {}
+    for i, t in enumerate(texts):
+        half = len(t) // 2
+        edited[i] = t[: len(t) - half] + texts[(i + 1) % len(texts)][:half]
+    want = {}
+    from_all, _ = brute_fingerprints(texts)
+    got = {r["doc_id"]: r for r in fingerprints.op7_imatch_fingerprints(docs).collect()}
+    for i, t in enumerate(texts):
+        want[i] = from_all(t)
+        assert got[i]["fingerprint"] == want[i], t
+    for i in range(len(texts)):
+        assert abs(got[i]["near_next"] - like(want[i], want[(i + 1) % len(texts)])) < 1e-12
+        assert abs(got[i]["near_edited"] - like(want[i], got[i]["edited_fingerprint"])) < 1e-12
+    assert got[121]["near_next"] == 1.0 and got[123]["near_next"] == 0.0  # equal texts without a term of the band; unlike ones
+
+
+def test_fingerprints_of_null_and_clustered_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 5)
+    rng = random.Random(13)
+    rows = [(None, f"null {rng.random()}") for _ in range(300)] + [(i, f"low {i}") for i in range(300)] + [(10**15, "far"), (10**15 + 3, "farther"), (-(2**62), "first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    buckets = fingerprints.bucketed(docs.select("doc_id", F.col("text").alias("t"))).groupBy("b").count()
+    assert buckets.agg(F.max("count")).first()[0] < 40 and buckets.count() > 60
+    got = fingerprints.op7_imatch_fingerprints(docs).filter("doc_id IS NOT NULL").collect()
+    order = sorted(r for r in rows if r[0] is not None)
+    edited = {r["doc_id"]: r["edited_sha256"] for r in got}
+    for (i, t), (_, after) in zip(order, order[1:]):
+        assert edited[i] == hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
+
+
 # 9
 
 
