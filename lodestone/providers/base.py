@@ -6,7 +6,7 @@ error, never an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prompts import Query
@@ -83,3 +83,23 @@ class Provider:
     def instance_logits(self, docs: DataFrame, queries: list[Query], most: int) -> DataFrame:
         """(instance, query_id, start, end, logit). Without scores by instance all instances have the same."""
         return self.span_logits(docs, queries).withColumn("instance", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+
+
+class RowProvider:
+    """A provider that scores the spans of a text within its row, as streams need."""
+
+    def row_spans(self, query: Query) -> Column:
+        """An array of (start, end, logit) from the columns doc_id, text, n_words and what else the rows have."""
+        raise NotImplementedError
+
+
+class ColumnProvider(RowProvider):
+    """Scores that rows bring along: a column of arrays of (start, end, logit) for each query's name."""
+
+    def __init__(self, columns: dict[str, str]):
+        self.columns = columns
+
+    def row_spans(self, query: Query) -> Column:
+        if query.name not in self.columns:
+            raise MissingFamily(f"no column of scores for {query.name!r}")
+        return F.col(self.columns[query.name])

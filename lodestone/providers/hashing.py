@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.spans import grid, origin
 from ..plans.prompts import Query
-from .base import Provider
+from .base import Provider, RowProvider
 
 # Multipliers and the grid of the scores.
 MULTIPLIERS = (7919, 104729, 1299709, 15485863)
@@ -41,7 +41,7 @@ def _each(docs: DataFrame, items: list[tuple], schema: str) -> DataFrame:
     return docs.withColumn("_q", F.explode(rows)).select(*docs.columns, "_q.*")
 
 
-class HashingProvider(Provider):
+class HashingProvider(Provider, RowProvider):
     """Places count from the text's first word, so that a prefix changes no score of the text."""
 
     name = "hashing provider"
@@ -115,3 +115,12 @@ class HashingProvider(Provider):
     def choice_logits(self, docs: DataFrame, query: Query, choices: list[str]) -> DataFrame:
         rows = _each(docs.select("doc_id"), list(enumerate(choices)), "choice_idx:int,choice:string")
         return rows.select("doc_id", "choice_idx", "choice", hash_logit(F.col("doc_id"), F.col("choice_idx"), 17, query.query_id).alias("logit"))
+
+    def row_spans(self, query: Query) -> Column:
+        n, width = F.col("n_words"), self.width
+
+        def of_start(s: Column) -> Column:
+            ends = F.sequence(s + 1, F.least(s + width, n))
+            return F.transform(ends, lambda e: F.struct(s.alias("start"), e.alias("end"), hash_logit(F.col("doc_id"), s, e - s, query.query_id).alias("logit")))
+
+        return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), of_start)))

@@ -5,9 +5,6 @@ All run over whole tables. Scores come from the hashing provider, whose arithmet
 
 from __future__ import annotations
 
-from contextvars import ContextVar
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,24 +22,10 @@ from .sources.readers import documents
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-WIDTH = 4
-
-
-@dataclass(frozen=True)
-class Caps:
-    """How wide spans are, and how many boundaries, candidates, arguments and pairs a text may have."""
-
-    provider: HashingProvider
-    pool: pool.PoolConfig
-    heads: int
-    tails: int
-    pairs: int
-
-
-#: The reference's caps, and the small ones that the SQL repeats.
-WHOLE = Caps(HashingProvider(spans.SPAN_WIDTH), pool.PoolConfig(), relations.HEADS, relations.TAILS, relations.PAIRS)
-SMALL = Caps(HashingProvider(WIDTH), pool.PoolConfig(top_k=8, capacity=24, per_query=3), 8, 8, 24)
-_caps: ContextVar[Caps] = ContextVar("caps", default=SMALL)
+#: How wide spans are, and how many boundaries, candidates, arguments and pairs a text may have: the library's own caps.
+WIDTH = spans.SPAN_WIDTH
+PROVIDER = HashingProvider(WIDTH)
+POOL = pool.PoolConfig()
 ENTITIES = [Query(0, "entity", "entities", "person", 0.99), Query(1, "entity", "entities", "place", 0.992), Query(2, "entity", "entities", "date", None)]
 DEFAULT = 0.9925
 RELATIONS = ("works_for", "located_in")
@@ -83,6 +66,10 @@ _QS = "(VALUES (0, 'person', 0.99), (1, 'place', 0.992), (2, 'date', NULL)) AS q
 _GRID = f"grid AS (SELECT doc_id, s, s + k AS e FROM (SELECT doc_id, n, unnest(range(n)) AS s FROM n) g, range(1, {WIDTH + 1}) r(k) WHERE s + k <= n)"
 SQL_SPANS = f"{SQL_N}, {_GRID}, scored AS (SELECT doc_id, query_id, label, t, s, e, 1 / (1 + exp(-({_LOGIT}))) AS p FROM grid, {_QS})"
 SQL_ENTITIES = f"{SQL_SPANS}, found AS (SELECT * FROM scored WHERE p >= coalesce(t, {DEFAULT}))"
+#: What no larger span holds: larger ones begin less than a width before.
+SQL_LONGEST = f"""larger AS (SELECT DISTINCT x.doc_id, x.query_id, x.s, x.e FROM (SELECT *, unnest(range(greatest(s - {WIDTH - 1}, 0), s + 1)) AS at FROM found) x
+  JOIN found o ON o.doc_id = x.doc_id AND o.query_id = x.query_id AND o.s = x.at WHERE o.e >= x.e AND (o.s < x.s OR o.e > x.e)),
+longest AS (SELECT found.* FROM found ANTI JOIN larger USING (doc_id, query_id, s, e))"""
 #: A piece is a word with the white space before it, so lengths add up to places.
 SQL_OFFSETS = rf"""pieces AS (SELECT doc_id, pos - 1 AS pos, piece, regexp_replace(piece, '^\s+', '') AS word FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?i)\s*(?:{_ALTERNATIVES})') AS p FROM documents))),
 ends AS (SELECT doc_id, pos, word, sum(length(piece)) OVER w AS ce, sum(strlen(piece)) OVER w AS be FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -224,7 +211,7 @@ def cls_argmax_ties(spark, sf_dir):
 
 def _spans(spark, sf_dir) -> DataFrame:
     docs = worded(spark, sf_dir)
-    return _caps.get().provider.span_logits(docs, ENTITIES)
+    return PROVIDER.span_logits(docs, ENTITIES)
 
 
 def _thresholds() -> Column:
@@ -258,7 +245,7 @@ _SILENT = f"(1 / (1 + exp(-({hash_logit_sql('doc_id', '3', '11', 'query_id')})))
 @query(f"WITH {SQL_ENTITIES} " + _ROWS.format("found") + f" WHERE NOT {_SILENT}")
 def ner_abstain(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    return _plain(spans.not_abstaining(_found(spark, sf_dir), _caps.get().provider.null_logits(docs, ENTITIES), 0.5))
+    return _plain(spans.not_abstaining(_found(spark, sf_dir), PROVIDER.null_logits(docs, ENTITIES), 0.5))
 
 
 @query(f"WITH {SQL_ENTITIES} SELECT doc_id, query_id, s - 2 AS start, e - 2 AS \"end\", round(p, 6) AS confidence FROM found JOIN n USING (doc_id) WHERE s >= 2 AND e - 2 <= n - 3")
@@ -278,7 +265,7 @@ CROWDED = 0.975
 
 def _policy(policy):
     def run(spark, sf_dir):
-        scored = _caps.get().provider.span_logits(worded(spark, sf_dir), ENTITIES[2:])
+        scored = PROVIDER.span_logits(worded(spark, sf_dir), ENTITIES[2:])
         return _plain(overlap.resolve(spans.above_threshold(scored, CROWDED), policy, _GROUP))
 
     return run
@@ -286,7 +273,7 @@ def _policy(policy):
 
 SQL_CROWDED = f"{SQL_N}, {_GRID}, found AS (SELECT doc_id, query_id, s, e, 1 / (1 + exp(-({_LOGIT}))) AS p FROM grid, (VALUES (2)) q(query_id) WHERE p >= {CROWDED})"
 query(f"WITH {SQL_CROWDED} " + _ROWS.format("found"), "overlap_allow")(_policy("allow"))
-query(f"WITH {SQL_CROWDED} " + _ROWS.format("found f") + " WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.query_id = f.query_id AND o.s <= f.s AND f.e <= o.e AND (o.s < f.s OR f.e < o.e))", "overlap_longest")(_policy("longest"))
+query(f"WITH {SQL_CROWDED}, {SQL_LONGEST} " + _ROWS.format("longest"), "overlap_longest")(_policy("longest"))
 # What these keep hangs on what they kept before; tests hold them against brute force.
 query(None, "overlap_greedy")(_policy("greedy"))
 query(None, "overlap_nested")(_policy("nested"))
@@ -303,7 +290,7 @@ def _mapped(spark, sf_dir) -> DataFrame:
 
 
 SQL_MAPPED = f"""{SQL_ENTITIES}, {SQL_OFFSETS},
-longest AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.query_id = f.query_id AND o.s <= f.s AND f.e <= o.e AND (o.s < f.s OR f.e < o.e))),
+{SQL_LONGEST},
 mapped AS (SELECT l.*, a.bs, b.be, a.cs, b.ce, trim(substr(d.text, CAST(a.cs + 1 AS BIGINT), CAST(b.ce - a.cs AS BIGINT))) AS surface
            FROM longest l JOIN off a ON a.doc_id = l.doc_id AND a.pos = l.s JOIN off b ON b.doc_id = l.doc_id AND b.pos = l.e - 1 JOIN documents d ON d.doc_id = l.doc_id)"""
 
@@ -340,11 +327,8 @@ def ner_format_spans(spark, sf_dir):
 # Pool
 
 
-POOL = SMALL.pool
-
-
 def _boundaries(spark, sf_dir) -> DataFrame:
-    return _caps.get().provider.boundary_logits(worded(spark, sf_dir), ENTITIES)
+    return PROVIDER.boundary_logits(worded(spark, sf_dir), ENTITIES)
 
 
 
@@ -359,29 +343,29 @@ u AS (SELECT doc_id, pos, max(sl) AS sl, max(el) AS el FROM b GROUP BY ALL),
 st AS (SELECT doc_id, pos, sl, row_number() OVER (PARTITION BY doc_id ORDER BY sl DESC, pos) AS r FROM u QUALIFY r <= {POOL.top_k}),
 en AS (SELECT doc_id, pos, el, row_number() OVER (PARTITION BY doc_id ORDER BY el DESC, pos) AS r FROM u QUALIFY r <= {POOL.top_k})"""
 SQL_PAIRS = f"""{SQL_POOL}, pairs AS (SELECT doc_id, st.pos AS s, en.pos AS e, en.pos > st.pos AS valid, {hash_logit_sql('doc_id', 'st.pos', 'en.pos', '23')} AS compat, compat + sl + el AS score, (st.r - 1) * {POOL.top_k} + en.r - 1 AS pair FROM st JOIN en USING (doc_id)),
-quota AS (SELECT doc_id, query_id, s, e, compat, 5000.0 + {POOL.per_query} - row_number() OVER (PARTITION BY doc_id, query_id ORDER BY x.sl + y.el + compat DESC, pair) + 1 AS own
-  FROM pairs JOIN b x USING (doc_id) JOIN b y USING (doc_id, query_id) WHERE valid AND x.pos = s AND y.pos = e QUALIFY own > 5000)"""
+quota AS (SELECT p.doc_id, x.query_id, s, e, compat, 5000.0 + {POOL.per_query} - row_number() OVER (PARTITION BY p.doc_id, x.query_id ORDER BY x.sl + y.el + compat DESC, pair) + 1 AS own
+  FROM pairs p JOIN b x ON x.doc_id = p.doc_id AND x.pos = p.s JOIN b y ON y.doc_id = p.doc_id AND y.pos = p.e AND y.query_id = x.query_id WHERE valid QUALIFY own > 5000)"""
 
 
 @query(f"WITH {SQL_POOL} SELECT doc_id, 'start' AS side, pos, r AS rank, round(sl, 6) AS logit FROM st UNION ALL SELECT doc_id, 'end', pos, r, round(el, 6) FROM en")
 def pool_topk(spark, sf_dir):
     union = pool.union_logits(_boundaries(spark, sf_dir))
-    side = lambda s: pool.top_boundaries(union, f"{s}_logit", _caps.get().pool.top_k).select("doc_id", F.lit(s).alias("side"), F.col("pos").cast("long").alias("pos"), F.col("rank").cast("long").alias("rank"), r6("logit").alias("logit"))
+    side = lambda s: pool.top_boundaries(union, f"{s}_logit", POOL.top_k).select("doc_id", F.lit(s).alias("side"), F.col("pos").cast("long").alias("pos"), F.col("rank").cast("long").alias("rank"), r6("logit").alias("logit"))
     return side("start").unionByName(side("end"))
 
 
 @query(f"WITH {SQL_PAIRS} SELECT doc_id, s AS start, e AS \"end\", own AS score FROM quota")
 def pool_quota(spark, sf_dir):
     b = _boundaries(spark, sf_dir)
-    return pool.query_quota(pool.pairs_of(pool.union_logits(b), _caps.get().pool, _compat()), b, _caps.get().pool).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("score").cast("double").alias("score"))
+    return pool.query_quota(pool.pairs_of(pool.union_logits(b), POOL, _compat()), b, POOL).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("score").cast("double").alias("score"))
 
 
 @query(f"""WITH {SQL_PAIRS}, every AS (SELECT doc_id, s, e, valid, score FROM pairs UNION ALL SELECT doc_id, s, e, true, own FROM quota),
 k AS (SELECT *, valid AND row_number() OVER (PARTITION BY doc_id, s, e ORDER BY valid DESC, score DESC) = 1 AS keep FROM every),
-cut AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN keep THEN score ELSE -10000 END DESC, s, e) - 1 AS slot FROM k)
-SELECT doc_id, slot, s AS start, e AS "end", round({hash_logit_sql('doc_id', 's', 'e', '23')} + x.sl + y.el, 6) AS proposal FROM cut JOIN u x USING (doc_id) JOIN u y USING (doc_id) WHERE slot < {POOL.capacity} AND keep AND x.pos = s AND y.pos = e""")
+cut AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN keep THEN score ELSE -10000 END DESC, s, e) - 1 AS slot FROM k QUALIFY slot < {POOL.capacity} AND keep)
+SELECT c.doc_id, slot, s AS start, e AS "end", round({hash_logit_sql('c.doc_id', 's', 'e', '23')} + x.sl + y.el, 6) AS proposal FROM cut c JOIN st x ON x.doc_id = c.doc_id AND x.pos = c.s JOIN en y ON y.doc_id = c.doc_id AND y.pos = c.e""")
 def pool_candidates(spark, sf_dir):
-    return pool.candidate_pool(_boundaries(spark, sf_dir), _caps.get().pool, _compat()).select("doc_id", F.col("slot").cast("long").alias("slot"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), r6("proposal").alias("proposal"))
+    return pool.candidate_pool(_boundaries(spark, sf_dir), POOL, _compat()).select("doc_id", F.col("slot").cast("long").alias("slot"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), r6("proposal").alias("proposal"))
 
 
 @query(f"WITH {SQL_N}, b AS (SELECT doc_id, pos, {hash_logit_sql('doc_id', 'pos', '3', '0')} AS x FROM (SELECT doc_id, unnest(range(n)) AS pos FROM n)) SELECT doc_id, pos, CAST(round((sum(x) OVER w - count(x) OVER w * avg(x) OVER (PARTITION BY doc_id)) * 2000 * count(*) OVER (PARTITION BY doc_id)) AS BIGINT) AS inside FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)")
@@ -402,20 +386,19 @@ def compatibility_products(spark, sf_dir):
 
 
 def _argument_spans(spark, sf_dir) -> DataFrame:
-    scored = _caps.get().provider.span_logits(worded(spark, sf_dir), SIDES)
+    scored = PROVIDER.span_logits(worded(spark, sf_dir), SIDES)
     which = F.col("query_id") - 10
     named = F.element_at(F.array(*map(F.lit, RELATIONS)), F.expr("(query_id - 10) div 2 + 1").cast("int"))
     return scored.select("doc_id", named.alias("relation"), F.when(which % 2 == 0, "head").otherwise("tail").alias("side"), "start", "end", "logit", F.lit(0).alias("seq"))
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    caps = _caps.get()
-    return relations.propose_pairs(_argument_spans(spark, sf_dir), heads=caps.heads, tails=caps.tails, pairs=caps.pairs)
+    return relations.propose_pairs(_argument_spans(spark, sf_dir))
 
 
 def _edges(spark, sf_dir) -> DataFrame:
     """Accepted pairs with their mentions, in the order of their proposals."""
-    accepted = relations.accept_pairs(_caps.get().provider.pair_logits(None, _pairs(spark, sf_dir)), 0.5, 1.5, {"located_in": 0.4})
+    accepted = relations.accept_pairs(PROVIDER.pair_logits(None, _pairs(spark, sf_dir)), 0.5, 1.5, {"located_in": 0.4})
     docs = documents(table(spark, sf_dir, "documents")).select("doc_id", "text", "tokens")
     mention = lambda s: F.expr(f"named_struct('start', tokens[{s}_start].start, 'end', tokens[{s}_end - 1].end, 'char_start', tokens[{s}_start].char_start, 'char_end', tokens[{s}_end - 1].char_end, 'text', substr(text, tokens[{s}_start].char_start + 1, tokens[{s}_end - 1].char_end - tokens[{s}_start].char_start))")
     return accepted.join(docs, "doc_id").select("doc_id", "relation", mention("head").alias("head"), mention("tail").alias("tail"), "score", F.col("pair").alias("seq"))
@@ -423,9 +406,9 @@ def _edges(spark, sf_dir) -> DataFrame:
 
 _RQ = "(VALUES (10, 'works_for', 'head'), (11, 'works_for', 'tail'), (12, 'located_in', 'head'), (13, 'located_in', 'tail')) q(query_id, relation, side)"
 SQL_RELATIONS = f"""{SQL_N}, {_GRID}, args AS (SELECT doc_id, relation, side, s, e, 1 / (1 + exp(-({_LOGIT}))) AS p FROM grid, {_RQ}),
-top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, relation, side ORDER BY p DESC, s, e) AS r FROM args WHERE p >= 0.2 QUALIFY r <= 8),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, relation, side ORDER BY p DESC, s, e) AS r FROM args WHERE p >= 0.2 QUALIFY r <= {relations.HEADS}),
 prs AS (SELECT h.doc_id, h.relation, h.s AS hs, h.e AS he, t.s AS ts, t.e AS te, h.p AS hp, t.p AS tp, h.p * t.p AS proposal, row_number() OVER (PARTITION BY h.doc_id, h.relation ORDER BY h.p * t.p DESC, h.r, t.r) AS pair
-        FROM top h JOIN top t ON h.doc_id = t.doc_id AND h.relation = t.relation AND h.side = 'head' AND t.side = 'tail' WHERE h.s <> t.s OR h.e <> t.e QUALIFY pair <= 24),
+        FROM top h JOIN top t ON h.doc_id = t.doc_id AND h.relation = t.relation AND h.side = 'head' AND t.side = 'tail' WHERE h.s <> t.s OR h.e <> t.e QUALIFY pair <= {relations.PAIRS}),
 acc AS (SELECT *, 1 / (1 + exp(-({hash_logit_sql('doc_id', 'hs * 31 + he', 'ts * 31 + te', 'length(relation)')}) / 1.5)) AS score FROM prs WHERE score >= CASE WHEN relation = 'located_in' THEN 0.4 ELSE 0.5 END)"""
 
 
@@ -436,7 +419,7 @@ def rel_pairs_topk(spark, sf_dir):
 
 @query(f"WITH {SQL_RELATIONS} SELECT doc_id, relation, pair, round(score, 6) AS score FROM acc")
 def rel_threshold(spark, sf_dir):
-    accepted = relations.accept_pairs(_caps.get().provider.pair_logits(None, _pairs(spark, sf_dir)), 0.5, 1.5, {"located_in": 0.4})
+    accepted = relations.accept_pairs(PROVIDER.pair_logits(None, _pairs(spark, sf_dir)), 0.5, 1.5, {"located_in": 0.4})
     return accepted.select("doc_id", "relation", F.col("pair").cast("long").alias("pair"), r6("score").alias("score"))
 
 
@@ -530,7 +513,7 @@ _CHOICE_SQL = f"c AS (SELECT doc_id, i AS choice_idx, choice, 1 / (1 + exp(-({ha
 
 
 def _choice_scores(spark, sf_dir) -> DataFrame:
-    rows = _caps.get().provider.choice_logits(table(spark, sf_dir, "documents").select("doc_id"), Query(5, "content", "s", "f"), CHOICES)
+    rows = PROVIDER.choice_logits(table(spark, sf_dir, "documents").select("doc_id"), Query(5, "content", "s", "f"), CHOICES)
     return rows.withColumn("probability", probability(F.col("logit")))
 
 
@@ -552,7 +535,7 @@ _COUNT_LOGITS = f"k AS (SELECT doc_id, n, {hash_logit_sql('doc_id', 'n', '5', '6
 
 @query(f"WITH {_COUNT_LOGITS}, b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY logit DESC, n) = 1) SELECT doc_id, unnest(range(n)) AS instance FROM b WHERE n > 0")
 def struct_count_instances(spark, sf_dir):
-    counts = _caps.get().provider.count_logits(table(spark, sf_dir, "documents").select("doc_id"), "person", 3)
+    counts = PROVIDER.count_logits(table(spark, sf_dir, "documents").select("doc_id"), "person", 3)
     return structures.instances(counts, ["doc_id"]).select("doc_id", F.col("instance").cast("long").alias("instance"))
 
 
@@ -577,12 +560,12 @@ _S = "group"
 
 
 def _objects(spark, sf_dir) -> DataFrame:
-    return _caps.get().provider.object_logits(worded(spark, sf_dir), _S)
+    return PROVIDER.object_logits(worded(spark, sf_dir), _S)
 
 
 def _live(spark, sf_dir, threshold: float) -> DataFrame:
     chosen = records.selected_instances(_objects(spark, sf_dir), threshold)
-    assigns = _caps.get().provider.assign_logits(worded(spark, sf_dir), _S, _FIELDS)
+    assigns = PROVIDER.assign_logits(worded(spark, sf_dir), _S, _FIELDS)
     return assigns.join(chosen.select("doc_id", "structure", "instance", "order"), ["doc_id", "structure", "instance"])
 
 
@@ -614,7 +597,7 @@ role AS (SELECT doc_id, i, col, p FROM (SELECT *, exp(logit) / sum(exp(logit)) O
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seed, ord) - 1 AS record, seed AS anchor_start, round(os, 6) AS object_score, 1 + coalesce(tags.n, 0) + CASE WHEN role.col > 0 AND role.p >= 0.5 THEN 1 ELSE 0 END AS n_values
 FROM ch LEFT JOIN tags USING (doc_id, i) LEFT JOIN role USING (doc_id, i)""")
 def rec_natural_order(spark, sf_dir):
-    found = records.decode_records(_objects(spark, sf_dir), _caps.get().provider.assign_logits(worded(spark, sf_dir), _S, _FIELDS), _compiled(False), "natural", "name")
+    found = records.decode_records(_objects(spark, sf_dir), PROVIDER.assign_logits(worded(spark, sf_dir), _S, _FIELDS), _compiled(False), "natural", "name")
     return found.groupBy("doc_id", "record", "anchor_start", "object_score").agg(F.count("*").alias("n_values")).select("doc_id", F.col("record").cast("long").alias("record"), "anchor_start", r6("object_score").alias("object_score"), "n_values")
 
 
@@ -623,7 +606,7 @@ v AS (SELECT * FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc
 SELECT doc_id, col, round(max(os), 6) AS object_score FROM v GROUP BY ALL""")
 def rec_latent_dedup(spark, sf_dir):
     only = [CompiledField(2, "role", "optional_one", False)]
-    assigns = _caps.get().provider.assign_logits(worded(spark, sf_dir), _S, _FIELDS)
+    assigns = PROVIDER.assign_logits(worded(spark, sf_dir), _S, _FIELDS)
     found = records.decode_records(_objects(spark, sf_dir), assigns, only, "latent", anchor_threshold=0.2, field_threshold=0.3)
     return found.select("doc_id", F.col("end").cast("long").alias("col"), r6("object_score").alias("object_score"))
 
@@ -638,7 +621,7 @@ cand AS (SELECT doc_id, s, 1 / (1 + exp(-({_LOGIT}))) AS cp FROM (SELECT doc_id,
 SELECT v.doc_id, i AS instance, col, round(least(p, cp), 6) AS confidence FROM v JOIN cand ON cand.doc_id = v.doc_id AND cand.s = v.col - 1 WHERE cp >= 0.5 AND least(p, cp) >= 0.55""")
 def rec_gated_values(spark, sf_dir):
     values = records.list_values(_live(spark, sf_dir, 0.3).filter("field = 'tags'"), False, 0.5)
-    scored = _caps.get().provider.span_logits(worded(spark, sf_dir), ENTITIES[2:])
+    scored = PROVIDER.span_logits(worded(spark, sf_dir), ENTITIES[2:])
     candidates = scored.select("doc_id", F.lit("tags").alias("field"), "start", "end", probability(F.col("logit")).alias("probability"))
     return records.gated_values(values, candidates, _compiled(False), 0.5, {"tags": 0.55}).select("doc_id", "instance", F.col("col").cast("long").alias("col"), r6("confidence").alias("confidence"))
 
@@ -652,7 +635,7 @@ def explicit_span_scores(spark, sf_dir):
     docs = documents(table(spark, sf_dir, "documents")).filter("n_words > 0")
     asked = docs.select("doc_id", F.posexplode(F.expr("array(struct(tokens[0].start AS a, tokens[0].end AS b), struct(tokens[n_words div 2].start AS a, tokens[n_words div 2].end AS b), struct(tokens[0].start AS a, tokens[n_words - 1].end AS b))")).alias("span_idx", "x"))
     words = explicit.word_spans(asked.select("doc_id", "span_idx", F.col("x.a").alias("byte_start"), F.col("x.b").alias("byte_end")), docs)
-    scored = explicit.score_spans(words, ["x", "y"], _caps.get().provider.explicit_logits(docs, words, ["x", "y"]), 2.0)
+    scored = explicit.score_spans(words, ["x", "y"], PROVIDER.explicit_logits(docs, words, ["x", "y"]), 2.0)
     return scored.select("doc_id", "label_idx", "span_idx", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), r6("confidence").alias("confidence"))
 
 
@@ -665,14 +648,14 @@ _TURN = hash_logit_sql("conv_id * 100 + turn", "l", "7", "6")
 @query(f"WITH s AS (SELECT conv_id, turn, role, l, {_TURN} AS logit FROM conversations, (VALUES (0), (1), (2)) v(l)), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY logit DESC, l) = 1) SELECT conv_id, l AS route, count(*) AS n_turns, count(*) FILTER (role = 'user') AS user_turns FROM b GROUP BY ALL")
 def batch_turn_routing(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "conv_id", "turn", "role")
-    best = classify.best_label(classify.distribution(_caps.get().provider.label_logits(turns, "router", ["ask", "tell", "other"])))
+    best = classify.best_label(classify.distribution(PROVIDER.label_logits(turns, "router", ["ask", "tell", "other"])))
     return turns.join(best.select("doc_id", "label_idx"), "doc_id").groupBy("conv_id", F.col("label_idx").alias("route")).agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("user_turns"))
 
 
 @query(f"WITH s AS (SELECT doc_id, 1 / (1 + exp(-({hash_logit_sql('doc_id', '0', '7', '7')}))) >= 0.5 AS guess FROM documents) SELECT quality, count(*) AS n, count(*) FILTER (guess) AS guessed, count(*) FILTER (guess = (quality = 1)) AS agree FROM labels JOIN s USING (doc_id) GROUP BY quality")
 def quality_label_eval(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    scored = classify.distribution(_caps.get().provider.label_logits(docs, "quality", ["good"]), multi_label=True).withColumn("guess", F.col("probability") >= 0.5)
+    scored = classify.distribution(PROVIDER.label_logits(docs, "quality", ["good"]), multi_label=True).withColumn("guess", F.col("probability") >= 0.5)
     joined = table(spark, sf_dir, "labels").join(scored, "doc_id")
     return joined.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("guess").alias("guessed"), F.count_if(F.col("guess") == (F.col("quality") == 1)).alias("agree"))
 
@@ -686,14 +669,23 @@ def event_intent_tumbling(spark, sf_dir):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, round(median(value), 6) AS median, max(value) FILTER (i = ceil(0.9 * n)) AS p90, max(value) FILTER (i = ceil(0.95 * n)) AS p95, min(value) AS least, max(value) AS most FROM r GROUP BY event_type""")
 def latency_statistics(spark, sf_dir):
-    """Median, and percentiles by the nearest rank, which are values that occur."""
-    events = table(spark, sf_dir, "events")
-    by_value = events.groupBy("event_type", "value").agg(F.count("*").alias("c"))  # few values for many rows
-    over = Window.partitionBy("event_type")
-    ranked = by_value.withColumns({"upto": F.sum("c").over(over.orderBy("value")), "n": F.sum("c").over(over)})
-    rank = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("n")), F.col("value")))
-    nearest = ranked.groupBy("event_type").agg(rank(0.9).alias("p90"), rank(0.95).alias("p95"), F.min("value").alias("least"), F.max("value").alias("most"))
-    return events.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median")).join(nearest, "event_type")
+    """Median, and percentiles by the nearest rank, which are values that occur. No task sees all values of a type: ranks are
+    found by the counts of parts between approximate quantiles, then within the parts that hold one."""
+    events = table(spark, sf_dir, "events").select("event_type", F.col("value").cast("double").alias("value")).filter("value IS NOT NULL")
+    cuts = events.groupBy("event_type").agg(F.percentile_approx("value", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
+    placed = events.join(F.broadcast(cuts), "event_type").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")  # a row for each type
+    parts = placed.groupBy("event_type", "part").agg(F.count("*").alias("c"), F.min("value").alias("low"), F.max("value").alias("high"))
+    by_type = Window.partitionBy("event_type")
+    counted = parts.withColumns({"upto": F.sum("c").over(by_type.orderBy("part")), "n": F.sum("c").over(by_type)})  # at most 64 rows of a type
+    wanted = {"low_half": (F.col("n") + 1).cast("long") / 2, "high_half": (F.col("n") + 2) / 2, "p90": F.ceil(F.lit(0.9) * F.col("n")), "p95": F.ceil(F.lit(0.95) * F.col("n"))}
+    ranks = F.array(*(F.struct(F.lit(name).alias("name"), F.floor(rank).cast("long").alias("rank")) for name, rank in wanted.items()))
+    asked = counted.withColumn("_r", F.explode(ranks)).select("event_type", "part", "_r.name", (F.col("_r.rank") - (F.col("upto") - F.col("c"))).alias("k"), "c").filter("k BETWEEN 1 AND c")
+    held = placed.join(F.broadcast(asked.select("event_type", "part").distinct()), ["event_type", "part"]).groupBy("event_type", "part", "value").agg(F.count("*").alias("m"))
+    last = F.sum("m").over(Window.partitionBy("event_type", "part").orderBy("value"))
+    found = held.withColumn("last", last).join(F.broadcast(asked), ["event_type", "part"]).filter((F.col("k") <= F.col("last")) & (F.col("k") > F.col("last") - F.col("m")))
+    at = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    ranked = found.groupBy("event_type").agg(F.round((at("low_half") + at("high_half")) / 2, 6).alias("median"), at("p90").alias("p90"), at("p95").alias("p95"))
+    return ranked.join(parts.groupBy("event_type").agg(F.min("low").alias("least"), F.max("high").alias("most")), "event_type")
 
 
 # Row-local forms, sub-words, the whole engine
@@ -703,7 +695,7 @@ def latency_statistics(spark, sf_dir):
 def rowlocal_allow(spark, sf_dir):
     from .streaming.rowlocal import decode
 
-    kept = decode(table(spark, sf_dir, "documents"), 2, _caps.get().provider.width, CROWDED, "allow")
+    kept = decode(table(spark, sf_dir, "documents"), 2, PROVIDER.width, CROWDED, "allow")
     return kept.select("doc_id", F.explode("spans").alias("x")).select("doc_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), r6("x.confidence").alias("confidence"))
 
 
@@ -711,7 +703,7 @@ def rowlocal_allow(spark, sf_dir):
 def rowlocal_greedy(spark, sf_dir):
     from .streaming.rowlocal import decode
 
-    kept = decode(table(spark, sf_dir, "documents"), 2, _caps.get().provider.width, CROWDED, "greedy")
+    kept = decode(table(spark, sf_dir, "documents"), 2, PROVIDER.width, CROWDED, "greedy")
     return kept.select("doc_id", F.explode("spans").alias("x")).select("doc_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), r6("x.confidence").alias("confidence"))
 
 
@@ -733,28 +725,8 @@ def engine_extract(spark, sf_dir):
     from .sources.config import ModelConfig
 
     schema = SchemaBuilder().entity("person", threshold=0.9).relation("knows").classification("mood", ["good", "bad"]).structure("event", ["who::str", "kind::[x|y]"]).build()
-    found = Engine(_caps.get().provider, ModelConfig(architecture="boundary", overlap_policy="longest")).extract(table(spark, sf_dir, "documents").select("doc_id", "text"), schema, 0.8)
+    found = Engine(PROVIDER, ModelConfig(architecture="boundary", overlap_policy="longest")).extract(table(spark, sf_dir, "documents").select("doc_id", "text"), schema, 0.8)
     return found.select("doc_id", F.to_json(F.struct("entities", "classifications", "structures", "relations")).alias("result"))
 
 
-# The reference's caps
-
-
-CAPPED = ("span_grid", "pool_topk", "pool_quota", "pool_candidates", "rel_", "ner_", "overlap_", "struct_single_instance", "rec_", "rowlocal_", "engine_extract")
-
-
-def _whole(f):
-    def run(spark, sf_dir):
-        before = _caps.set(WHOLE)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            _caps.reset(before)
-
-    return run
-
-
-# Queries with SQL keep its small caps and have a second form, without SQL, that keeps the reference's.
-for _name, _f in list(QUERIES.items()):
-    if _name.startswith(CAPPED):
-        QUERIES[f"{_name}_whole" if _name in ORACLES else _name] = _whole(_f)
+from . import engine_queries  # noqa: E402, F401  adds its own

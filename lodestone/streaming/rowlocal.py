@@ -7,44 +7,49 @@ and needs neither shuffle nor state. Results equal those of the long form.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import probability
 from ..functions.text import words
 from ..operators.overlap import fold_arrays, policy_of
-from ..providers.hashing import hash_logit
+from ..plans.prompts import Query
+from ..providers.base import RowProvider
+from ..providers.hashing import HashingProvider
 
+SPANS = "array<struct<confidence:double,start:int,end:int>>"
 
-def scored_spans(doc_id: Column, n_words: Column, query_id: int, width: int, threshold: float) -> Column:
-    """All spans of a text at or above the threshold by the hashing provider, as an array of (confidence, start, end)."""
-    starts = F.sequence(F.lit(0), n_words - 1)
 
-    def of_start(s: Column) -> Column:
-        ends = F.sequence(s + 1, F.least(s + width, n_words))
-        scored = F.transform(ends, lambda e: F.struct((1 / (1 + F.exp(-hash_logit(doc_id, s, e - s, query_id)))).alias("confidence"), s.cast("int").alias("start"), e.cast("int").alias("end")))
-        return F.filter(scored, lambda x: x["confidence"] >= threshold)
-
-    return F.when(n_words > 0, F.flatten(F.transform(starts, of_start))).otherwise(F.array().cast("array<struct<confidence:double,start:int,end:int>>"))
-
-
-def decode(docs: DataFrame, query_id: int, width: int, threshold: float, policy: str) -> DataFrame:
-    """(doc_id, spans) of rows of doc_id and text, batch or stream."""
-    counted = docs.select("doc_id", F.size(words(F.coalesce("text", F.lit("")))).alias("n_words"))
-    scored = counted.select("doc_id", scored_spans(F.col("doc_id"), F.col("n_words"), query_id, width, threshold).alias("spans"))
+def decode(docs: DataFrame, query: Query | int, provider: RowProvider | int, threshold: float, policy: str, temperature: float = 1.0) -> DataFrame:
+    """(doc_id, spans) of rows of doc_id and text, batch or stream, by a provider that scores within a row. A number stands for a query of that number, or for the hashing provider of that width."""
+    query = Query(query, "entity", "entities", "") if isinstance(query, int) else query
+    provider = HashingProvider(provider) if isinstance(provider, int) else provider
+    counted = docs.withColumn("n_words", F.size(words(F.coalesce("text", F.lit("")))))
+    scored = F.transform(provider.row_spans(query), lambda x: F.struct(probability(x["logit"], temperature).alias("confidence"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
+    kept = F.coalesce(F.filter(scored, lambda x: x["confidence"] >= threshold), F.array()).cast(SPANS)
     policy = policy_of(policy)
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), fold_arrays(batch.column(1), policy)], ["doc_id", "spans"])
 
-    return scored.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, spans array<struct<confidence:double,start:int,end:int>>")
+    return counted.select(F.col("doc_id").cast("long").alias("doc_id"), kept.alias("spans")).mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 
-def decode_stream(stream: DataFrame, sink: str, checkpoint: str, query_id: int = 0, width: int = 4, threshold: float = 0.99, policy: str = "greedy"):
+def decode_stream(stream: DataFrame, sink: str, checkpoint: str, query: Query | int = 0, provider: RowProvider | int = 4, threshold: float = 0.99, policy: str = "greedy"):
     """Starts a stream of texts into a Parquet sink; all that is there is taken, then it ends."""
-    return decode(stream, query_id, width, threshold, policy).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return decode(stream, query, provider, threshold, policy).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def by_batch(path: str, run):
+    """What writes a micro-batch: the rows that run(batch) makes of it go to the folder of its number, in place of what is there, so that a batch that is run again leaves no row twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        run(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
 
 
-def decode_each_batch(stream: DataFrame, run, checkpoint: str):
-    """Runs a long-form decoder on each micro-batch: run(batch, number)."""
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def decode_each_batch(stream: DataFrame, run, checkpoint: str, path: str | None = None):
+    """Runs a long-form decoder on each micro-batch: with a path run(batch) gives rows, which are written by batch; else run(batch, number) does as it likes."""
+    return stream.writeStream.foreachBatch(by_batch(path, run) if path else run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

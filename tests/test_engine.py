@@ -76,7 +76,7 @@ def test_config(tmp_path):
     assert read_config(tmp_path) == ModelConfig() and ModelConfig(architecture="boundary").word_cap == 4096
     (tmp_path / "config.json").write_text('{"architecture": "boundary", "max_len": 7}')
     assert read_config(tmp_path).word_cap == 7
-    for bad in ('{"a": 1}', '{"max_len": 0}', '{"relation_temperature": 0}', '{"abstention_threshold": 2}', '{"overlap_policy": "x"}', '{"max_len": 1, "max_len": 2}'):
+    for bad in ('[1]', '{"max_len": 0}', '{"relation_temperature": 0}', '{"abstention_threshold": 2}', '{"overlap_policy": "x"}', '{"max_len": 1, "max_len": 2}'):
         (tmp_path / "config.json").write_text(bad)
         with pytest.raises(ValueError):
             read_config(tmp_path)
