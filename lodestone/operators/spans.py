@@ -85,15 +85,22 @@ def outside_prefix(spans: DataFrame, prefix_words: int, n_words: str = "n_words"
 def located(spans: DataFrame, docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Adds byte and code-point offsets and the trimmed surface; nulls where a span begins in the prefix or ends past the text's words.
 
-    docs: doc_id, text and words with offsets. Word lists stay with their document: the join is on
-    doc_id alone, never by broadcasting texts, and takes two elements of the list.
+    docs: doc_id, text and words with offsets. A text's spans are gathered before they meet its words, so
+    that texts and word lists are never copied for each span, nor broadcast.
     """
-    own = docs.select("doc_id", "text", tokens, origin(docs).alias("_o")).hint("merge")
-    start, end = F.col("start") - F.col("_o"), F.col("end") - F.col("_o")
-    inside = (start >= 0) & (start < end) & (end <= F.size(tokens))
-    joined = spans.join(own, "doc_id").withColumns({"_f": F.when(inside, F.get(tokens, start)), "_l": F.when(inside, F.get(tokens, end - 1))})
-    surface = F.expr("substr(text, _f.char_start + 1, _l.char_end - _f.char_start)")
-    return joined.withColumns({"byte_start": F.col("_f.start"), "byte_end": F.col("_l.end"), "char_start": F.col("_f.char_start"), "char_end": F.col("_l.char_end"), "surface": unicode_trim(surface)}).drop("text", tokens, "_o", "_f", "_l")
+    own = docs.select("doc_id", F.col("text").cast("binary").alias("_t"), F.col(tokens).alias("_w"), origin(docs).alias("_o")).hint("merge")
+    kept = [c for c in spans.columns if c != "doc_id"]
+    gathered = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*kept)).alias("_s")).join(own, "doc_id")
+
+    def placed(x: Column) -> Column:
+        start, end = x["start"] - F.col("_o"), x["end"] - F.col("_o")
+        inside = (start >= 0) & (start < end) & (end <= F.size("_w"))
+        first, last = F.when(inside, F.get("_w", start)), F.when(inside, F.get("_w", end - 1))
+        surface = F.substring("_t", first["start"] + 1, last["end"] - first["start"]).cast("string")
+        told = {"byte_start": first["start"], "byte_end": last["end"], "char_start": first["char_start"], "char_end": last["char_end"], "surface": unicode_trim(surface)}
+        return F.struct(*(x[c].alias(c) for c in kept), *(v.alias(k) for k, v in told.items()))
+
+    return gathered.select("doc_id", F.explode(F.transform("_s", placed)).alias("_x")).select("doc_id", "_x.*")
 
 
 def in_text(spans: DataFrame) -> DataFrame:
