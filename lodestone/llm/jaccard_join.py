@@ -10,9 +10,9 @@ at least H - k are equal in both sets. Each half gives a signature.
 Signatures that unlike sets would share aren't needed by most sets, because H is greater than k + 1
 by a margin (``bins_of``): a set with e empty halves has ``slack`` = H - k - 1 - e. While that isn't
 negative, one of its filled halves is equal in any similar set, and it gives out none of the empty
-ones. In the same way a set with at most ``slack`` signatures that many nodes share leaves all of
-those: some other of its signatures is shared with any similar set. What decides is the same for all
-holders of a signature, so each similar pair keeps a signature that both hold.
+ones. So any similar set shares more than ``slack`` of its signatures, and each set leaves its ``slack``
+most frequent ones, in an order that is the same for all: the rarest signature that two similar sets share
+is left by neither.
 
 Equal sets are merged before any signature is made: nodes that several texts have are told by a filter, and
 one text of each is kept. Signatures are counted by partial sums, and only nodes that hold a shared one
@@ -24,7 +24,8 @@ ones each node is paired with the smallest; linked nodes form components; only s
 nodes are in different components go on. Their nodes are compared by odd sketches (for each bin
 whether it holds an odd number of elements), which differ in no more places than the sets do, block
 against block in place; in the first rounds each component's nearest pair goes on, in the last all
-that the sketches don't rule out and that are still in different components. Pairs are screened by
+that the sketches don't rule out and that are still in different components. A signature without a pair
+that they don't rule out is done with. Pairs are screened by
 their sketches and then compared by their whole sets. Large groups are cut into blocks that go to
 different tasks.
 
@@ -41,7 +42,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_has, bitmap_of, forget, slices_of, stored
@@ -325,7 +326,7 @@ def near_by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataFrame:
-    """Distinct pairs of nodes of one signature in different components that their sketches don't rule out.
+    """Pairs (sig, a, b) of nodes of one signature in different components that their sketches don't rule out.
 
     nearest_only: for each component, in each block of each signature, only its nearest pair.
     groups: sig, node, label, of_sig, sketch, size. A group of several blocks goes out as pairs of
@@ -354,7 +355,7 @@ def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataF
         held: list[pa.RecordBatch] = []
 
         def made(found):
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), (), ()))], ["sig", "a", "b"])
 
         def flush(table):
             sig, i, j = (table.column(c).to_numpy() for c in ("sig", "i", "j"))
@@ -371,7 +372,7 @@ def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataF
                     continue
                 best = {}
                 for d, u, v, x, y in near(own[s:e], node[s:e], label[s:e], sketches[s:e], size[s:e]):
-                    pair = (min(u, v), max(u, v))
+                    pair = (sig[s], min(u, v), max(u, v))
                     if not nearest_only:
                         found.add(pair)
                     else:
@@ -398,17 +399,18 @@ def apart_but_near(groups: DataFrame, percent: int, nearest_only: bool) -> DataF
             yield from flush(pa.Table.from_batches(held).combine_chunks())
 
     ready = keyed.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return ready.mapInArrow(run, "a long, b long").distinct()
+    return ready.mapInArrow(run, "sig long, a long, b long").distinct()
 
 
 def groups_of(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """met without those signatures that a node's slack spares it, and with the counts of what is left."""
-    weak = met.filter(F.col("of_sig") > SMALL).withColumn("odd", F.col("sig").bitwiseAND(F.lit(1)))
+    """met without each node's ``slack`` most frequent signatures of a band, and with the counts of what is left."""
     slack = texts.filter("node IS NOT NULL").groupBy("node").agg(F.first("slack_0").alias("slack_0"), F.first("slack_1").alias("slack_1"))
-    spared = weak.groupBy("node", "odd").agg(F.count("*").alias("weak")).join(slack, "node").filter("weak <= if(odd = 1, slack_1, slack_0)").select("node", "odd")
-    left = stored(weak.join(spared, ["node", "odd"], "left_anti").select("sig", "node"), "jaccard-weak")
+    placed = met.withColumn("odd", F.col("sig").bitwiseAND(F.lit(1))).join(slack.hint("merge"), "node")
+    frequent = Window.partitionBy("node", "odd").orderBy(F.desc("of_sig"), "sig")  # as many rows as a set has signatures
+    left = placed.withColumn("r", F.row_number().over(frequent)).filter("r > if(odd = 1, slack_1, slack_0)").select("sig", "node")
+    left = stored(left, "jaccard-kept")
     counted = left.groupBy("sig").agg(F.count("*").alias("of_sig")).filter("of_sig > 1")
-    out = stored(met.filter(F.col("of_sig") <= SMALL).unionByName(left.join(counted.hint("merge"), "sig")), "jaccard-groups")
+    out = stored(left.join(counted.hint("merge"), "sig"), "jaccard-groups")
     forget(left)
     return out
 
@@ -435,7 +437,7 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE, percent: int
     forget(met, once)
     firsts = stored(first_pairs(groups), "jaccard-firsts")
     links = linked(firsts, sets, percent)
-    labels, apart = components(links), None
+    labels, apart, passed = components(links), None, []
     met = groups.filter(F.col("of_sig") > SMALL).select("sig", "node")
     for nearest_only in (True, True, False):
         placed = met.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
@@ -446,20 +448,22 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE, percent: int
             forget(before)
         if apart.isEmpty():
             break
-        met = apart.select("sig", "node")
         members = apart.join(sets.select("node", "sketch", "size"), "node")
-        more = linked(apart_but_near(members, percent, nearest_only), sets, percent)
+        near = stored(apart_but_near(members, percent, nearest_only), "jaccard-near")
+        met = apart.select("sig", "node").join(near.select("sig").distinct(), "sig", "left_semi")
+        more = linked(near.select("a", "b").distinct(), sets, percent)
         if not more.isEmpty():
             known_links = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
             older, labels = labels, components(known_links.unionByName(more))  # stars so far, and what joins them
             forget(older)
         forget(more)
+        passed.append(near)
 
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     owned = stored(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first_id"), "jaccard-owned")
     lowest = stored(owned.groupBy("label").agg(F.min("first_id").alias("component_id")), "jaccard-lowest")
     answers = stored(owned.join(lowest, "label").select(F.col("node").alias("_node"), "component_id"), "jaccard-answers")
-    forget(groups, wanted, sets, firsts, links, apart, labels, owned, lowest)
+    forget(groups, wanted, sets, firsts, links, apart, labels, owned, lowest, *passed)
     return texts.join(answers, texts["node"] == answers["_node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
