@@ -74,13 +74,13 @@ def subsets_of(h: str) -> str:
 def with_fingerprint(rows: DataFrame, keys: list[str], text: str, lexicon: DataFrame, name: str) -> DataFrame:
     """The keys, which tell rows apart, and the fingerprint of a text column.
 
-    A text's distinct terms become rows, those of the lexicon (at most 1 / LEAST_SHARE times the mean number of terms of
+    A text's distinct terms become rows, and an empty one that stands for the text; those of the lexicon (at most 1 / LEAST_SHARE times the mean number of terms of
     a text) are told by a broadcast join, and the rows are summed up again by the keys, without an
     exchange if they are already dealt out by one of them.
     """
     empty = "." * DIGITS
-    terms = rows.select(*keys, F.expr(f"xxhash64({text})").alias("whole"), F.explode_outer(F.expr(f"array_distinct({terms_of(text)})")).alias("h"))
-    known = terms.join(F.broadcast(lexicon.withColumn("listed", F.lit(True))), "h", "left")
+    terms = rows.select(*keys, F.expr(f"xxhash64({text})").alias("whole"), F.explode(F.expr(f"array_append(array_distinct({terms_of(text)}), NULL)")).alias("h"))
+    known = terms.join(F.broadcast(lexicon.withColumn("listed", F.lit(True))), "h", "left").filter("listed OR h IS NULL")
     marked = known.select(*keys, "whole", F.expr("xxhash64(h, 0)").alias("x"), F.expr(f"if(listed IS NULL, 0L, {subsets_of('h')})").alias("m"), "listed")
     n = SUBSETS * len(RATES)
     hashed = marked.groupBy(*keys).agg(*(F.expr(f"bit_xor(if((m & shiftleft(1L, {r})) = 0L, 0L, x))").alias(f"s{r}") for r in range(n)), F.first("whole").alias("whole"), F.max("listed").alias("listed"))
