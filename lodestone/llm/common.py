@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -61,6 +62,15 @@ def forget(*frames: DataFrame) -> None:
         jvm.System.gc()  # Spark deletes a shuffle's files once its object is collected
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system: workers live on, and the stages after may need that memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def slices_of(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, list[bytes]]]:
     """A batch's texts as bytes, some at a time: where they begin and the texts, of about most_bytes in all or a single one."""
     texts = texts.cast(pa.binary())

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_has, bitmap_of, forget, slices_of, stored
+from .common import bitmap_has, bitmap_of, forget, give_back, slices_of, stored
 from .components import components
 
 SHINGLE = 4
@@ -222,6 +222,7 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array([name_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(slack[:, 0]), pa.array(slack[:, 1])], ["doc_id", "node", "n", "slack_0", "slack_1"]
                 )
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, node long, n long, slack_0 int, slack_1 int")
 
@@ -243,6 +244,7 @@ def copied_once(docs: DataFrame, texts: DataFrame, n: int) -> tuple[DataFrame, b
                 of = list(found.values())
                 kept = np.flatnonzero(bitmap_has(shared.value, names)) if len(names) else []
                 yield pa.RecordBatch.from_arrays([pa.array(names[kept], pa.int64()), pa.array([of[i] for i in kept], pa.binary())], ["node", "t"])
+        give_back()
 
     return stored(docs.select("t").mapInArrow(run, "node long, t binary").dropDuplicates(["node"]), "jaccard-copied"), bitmap
 
@@ -262,6 +264,7 @@ def of_nodes(docs: DataFrame, once: DataFrame, copied: bytes, n: int, work, sche
                         sets, names = [sets[i] for i in kept], names[kept]
                     if len(names):
                         yield work(sets, names)
+            give_back()
 
         return run
 

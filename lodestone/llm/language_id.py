@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, slices_of, utf8
+from .common import crc_of_id, give_back, slices_of, utf8
 from .ragged import TimeMajor, forward_backward
 
 BUCKETS = 1 << 16
@@ -218,6 +218,7 @@ def predicted(docs: DataFrame, model: Crf, columns: list[str]) -> DataFrame:
                 labels += more[0]
                 scores += more[1]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
+        give_back()
 
     return docs.select("t", *columns).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
