@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import byte_bpe, decontamination, jaccard_join, language_id
-from lodestone.llm.common import crc_of_id, numbered, stored, table
+from lodestone.llm.common import crc_of_id, numbered, stored, table, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose words agree on no language even so far is rejected.
@@ -35,7 +35,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = jaccard_join.similarity_components(rows.select(F.col("_row").alias("doc_id"), "text"), shingle=SHINGLE, percent=PERCENT).select(F.col("doc_id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k._row").alias("_row"))
-    return rows.join(stored(kept, "pipeline-kept"), "_row", "left_semi").select(*COLUMNS)
+    dropped = stored(found.select("_row").join(kept, "_row", "left_anti"), "pipeline-dropped")
+    return without(rows, dropped, "_row").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = numbered(docs.select(*COLUMNS), "pipeline-rows")
     found = decontamination.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     dirty = stored(found.filter("n_hit > 0").select(F.col("doc_id").alias("_row")), "pipeline-dirty")
-    return rows.join(dirty, "_row", "left_anti").select(*COLUMNS)
+    return without(rows, dirty, "_row").select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

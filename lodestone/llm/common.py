@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -120,3 +121,19 @@ def bitmap_has(bitmap: bytes, keys) -> "np.ndarray":  # noqa: F821
     for h in (keys, keys >> np.uint64(32)):
         found &= (words[h & np.uint64(len(words) - 1)] >> ((h >> shift) & np.uint64(63)) & np.uint64(1)).astype(bool)
     return found
+
+
+def without(rows: DataFrame, dropped: DataFrame, column: str, bits_log2: int = 26) -> DataFrame:
+    """The rows whose key (long, no nulls) isn't among the dropped ones; repeated keys go or stay together.
+
+    Whole texts aren't shuffled for it: rows that a filter of the dropped keys doesn't hold stay where they are, and
+    only those that it holds are joined. The filter has a fixed size; where it is full, all rows are joined.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(bitmap_of(dropped.select(F.xxhash64(column).alias("h")), "h", bits_log2))
+
+    def held(keys: pd.Series) -> pd.Series:
+        return pd.Series(bitmap_has(shared.value, keys.to_numpy()))
+
+    perhaps = F.pandas_udf(held, "boolean")(F.xxhash64(column))
+    return rows.filter(~perhaps).unionByName(rows.filter(perhaps).join(dropped.select(column).hint("merge"), column, "left_anti").select(*rows.columns))

@@ -7,7 +7,7 @@ import tiktoken
 
 import corpus_pipeline
 from lodestone.llm import byte_bpe
-from lodestone.llm.common import table
+from lodestone.llm.common import table, without
 
 from .test_operators import brute_components, brute_contamination
 
@@ -55,3 +55,13 @@ def test_stages_decide_on_rows(spark, sf):
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted([("1", long), ("1", other), ("4", ""), ("4", ""), ("1", item)])
     clean = corpus_pipeline.decontamination_stage(spark, docs, sf).collect()
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in clean) == sorted((str(r[0]), r[1] or "") for r in rows if r[1] != item)
+
+
+def test_without_drops_exactly_the_keys(spark):
+    rows = spark.range(300).selectExpr("id AS k", "concat('text ', id) AS text").union(spark.sql("SELECT 7L, 'again' UNION ALL SELECT 8L, 'again'"))
+    even = spark.range(0, 300, 2).selectExpr("id AS k")
+    for bits in (6, 26):  # a full filter, and one with room
+        left = without(rows, even, "k", bits)
+        assert left.columns == ["k", "text"]
+        assert sorted(r["k"] for r in left.collect()) == sorted([*range(1, 300, 2), 7])
+        assert without(rows, even.filter("false"), "k", bits).count() == 302 and without(rows.filter("false"), even, "k", bits).count() == 0
