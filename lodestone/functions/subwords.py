@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .slices import by_slices
+
 PIECES = "array<struct<piece:string,id:int,word:int>>"
 _tokenizers: dict = {}
 
@@ -35,11 +37,10 @@ def with_subwords(df: DataFrame, words: str, path: str, name: str = "subwords")
     """Adds the pieces of an array of words; the first piece of a word stands for it (first_pieces)."""
     kind = pa.list_(pa.struct([("piece", pa.string()), ("id", pa.int32()), ("word", pa.int32())]))
 
-    @F.arrow_udf(PIECES)
     def encode(values: pa.Array) -> pa.Array:
         return pa.array([None if v is None else encode_words(v, path) for v in values.to_pylist()], kind)
 
-    return df.withColumn(name, encode(F.col(words)))
+    return df.withColumn(name, by_slices(PIECES, encode)(F.col(words)))
 
 
 def first_pieces(subwords: str) -> F.Column:

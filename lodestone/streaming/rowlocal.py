@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import probability
+from ..functions.slices import ROWS
 from ..functions.text import words
 from ..operators.overlap import fold_arrays, policy_of
 from ..plans.prompts import Query
@@ -31,7 +32,9 @@ def decode(docs: DataFrame, query: Query | int, provider: RowProvider | int, thr
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), fold_arrays(batch.column(1), policy)], ["doc_id", "spans"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), fold_arrays(part.column(1), policy)], ["doc_id", "spans"])
 
     return counted.select(F.col("doc_id").cast("long").alias("doc_id"), kept.alias("spans")).mapInArrow(run, f"doc_id long, spans {SPANS}")
 
