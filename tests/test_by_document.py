@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone import queries
 from lodestone.functions.slices import ROWS, by_slices
-from lodestone.operators import overlap, relations
+from lodestone.operators import overlap, pool, relations
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +67,35 @@ def test_arguments_by_brute_force(spark, few):
             best = sorted((-x[5], x[3], x[4], x[6]) for x in rows if x[0] == d and x[2] == side and x[5] > -1.38)[:cap]
             want += [(d, side, i, x[1], x[2]) for i, x in enumerate(best, 1)]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["shared_candidates", "rel_query_sets"])
+def test_candidates_are_places_alone(spark, folder, name):
+    plan = queries.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "substring" not in plan and plan.count("explode(sequence") <= 4
+
+
+@pytest.mark.parametrize("low", [-4.0, -20_000.0])
+def test_pool_by_brute_force(spark, low):
+    rng = random.Random(5)
+    config = pool.PoolConfig(4, 7, 2)
+    rows = [(d, q, p, rng.randint(0, 6) + low, rng.randint(0, 6) + low, rng.random() < 0.8, q < 2 or d % 2 == 0) for d in range(9) for q in range(3) for p in range(d)]
+    frame = spark.createDataFrame(rows, "doc_id long, query_id int, pos int, start_logit double, end_logit double, mask boolean, query_mask boolean")
+    got = {(r["doc_id"], r["slot"]): (r["start"], r["end"], r["proposal"]) for r in pool.candidate_pool(frame, config, lambda _, s, e: s * 0.25 - e * 0.5).collect()}
+    want = {}
+    for d in range(9):
+        own = {(r[1], r[2]): r for r in rows if r[0] == d}
+        worth = {p: [max(r[i] if r[5] and r[6] else -10_000.0 for (_, at), r in own.items() if at == p) for i in (3, 4)] + [any(r[5] and r[6] for (_, at), r in own.items() if at == p)] for _, p in own}
+        best = [[(p if worth[p][2] else 0, worth[p][2], worth[p][i], p) for p in sorted(worth, key=lambda p: (-worth[p][i], p))[:4]] for i in (0, 1)]
+        pairs = [(s[0], e[0], s[1] and e[1] and e[0] > s[0], s[0] * 0.25 - e[0] * 0.5, s[2], e[2], s[3], e[3]) for s in best[0] for e in best[1]]
+        every = [(s, e, live, c + a + b, c + a + b) for s, e, live, c, a, b, _, _ in pairs]
+        for q in range(3):
+            of = sorted((-(own[q, x[6]][3] + own[q, x[7]][4] + x[3]), i) for i, x in enumerate(pairs) if x[2] and own[q, x[6]][6])[:2]
+            every += [(*pairs[i][:2], True, 5002.0 - r, pairs[i][3] + pairs[i][4] + pairs[i][5]) for r, (_, i) in enumerate(of)]
+        first = {}
+        for i in sorted(range(len(every)), key=lambda i: -every[i][3]):
+            if every[i][2]:
+                first.setdefault(every[i][:2], i)
+        ranked = sorted((-(x[3] if first.get(x[:2]) == i else -10_000.0), x[0], x[1], first.get(x[:2]) != i, x[4]) for i, x in enumerate(every))
+        want |= {(d, slot): (s, e, p) for slot, (_, s, e, gone, p) in enumerate(ranked[:7]) if not gone}
+    assert got == want and len(want) > 20
