@@ -42,9 +42,10 @@ OWN_CLASSES = 3072
 SHARED_CLASSES = 1024
 #: Entries of the lexicon that is broadcast.
 LEXICON = 150_000
-#: Tokens of a block, of a batch, and words that a task counts before it passes them on.
-BLOCK = 2048
+#: Tokens of a block, of a batch, those put in order of length together, and words that a task counts before it passes them on.
+BLOCK = 8192
 BATCH_TOKENS = 1_000_000
+SORTED_TOKENS = 8_000_000
 COUNTED_WORDS = 300_000
 SEED = 20_011
 
@@ -204,6 +205,18 @@ def start(class_counts: np.ndarray) -> Hmm:
     return Hmm(np.full(STATES, 1 / STATES), trans, emit / emit.sum(0))
 
 
+def by_length(codes, most: int):
+    """Sequences of about ``most`` tokens at a time, short ones first: a recursion takes as many steps as a batch's longest has tokens."""
+    held, total = [], 0
+    for c in codes:
+        held.append(c)
+        total += len(c)
+        if total >= most:
+            yield from sorted(held, key=len)
+            held, total = [], 0
+    yield from sorted(held, key=len)
+
+
 def batches_of(codes, most: int):
     """Batches of whole sequences, each of about ``most`` tokens or one longer sequence."""
     batch, total = [], 0
@@ -250,7 +263,7 @@ def improved(training: DataFrame, model: Hmm) -> Hmm:
                 for c in batch.column(0):
                     yield np.frombuffer(c.as_py(), np.int16)
 
-        for seqs in batches_of(texts(), BATCH_TOKENS):
+        for seqs in batches_of(by_length(texts(), SORTED_TOKENS), BATCH_TOKENS):
             a, b, c = expected_counts(seqs, now)
             first += a
             pairs += b

@@ -715,3 +715,14 @@ def test_warc(spark):
     broken = payloads.withColumn("payload", F.lit(zlib.compress(b"other")))
     with pytest.raises(Exception, match="other bytes"):
         warc.read_archive(headers, broken).collect()
+
+
+def test_hmm_batches_are_of_like_lengths():
+    """Whole sequences, each once; a batch takes as many steps as its longest has tokens."""
+    lengths = [1, 900, 2, 3, 800, 1, 700, 2] * 3
+    seqs = [np.full(n, i, np.int16) for i, n in enumerate(lengths)]
+    batches = list(hmm_scoring.batches_of(hmm_scoring.by_length(iter(seqs), 10**6), 1000))
+    assert sorted(int(c[0]) for b in batches for c in b) == list(range(len(seqs))) and all(len(c) == lengths[c[0]] for b in batches for c in b)
+    plain = list(hmm_scoring.batches_of(seqs, 1000))
+    assert sum(max(map(len, b)) for b in batches) < sum(max(map(len, b)) for b in plain)
+    assert [len(x) for x in hmm_scoring.by_length(iter(seqs[:4]), 3)] == [1, 900, 2, 3]
