@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +36,55 @@ def encode_words(words: list[str], path: str, unknown: str = "[UNK]") -> list[di
     return out
 
 
-def with_subwords(df: DataFrame, words: str, path: str, name: str = "subwords") -> DataFrame:
-    """Adds the pieces of an array of words; the first piece of a word stands for it (first_pieces)."""
-    kind = pa.list_(pa.struct([("piece", pa.string()), ("id", pa.int32()), ("word", pa.int32())]))
+#: A worker keeps the pieces of so many distinct words, then begins anew.
+KEPT = 1 << 17
+
+
+class Known:
+    """Pieces of words met so far: the words' numbers, and all their pieces' ids with where each word's begin."""
+
+    def __init__(self, path: str, unknown: str = "[UNK]"):
+        t = self.tokenizer = tokenizer(path)
+        self.names = pa.array([t.id_to_token(i) for i in range(max(t.get_vocab().values()) + 1)], pa.string())
+        self.nothing = [] if t.token_to_id(unknown) is None else [t.token_to_id(unknown)]
+        self.numbers: dict[str, int] = {}
+        self.ids, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, words: list[str]) -> None:
+        found = [e.ids or self.nothing for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words))))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32)])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(x) for x in found])])
 
-    def encode(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else encode_words(v, path) for v in values.to_pylist()], kind)
 
-    return df.withColumn(name, by_slices(PIECES, encode)(F.col(words)))
+_known: dict[str, Known] = {}
+
+
+def encode_lists(lists: pa.ListArray, path: str) -> pa.ListArray:
+    """encode_words() of some texts' words at once; a word that they repeat, or that the worker has met, isn't encoded again."""
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    if path not in _known or len(_known[path].numbers) > KEPT:
+        _known[path] = Known(path)
+    known = _known[path]
+    if new := [w for w in words if w not in known.numbers]:
+        known.add(new)
+    number = np.array([known.numbers[w] for w in words], np.int64)
+    of = number[coded.indices.to_numpy(zero_copy_only=False)]
+    first, many = known.begins[of], known.begins[of + 1] - known.begins[of]
+    total = np.cumsum(many)
+    at = np.repeat(first - (total - many), many) + np.arange(int(total[-1]) if len(total) else 0)
+    word = np.repeat(np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts), many)
+    ids = pa.array(known.ids[at])
+    flat = [known.names.take(ids), ids, pa.array(word.astype(np.int32))]
+    ends = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, ["piece", "id", "word"]), mask=lists.is_null())
+
+
+def with_subwords(df: DataFrame, words: str, path: str, name: str = "subwords") -> DataFrame:
+    """Adds the pieces of an array of words; the first piece of a word stands for it (first_pieces)."""
+    return df.withColumn(name, by_slices(PIECES, lambda lists: encode_lists(lists, path)).asNondeterministic()(F.col(words)))
 
 
 def first_pieces(subwords: str) -> F.Column:
